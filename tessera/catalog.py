@@ -236,3 +236,415 @@ def q_simple_ols(spark, sf):
     """One-predictor OLS of the response on each column."""
     s = simple_ols(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
     return s.select("variable", sig_col("slope"), sig_col("intercept"), sig_col("r2"))
+
+
+# ============================================================ metrics (2.5)
+
+from .operators import metrics as M  # noqa: E402
+
+CLASSIFIER_SQL = """
+select l.doc_id, l.quality as actual, case when d.n_chars >= 1000 then 1 else 0 end as predicted
+from labels l join documents d on l.doc_id = d.doc_id
+"""
+
+
+def _classifier(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    doc = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return lab.join(doc, "doc_id").select(
+        "doc_id", F.col("quality").alias("actual"),
+        F.when(F.col("n_chars") >= 1000, 1).otherwise(0).alias("predicted"))
+
+
+@register("metric_accuracy", with_cte(
+    f"select {sig_sql('avg(case when actual = predicted then 1.0 else 0.0 end)')} as accuracy, "
+    "count(*) as n from c", c=CLASSIFIER_SQL))
+def q_metric_accuracy(spark, sf):
+    """Share of equal labels."""
+    return rounded(M.accuracy(_classifier(spark, sf)))
+
+
+@register("metric_confusion", with_cte(
+    "select actual, predicted, count(*) as count from c group by actual, predicted", c=CLASSIFIER_SQL))
+def q_metric_confusion(spark, sf):
+    """Confusion counts (sparse long form of the label grid)."""
+    return M.confusion_counts(_classifier(spark, sf))
+
+
+REGRESSION_PAIRS_SQL = """
+select l_extendedprice as actual, l_quantity * p_retailprice as predicted
+from lineitem join part on l_partkey = p_partkey
+"""
+
+
+@register("metric_regression", with_cte(
+    "select count(*) as n, " + ", ".join([
+        sig_sql("max(abs(actual - predicted))") + " as max_error",
+        sig_sql("avg(abs(actual - predicted))") + " as mean_absolute_error",
+        sig_sql("avg((actual - predicted) * (actual - predicted))") + " as mean_squared_error",
+        sig_sql("sqrt(avg((actual - predicted) * (actual - predicted)))") + " as root_mean_squared_error",
+        sig_sql("case when var_pop(actual) > 0 then 1 - sum((actual - predicted) * (actual - predicted)) "
+                "/ (var_pop(actual) * count(*)) when sum((actual - predicted) * (actual - predicted)) = 0 "
+                "then 1.0 else 0.0 end") + " as r2"]) + " from p", p=REGRESSION_PAIRS_SQL))
+def q_metric_regression(spark, sf):
+    """E3-E7 on line items: list price (quantity x retail price) as the
+    prediction of the extended price."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
+    pt = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    pairs = li.join(pt, li.l_partkey == pt.p_partkey).select(
+        F.col("l_extendedprice").alias("actual"),
+        (F.col("l_quantity") * F.col("p_retailprice")).alias("predicted"))
+    return rounded(M.regression_metrics(pairs))
+
+
+# ============================================ split, folds, features (2.6)
+
+from .functions import hashing as H  # noqa: E402
+from .operators.features import interactions, standardize  # noqa: E402
+from .operators.split import with_folds, with_split  # noqa: E402
+
+OF = {"order_features": fx.ORDER_FEATURES_SQL}
+_DIG = H.digest_sql("id", 42)
+
+
+@register("train_test_split", with_cte(
+    f"select id, case when {H.is_test_sql(_DIG, 0.2)} then 'test' else 'train' end as split "
+    "from order_features", **OF))
+def q_train_test_split(spark, sf):
+    """M1: 20 % test rows by key hash (seed 42)."""
+    return with_split(fx.order_features(spark, sf), "id", 0.2, 42).select("id", "split")
+
+
+@register("fold_assignment", with_cte(
+    f"select id, {H.fold_sql(_DIG, H.LEVEL_OUTER, 5)} as outer_fold, "
+    f"{H.fold_sql(_DIG, H.LEVEL_INNER, 5)} as inner_fold, {H.fold_sql(_DIG, H.LEVEL_EN, 5)} as en_fold "
+    "from order_features", **OF))
+def q_fold_assignment(spark, sf):
+    """M3: outer, inner and elastic-net folds (5 each) by key hash."""
+    return with_folds(fx.order_features(spark, sf), "id", 42, 5).select(
+        "id", "outer_fold", "inner_fold", "en_fold")
+
+
+_STD_COLS = ["n_lines", "sum_qty", "avg_disc", "avg_tax"]
+
+
+@register("standardize", with_cte(
+    "select id, " + ", ".join(
+        sig_sql(f"({c} - (select avg({c}) from order_features)) / (select case when stddev_pop({c}) = 0 "
+                f"then 1 else stddev_pop({c}) end from order_features)") + f" as {c}" for c in _STD_COLS)
+    + " from order_features", **OF))
+def q_standardize(spark, sf):
+    """M4: (x - mean) / population sd, zero sd -> 1."""
+    return rounded(standardize(fx.order_features(spark, sf), _STD_COLS, keep=["id"]))
+
+
+_INT_COLS = ["n_lines", "sum_qty", "avg_disc"]
+
+
+@register("interactions", with_cte(
+    "select id, 1.0 as \"1\", n_lines, sum_qty, avg_disc, "
+    + sig_sql("n_lines * sum_qty") + " as \"n_lines*sum_qty\", "
+    + sig_sql("n_lines * avg_disc") + " as \"n_lines*avg_disc\", "
+    + sig_sql("sum_qty * avg_disc") + " as \"sum_qty*avg_disc\" from order_features", **OF))
+def q_interactions(spark, sf):
+    """M7: 1, x_i, x_i*x_j (i<j) -- no squares."""
+    return rounded(interactions(fx.order_features(spark, sf), _INT_COLS, keep=["id"]))
+
+
+# ============================================================ transforms
+
+from .functions.transforms import ExpT, LogMinPlus1, LogP1, LogSigned  # noqa: E402
+
+_ACCT = "select c_custkey, c_acctbal from customer"
+
+
+def _acct(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+
+
+@register("target_log1p", with_cte(
+    "select c_custkey, " + sig_sql("ln(1 + c_acctbal + s.shift)") + " as fwd, "
+    + sig_sql("exp(ln(1 + c_acctbal + s.shift)) - 1 - s.shift", 6) + " as back "
+    "from a, (select case when min(c_acctbal) < 0 then -min(c_acctbal) else 0 end as shift from a) s",
+    a=_ACCT))
+def q_target_log1p(spark, sf):
+    """log1p with a shift for negative minima, and the inverse."""
+    df = _acct(spark, sf)
+    t = LogP1().fit(df, "c_acctbal")
+    y = F.col("c_acctbal")
+    out = df.select("c_custkey", t.forward(y).alias("fwd"), t.inverse(t.forward(y)).alias("back"))
+    return out.select("c_custkey", sig_col("fwd"), sig("`back`", 6).alias("back"))
+
+
+@register("target_log_min_plus1", with_cte(
+    "select c_custkey, " + sig_sql("ln(c_acctbal - s.m + 1)") + " as fwd, "
+    + sig_sql("exp(ln(c_acctbal - s.m + 1)) - 1 + s.m", 6) + " as back "
+    "from a, (select min(c_acctbal) as m from a) s", a=_ACCT))
+def q_target_log_min_plus1(spark, sf):
+    """ln(x - min + 1) and its inverse."""
+    df = _acct(spark, sf)
+    t = LogMinPlus1().fit(df, "c_acctbal")
+    y = F.col("c_acctbal")
+    out = df.select("c_custkey", t.forward(y).alias("fwd"), t.inverse(t.forward(y)).alias("back"))
+    return out.select("c_custkey", sig_col("fwd"), sig("`back`", 6).alias("back"))
+
+
+@register("target_log_signed", with_cte(
+    "select c_custkey, " + sig_sql("case when c_acctbal = 0 then 'NaN'::double else sign(c_acctbal) * ln(abs(c_acctbal)) end")
+    + " as fwd from a", a=_ACCT))
+def q_target_log_signed(spark, sf):
+    """M9d: sign(y) * ln|y|."""
+    df = _acct(spark, sf)
+    return df.select("c_custkey", LogSigned().forward(F.col("c_acctbal")).alias("fwd")).select(
+        "c_custkey", sig_col("fwd"))
+
+
+@register("target_exp", with_cte(
+    "select event_id, " + sig_sql("exp(value / 100)") + " as fwd, "
+    + sig_sql("case when exp(value / 100) > 0 then ln(exp(value / 100)) else 0 end", 6) + " as back from e",
+    e="select event_id, value from events"))
+def q_target_exp(spark, sf):
+    """M9e: exp and its guarded inverse on scaled event values."""
+    ev = table(spark, sf, "events").select("event_id", (F.col("value") / 100).alias("v"))
+    t = ExpT()
+    out = ev.select("event_id", t.forward(F.col("v")).alias("fwd"),
+                    t.inverse(t.forward(F.col("v"))).alias("back"))
+    return out.select("event_id", sig_col("fwd"), sig("`back`", 6).alias("back"))
+
+
+# ============================================== least squares and the fit
+
+from .operators import selection as SEL  # noqa: E402
+from .operators.crossval import fold_r2  # noqa: E402
+from .operators.moments import basis_expressions  # noqa: E402,F401
+from .plans import autoreg as AR  # noqa: E402
+
+_LABEL = "sum_ext"
+_GRAM_X = ["n_lines", "sum_qty", "avg_disc", "avg_tax"]
+
+
+def _gram_terms(xs, label):
+    from itertools import combinations
+    return ["1", *xs, *[f"{a}*{b}" for a, b in combinations(xs, 2)], label]
+
+
+def _gram_sql_expr(term):
+    return "1.0" if term == "1" else term.replace("*", " * ")
+
+
+@register("gram_matrix", with_cte(" union all ".join(
+    f"select {i} as i, {j} as j, '{a}' as term_i, '{b}' as term_j, "
+    + sig_sql(f"sum(({_gram_sql_expr(a)}) * ({_gram_sql_expr(b)}))") + " as value from order_features"
+    for i, a in enumerate(_gram_terms(_GRAM_X, _LABEL)) for j, b in enumerate(_gram_terms(_GRAM_X, _LABEL))
+    if i <= j), **OF))
+def q_gram_matrix(spark, sf):
+    """Sum of z z' for z = [1, x, x_i*x_j, y] in one distributed pass."""
+    G = SEL.gram(fx.order_features(spark, sf), _LABEL, _GRAM_X)
+    terms = _gram_terms(_GRAM_X, _LABEL)
+    rows = [(i, j, terms[i], terms[j], float(G[i, j])) for i in range(len(terms))
+            for j in range(len(terms)) if i <= j]
+    df = spark.createDataFrame(rows, "i int, j int, term_i string, term_j string, value double")
+    return rounded(df)
+
+
+_OLS_X = ["sum_qty", "n_lines"]
+
+
+@register("ols_fit", with_cte(
+    "select 'intercept' as term, " + sig_sql("my - b1 * m1 - b2 * m2", 7) + " as coef from b union all "
+    "select 'sum_qty', " + sig_sql("b1", 7) + " from b union all "
+    "select 'n_lines', " + sig_sql("b2", 7) + " from b",
+    order_features=fx.ORDER_FEATURES_SQL,
+    s="select var_pop(sum_qty) as s11, var_pop(n_lines) as s22, covar_pop(sum_qty, n_lines) as s12, "
+      "covar_pop(sum_qty, sum_ext) as s1y, covar_pop(n_lines, sum_ext) as s2y, avg(sum_ext) as my, "
+      "avg(sum_qty) as m1, avg(n_lines) as m2 from order_features",
+    b="select (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as b1, "
+      "(s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) as b2, my, m1, m2 from s"))
+def q_ols_fit(spark, sf):
+    """M8: OLS with intercept from the Gram (two predictors)."""
+    m = SEL.fit_ols(fx.order_features(spark, sf), _LABEL, _OLS_X)
+    rows = [("intercept", m.intercept), *zip(m.features, m.coef)]
+    df = spark.createDataFrame(rows, "term string, coef double")
+    return df.select("term", sig("coef", 7).alias("coef"))
+
+
+_SPLIT_SQL = ("select *, case when " + H.is_test_sql(_DIG, 0.2) + " then 'test' else 'train' end as split "
+              "from order_features")
+_ONE_MODEL_SQL = ("select regr_slope(sum_ext, sum_qty) as b, regr_intercept(sum_ext, sum_qty) as a "
+                  "from sp where split = 'train'")
+
+
+def _one_predictor(spark, sf):
+    df = with_split(fx.order_features(spark, sf), "id", 0.2, 42)
+    model = SEL.fit_ols(df.where(F.col("split") == "train"), _LABEL, ["sum_qty"])
+    return model, df
+
+
+@register("predict_linear", with_cte(
+    "select id, " + sig_sql("a + b * sum_qty", 8) + " as prediction from sp, m where split = 'test'",
+    order_features=fx.ORDER_FEATURES_SQL, sp=_SPLIT_SQL, m=_ONE_MODEL_SQL))
+def q_predict_linear(spark, sf):
+    """A fitted model applied as one projection to the held-out rows."""
+    model, df = _one_predictor(spark, sf)
+    out = model.predict(df.where(F.col("split") == "test"))
+    return out.select("id", sig("prediction", 8).alias("prediction"))
+
+
+@register("residuals", with_cte(
+    "select id, sum_ext - " + sig_sql("a + b * sum_qty", 8) + " as residual from sp, m where split = 'test'",
+    order_features=fx.ORDER_FEATURES_SQL, sp=_SPLIT_SQL, m=_ONE_MODEL_SQL))
+def q_residuals(spark, sf):
+    """Actual - predicted on the held-out rows."""
+    model, df = _one_predictor(spark, sf)
+    out = model.predict(df.where(F.col("split") == "test"), "p")
+    return out.select("id", (F.col(_LABEL) - sig("p", 8)).alias("residual"))
+
+
+_SCORE_COLS = ("count(*) as n, " + sig_sql("avg(abs(sum_ext - p))") + " as mean_absolute_error, "
+               + sig_sql("case when var_pop(sum_ext) > 0 then 1 - sum((sum_ext - p) * (sum_ext - p)) "
+                         "/ (var_pop(sum_ext) * count(*)) else 0 end") + " as r2")
+
+
+@register("split_scores", with_cte(
+    "select split, " + _SCORE_COLS + " from (select split, sum_ext, a + b * sum_qty as p from sp, m) "
+    "group by split", order_features=fx.ORDER_FEATURES_SQL, sp=_SPLIT_SQL, m=_ONE_MODEL_SQL))
+def q_split_scores(spark, sf):
+    """Train and test scores of the held-out fit, grouped by split."""
+    model, df = _one_predictor(spark, sf)
+    sc = M.regression_metrics(model.predict(df), F.col(_LABEL), F.col("prediction"), by=["split"])
+    return sc.select("split", "n", sig_col("mean_absolute_error"), sig_col("r2"))
+
+
+@register("resubstitution_score", with_cte(
+    "select count(*) as n, " + sig_sql("regr_r2(sum_ext, sum_qty)") + " as r2 from order_features", **OF))
+def q_resubstitution_score(spark, sf):
+    """M2: one_out -- fit and score on every row."""
+    df = with_split(fx.order_features(spark, sf), "id", one_out=True)
+    model = SEL.fit_ols(df, _LABEL, ["sum_qty"])
+    sc = M.regression_metrics(model.predict(df), F.col(_LABEL), F.col("prediction"))
+    return sc.select("n", sig_col("r2"))
+
+
+@register("cv_fold_r2", with_cte(
+    "select fold, cast(n as bigint) as n, " + sig_sql(
+        "case when sst > 0 then 1 - sse / sst when sse = 0 then 1.0 else 0.0 end") + " as r2 from ("
+    "select fold, n, syy - 2 * a * sy - 2 * b * sxy + n * a * a + 2 * a * b * sx + b * b * sxx as sse, "
+    "syy - sy * sy / n as sst from ("
+    "select *, (tsy - b * tsx) / tn as a from ("
+    "select *, (tsxy - tsx * tsy / tn) / (tsxx - tsx * tsx / tn) as b from ("
+    "select *, sum(n) over () - n as tn, sum(sx) over () - sx as tsx, sum(sy) over () - sy as tsy, "
+    "sum(sxx) over () - sxx as tsxx, sum(sxy) over () - sxy as tsxy from ("
+    "select " + H.fold_sql(_DIG, H.LEVEL_OUTER, 5) + " as fold, cast(count(*) as double) as n, "
+    "sum(xc) as sx, sum(yc) as sy, sum(xc * xc) as sxx, sum(xc * yc) as sxy, sum(yc * yc) as syy from ("
+    "select id, sum_qty - (select avg(sum_qty) from order_features) as xc, "
+    "sum_ext - (select avg(sum_ext) from order_features) as yc from order_features) group by 1)))))",
+    **OF))
+def q_cv_fold_r2(spark, sf):
+    """M12 (S form): per-fold R^2 of a one-predictor OLS fitted on the other folds."""
+    df = with_folds(fx.order_features(spark, sf), "id", 42, 5, levels=("outer",))
+    return fold_r2(df, _LABEL, "sum_qty", "outer_fold").select("fold", "n", sig_col("r2"))
+
+
+_SEL_X = [c for c in fx.FEATURES if c != _LABEL]
+
+
+@register("lars_select")
+def q_lars_select(spark, sf):
+    """M5: LARS (4 steps) keeps the columns with positive coefficients."""
+    chosen, coef = SEL.select_features(fx.order_features(spark, sf), _LABEL, _SEL_X, "lars", 4)
+    rows = [(f, c, f in chosen) for f, c in zip(_SEL_X, coef)]
+    return spark.createDataFrame(rows, "feature string, coef double, selected boolean")
+
+
+@register("elastic_net_select")
+def q_elastic_net_select(spark, sf):
+    """M6: cross-validated elastic net keeps the positive coefficients."""
+    chosen, coef = SEL.select_features(fx.order_features(spark, sf), _LABEL, _SEL_X, "elastic-net")
+    rows = [(f, c, f in chosen) for f, c in zip(_SEL_X, coef)]
+    return spark.createDataFrame(rows, "feature string, coef double, selected boolean")
+
+
+_FITS: dict = {}
+
+
+def auto_fit(spark, sf, response="response", features=tuple(fx.FEATURES)):
+    """The flagship fit (memoised per session and input)."""
+    key = (id(spark), sf, response, tuple(features))
+    if key not in _FITS:
+        df = fx.order_features(spark, sf)
+        _FITS[key] = (AR.fit_auto_regression(df, response, list(features), key="id"), df)
+    return _FITS[key]
+
+
+@register("auto_regression")
+def q_auto_regression(spark, sf):
+    """The whole automated fit on the order features (k = 9); returns the
+    final model's train/test scores with the chosen transform and max_k."""
+    fit, df = auto_fit(spark, sf)
+    sc = AR.split_scores(fit.model, df)
+    return (sc.select("split", "n", "r2", "mean_absolute_error", "root_mean_squared_error")
+            .withColumn("transform", F.lit(fit.model.transform))
+            .withColumn("max_k", F.lit(fit.model.max_k))
+            .withColumn("terms", F.lit(",".join(fit.model.selected_terms))))
+
+
+@register("cv_results")
+def q_cv_results(spark, sf):
+    """Outer candidates with per-fold R^2, mean, sd and rank."""
+    fit, _ = auto_fit(spark, sf)
+    return AR.cv_results(fit)
+
+
+@register("grid_search_outer")
+def q_grid_search_outer(spark, sf):
+    """Per transform and outer fold, the chosen max_k and its R^2."""
+    fit, _ = auto_fit(spark, sf)
+    return fit.outer_scores
+
+
+@register("grid_search_inner")
+def q_grid_search_inner(spark, sf):
+    """The inner grid of the final refit (all training rows)."""
+    fit, _ = auto_fit(spark, sf)
+    inner = fit.inner_scores.where(F.col("outer_fold") == AR.ALL)
+    from pyspark.sql import Window
+    summary = inner.groupBy("transform", "max_k").agg(F.avg("r2").alias("mean_r2"),
+                                                      F.stddev_pop("r2").alias("std_r2"))
+    w = Window.partitionBy("transform").orderBy(F.desc("mean_r2"), "max_k")
+    return summary.withColumn("rank", F.rank().over(w))
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """The fitted model is written to the shared folder as a table, read
+    back and applied (predictions for every order)."""
+    from .sources.artifacts import load_model, save_model
+    fit, df = auto_fit(spark, sf)
+    path = save_model(spark, fit.model)
+    model = load_model(spark, path)
+    return model.predict(df).select("id", sig("prediction", 8).alias("prediction"))
+
+
+@register("score_table", with_cte(
+    "select model_id, " + _SCORE_COLS.replace("sum_qty", "x") + " from ("
+    "select 1 as model_id, sum_ext, a1 + b1 * sum_qty as p from sp, m union all "
+    "select 2 as model_id, sum_ext, a2 + b2 * n_lines as p from sp, m) group by model_id",
+    order_features=fx.ORDER_FEATURES_SQL, sp=_SPLIT_SQL,
+    m="select regr_slope(sum_ext, sum_qty) as b1, regr_intercept(sum_ext, sum_qty) as a1, "
+      "regr_slope(sum_ext, n_lines) as b2, regr_intercept(sum_ext, n_lines) as a2 from sp where split = 'train'"))
+def q_score_table(spark, sf):
+    """Predictions of two models written partitioned by model_id, read
+    back, scored per model."""
+    df = with_split(fx.order_features(spark, sf), "id", 0.2, 42)
+    train = df.where(F.col("split") == "train")
+    outs = []
+    for mid, x in ((1, "sum_qty"), (2, "n_lines")):
+        m = SEL.fit_ols(train, _LABEL, [x])
+        outs.append(m.predict(df).select(F.lit(mid).alias("model_id"), "id", "split",
+                                         F.col(_LABEL).alias("actual"), "prediction",
+                                         (F.col(_LABEL) - F.col("prediction")).alias("residual")))
+    path = scratch_path(spark, "scores")
+    write_dataset(outs[0].unionByName(outs[1]), path, partition_by=["model_id"])
+    back = read_dataset(spark, path)
+    sc = M.regression_metrics(back, F.col("actual"), F.col("prediction"), by=["model_id"])
+    return sc.select("model_id", "n", sig_col("mean_absolute_error"), sig_col("r2"))
