@@ -648,3 +648,284 @@ def q_score_table(spark, sf):
     back = read_dataset(spark, path)
     sc = M.regression_metrics(back, F.col("actual"), F.col("prediction"), by=["model_id"])
     return sc.select("model_id", "n", sig_col("mean_absolute_error"), sig_col("r2"))
+
+
+# ================================== projections, predicates, registry (2.2, 2.8)
+
+from .functions.validate import point_errors, valid_point  # noqa: E402
+from .operators import registry as R  # noqa: E402
+from .operators.frames import missing_inputs_column, parse_attribute_column  # noqa: E402
+
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@register("parse_attributes", """
+select user_id, count(distinct event_type) as n_attrs,
+       string_agg(distinct event_type, ',' order by event_type) as attrs
+from events group by user_id
+""")
+def q_parse_attributes(spark, sf):
+    """Attribute lists stored as Python-repr text are parsed per row."""
+    ev = table(spark, sf, "events")
+    text = ev.groupBy("user_id").agg(
+        F.concat(F.lit("['"), F.array_join(F.sort_array(F.collect_set("event_type")), "', '"),
+                 F.lit("']")).alias("attributes"))
+    parsed = text.select("user_id", parse_attribute_column(F.col("attributes")).alias("a"))
+    return parsed.select("user_id", F.size("a").cast("bigint").alias("n_attrs"),
+                         F.array_join("a", ",").alias("attrs"))
+
+
+@register("list_children", "select doc_id, lang, source, n_chars from documents")
+def q_list_children(spark, sf):
+    """Dataset listing without the payload column (never scanned)."""
+    return R.list_children(table(spark, sf, "documents"), payload=("text",))
+
+
+_PT = {"start": ("c_acctbal / 50", "c_acctbal / 25"),
+       "end": ("c_nationkey * 4.0 - 40", "c_acctbal / 60"),
+       "o": ("c_acctbal / 110", "c_nationkey * 8.0 - 100")}
+
+
+def _valid_sql(lat, lon):
+    return f"(({lat}) > -90 and ({lat}) < 90 and ({lon}) > -180 and ({lon}) < 180)"
+
+
+@register("valid_points", "select c_custkey, " + _valid_sql(*_PT["start"]) + " as valid from customer")
+def q_valid_points(spark, sf):
+    """Strict latitude/longitude bounds."""
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", valid_point(F.col("c_acctbal") / 50, F.col("c_acctbal") / 25).alias("valid"))
+
+
+def _pt_cols():
+    c = F.col
+    return {"start_point": (c("c_acctbal") / 50, c("c_acctbal") / 25),
+            "end_point": (c("c_nationkey") * 4.0 - 40, c("c_acctbal") / 60),
+            "o_point": (c("c_acctbal") / 110, c("c_nationkey") * 8.0 - 100)}
+
+
+@register("point_errors", "select c_custkey, n_errors, errors from (select c_custkey, "
+          "(case when not " + _valid_sql(*_PT["start"]) + " then 1 else 0 end) + "
+          "(case when not " + _valid_sql(*_PT["end"]) + " then 1 else 0 end) + "
+          "(case when not " + _valid_sql(*_PT["o"]) + " then 1 else 0 end) as n_errors, "
+          "concat_ws('; ', "
+          "case when not " + _valid_sql(*_PT["start"]) + " then 'Start point coordinates, start_latitude/start_longitude, are invalid' end, "
+          "case when not " + _valid_sql(*_PT["end"]) + " then 'End point coordinates, end_latitude/end_longitude, are invalid' end, "
+          "case when not " + _valid_sql(*_PT["o"]) + " then 'Orientation point coordinates, o_latitude/o_longitude, are invalid' end"
+          ") as errors from customer) where n_errors > 0")
+def q_point_errors(spark, sf):
+    """One message per invalid point (start, end, orientation)."""
+    c = table(spark, sf, "customer")
+    e = c.select("c_custkey", point_errors(_pt_cols()).alias("e"))
+    return e.select("c_custkey", F.size("e").alias("n_errors"), F.array_join("e", "; ").alias("errors")) \
+        .where(F.col("n_errors") > 0)
+
+
+@register("missing_inputs", """
+select event_id, 'The following required parameters were not found: ' ||
+       concat_ws(',', case when event_type = 'error' then 'dataset_id' end,
+                      case when value < 10 then 'model_id' end) as message
+from events where event_type = 'error' or value < 10
+""")
+def q_missing_inputs(spark, sf):
+    """Per request row, the required parameters it lacks."""
+    ev = table(spark, sf, "events")
+    keys = F.filter(F.array(F.lit("workflow_id"),
+                            F.when(F.col("event_type") != "error", F.lit("dataset_id")),
+                            F.when(F.col("value") >= 10, F.lit("model_id"))), lambda k: k.isNotNull())
+    out = ev.select("event_id", missing_inputs_column(["workflow_id", "dataset_id", "model_id"], keys)
+                    .alias("message"))
+    return out.where(F.col("message").isNotNull())
+
+
+@register("metadata_pivot", with_cte(
+    "select base_id, " + ", ".join(f"max(value) filter (where name = '{n}') as {n}" for n in _EVENT_TYPES)
+    + " from meta group by base_id", meta=fx.METADATA_SQL))
+def q_metadata_pivot(spark, sf):
+    """R2: name -> value per base for the requested names (one column each)."""
+    return R.metadata_get(fx.metadata(spark, sf), names=_EVENT_TYPES)
+
+
+_CUT = "2024-01-16"
+
+
+@register("metadata_upsert", with_cte(
+    "select coalesce(u.base_id, c.base_id) as base_id, coalesce(u.name, c.name) as name, "
+    "coalesce(u.value, c.value) as value, coalesce(u.seq, c.seq) as seq "
+    "from cur c full outer join upd u on c.base_id = u.base_id and c.name = u.name",
+    cur=f"select base_id, name, arg_max(value, seq) as value, max(seq) as seq from ({fx.METADATA_LOG_SQL}) "
+        f"where ts < timestamp '{_CUT}' group by base_id, name",
+    upd=f"select base_id, name, arg_max(value, seq) as value, max(seq) as seq from ({fx.METADATA_LOG_SQL}) "
+        f"where ts >= timestamp '{_CUT}' group by base_id, name"))
+def q_metadata_upsert(spark, sf):
+    """The metadata table as of the cut, upserted with the later writes."""
+    log = fx.metadata_log(spark, sf)
+    cur = R.metadata_latest(log.where(F.col("ts") < F.lit(_CUT).cast("timestamp_ntz")))
+    return R.metadata_upsert(cur, log.where(F.col("ts") >= F.lit(_CUT).cast("timestamp_ntz")))
+
+
+_DEL_REQ_SQL = ("select base_id, case when t = 'error' then null else t end as name from "
+                f"(select base_id, arg_max(name, seq) as t from ({fx.METADATA_LOG_SQL}) group by base_id)")
+
+
+@register("metadata_delete", with_cte(
+    "select m.base_id, m.name, m.value from meta m where not exists (select 1 from req r where "
+    "r.base_id = m.base_id and (r.name is null or r.name = m.name))",
+    meta=fx.METADATA_SQL, req=_DEL_REQ_SQL))
+def q_metadata_delete(spark, sf):
+    """Delete by name, or all of a base (null name); requests are each
+    base's latest event: its type, or everything after an error."""
+    log = fx.metadata_log(spark, sf)
+    req = log.groupBy("base_id").agg(F.max_by("name", "seq").alias("t")).select(
+        "base_id", F.when(F.col("t") == "error", F.lit(None)).otherwise(F.col("t")).alias("name"))
+    return R.metadata_delete(fx.metadata(spark, sf), req).select("base_id", "name", "value")
+
+
+_CHAIN_CTES = dict(models=fx.MODELS_SQL, workflows=fx.WORKFLOWS_SQL, locations=fx.LOCATIONS_SQL,
+                   owners=fx.OWNERS_SQL)
+
+
+@register("owner_chain", with_cte(
+    "select m.model_id, m.workflow_id, w.location_id, l.owner_id from models m "
+    "join workflows w on m.workflow_id = w.workflow_id join locations l on w.location_id = l.location_id "
+    "join owners o on l.owner_id = o.owner_id", **_CHAIN_CTES))
+def q_owner_chain(spark, sf):
+    """The owner of every model along model -> workflow -> location."""
+    return R.owner_chain(fx.models(spark, sf), fx.workflows(spark, sf), fx.locations(spark, sf),
+                         fx.owners(spark, sf))
+
+
+_GRANT_CUT = "2024-01-16"
+_OWNERS_OBJ_SQL = "select 'Location' as object_type, location_id as object_id, owner_id from locations"
+
+
+def _grant_sql(where):
+    return (f"select grantor_id as owner_id, target_user_id, object_type, object_id, "
+            f"arg_max(expiration, (ts, request_id)) as expiration, arg_max(access_type, (ts, request_id)) as access_type "
+            f"from req r where {where} and exists (select 1 from own o where o.object_type = r.object_type and "
+            f"o.object_id = r.object_id and o.owner_id = r.grantor_id) "
+            f"group by grantor_id, target_user_id, object_type, object_id")
+
+
+_ACL_CTES = dict(locations=fx.LOCATIONS_SQL, own=_OWNERS_OBJ_SQL, req=fx.GRANT_REQUESTS_SQL,
+                 acl0=_grant_sql(f"ts < timestamp '{_GRANT_CUT}'"),
+                 upd=_grant_sql(f"ts >= timestamp '{_GRANT_CUT}'"),
+                 acl="select coalesce(u.owner_id, a.owner_id) as owner_id, "
+                     "coalesce(u.target_user_id, a.target_user_id) as target_user_id, "
+                     "coalesce(u.object_type, a.object_type) as object_type, "
+                     "coalesce(u.object_id, a.object_id) as object_id, "
+                     "coalesce(u.expiration, a.expiration) as expiration, "
+                     "coalesce(u.access_type, a.access_type) as access_type "
+                     "from acl0 a full outer join upd u on a.owner_id = u.owner_id and "
+                     "a.target_user_id = u.target_user_id and a.object_type = u.object_type and "
+                     "a.object_id = u.object_id")
+
+
+def _acl(spark, sf):
+    req = fx.grant_requests(spark, sf)
+    own = R.location_owners(fx.locations(spark, sf))
+    empty = spark.createDataFrame([], "owner_id bigint, target_user_id bigint, object_type string, "
+                                      "object_id bigint, expiration timestamp_ntz, access_type string")
+    cut = F.lit(_GRANT_CUT).cast("timestamp_ntz")
+    acl0 = R.acl_grant(empty, req.where(F.col("ts") < cut), own)
+    return R.acl_grant(acl0, req.where(F.col("ts") >= cut), own), own
+
+
+@register("acl_grant", with_cte("select * from acl", **_ACL_CTES))
+def q_acl_grant(spark, sf):
+    """Grants by owners only, upserted per (owner, target, object)."""
+    acl, _ = _acl(spark, sf)
+    return acl
+
+
+@register("acl_access", with_cte(
+    "select q.request_id, q.user_id, q.object_type, q.object_id, "
+    "coalesce(o.owner_id = q.user_id, false) as is_owner, "
+    "coalesce(o.owner_id = q.user_id, false) or exists (select 1 from acl a where a.target_user_id = q.user_id "
+    "and a.object_type = q.object_type and a.object_id = q.object_id and a.expiration > q.as_of) as allowed "
+    "from q left join own o on o.object_type = q.object_type and o.object_id = q.object_id",
+    **_ACL_CTES, q="select event_id as request_id, user_id, 'Location' as object_type, "
+                   "cast(event_id % 25 as bigint) as object_id, ts as as_of from events"))
+def q_acl_access(spark, sf):
+    """Owner or unexpired grant, for every access request."""
+    acl, own = _acl(spark, sf)
+    ev = table(spark, sf, "events")
+    req = ev.select(F.col("event_id").alias("request_id"), "user_id", F.lit("Location").alias("object_type"),
+                    F.pmod("event_id", F.lit(25)).cast("bigint").alias("object_id"), F.col("ts").alias("as_of"))
+    return R.acl_access(req, own, acl)
+
+
+@register("has_fitted_model", with_cte(
+    "select l.location_id, exists (select 1 from workflows w join models m on m.workflow_id = w.workflow_id "
+    "where w.location_id = l.location_id and m.fitted) as has_fitted_model from locations l", **_CHAIN_CTES))
+def q_has_fitted_model(spark, sf):
+    """Does a fitted model sit below each location?"""
+    return R.has_fitted_model(fx.locations(spark, sf), fx.workflows(spark, sf), fx.models(spark, sf))
+
+
+@register("versioned_update", with_cte(
+    "select location_id, owner_id, name, null::bigint as replaces from locations l "
+    "where not exists (select 1 from hf where hf.location_id = l.location_id and not hf.has_fitted_model) "
+    "union all select location_id, owner_id, lower(name) as name, null::bigint from locations l "
+    "where exists (select 1 from hf where hf.location_id = l.location_id and not hf.has_fitted_model) "
+    "union all select (select max(location_id) from locations) + row_number() over (order by location_id), "
+    "owner_id, lower(name), location_id from locations l "
+    "where exists (select 1 from hf where hf.location_id = l.location_id and hf.has_fitted_model)",
+    **_CHAIN_CTES, hf="select l.location_id, exists (select 1 from workflows w join models m on "
+                      "m.workflow_id = w.workflow_id where w.location_id = l.location_id and m.fitted) "
+                      "as has_fitted_model from locations l"))
+def q_versioned_update(spark, sf):
+    """Rename every location; ones with fitted models below keep their
+    row and get a new version with a fresh id."""
+    locs = fx.locations(spark, sf)
+    hf = R.has_fitted_model(locs, fx.workflows(spark, sf), fx.models(spark, sf))
+    upd = locs.withColumn("name", F.lower("name"))
+    return R.versioned_update(locs, upd, hf, "location_id")
+
+
+@register("cascade_delete", with_cte(
+    "select m.model_id, m.workflow_id from models m where not exists (select 1 from workflows w "
+    "join locations l on w.location_id = l.location_id join owners o on l.owner_id = o.owner_id "
+    "where w.workflow_id = m.workflow_id and o.name = 'AFRICA')", **_CHAIN_CTES))
+def q_cascade_delete(spark, sf):
+    """Deleting one owner's locations removes their workflows and models."""
+    locs = fx.locations(spark, sf)
+    gone = locs.join(fx.owners(spark, sf).where(F.col("name") == "AFRICA"), "owner_id", "left_semi")
+    _, models = R.cascade_delete(gone, fx.workflows(spark, sf), fx.models(spark, sf))
+    return models.select("model_id", "workflow_id")
+
+
+@register("run_status", with_cte(
+    "select model_id, arg_max(status, (ts, event_id)) as status, arg_max(stage, (ts, event_id)) as stage, "
+    "arg_max_null(message, (ts, event_id)) as message, "
+    "cast(split_part(arg_max(stage, (ts, event_id)), '/', 1) as integer) as step, "
+    "cast(split_part(arg_max(stage, (ts, event_id)), '/', 2) as integer) as steps, "
+    "cast(split_part(arg_max(stage, (ts, event_id)), '/', 1) as integer) = "
+    "cast(split_part(arg_max(stage, (ts, event_id)), '/', 2) as integer) as completed "
+    "from log group by model_id", log=fx.RUN_LOG_SQL))
+def q_run_status(spark, sf):
+    """Latest status per model, stage parsed, completion flag."""
+    return R.run_status(fx.run_log(spark, sf))
+
+
+_REQ_SQL = ("select event_id as request_id, user_id * 10 as workflow_id, event_id as dataset_id, "
+            "event_id * 2 as model_id from events")
+
+
+@register("missing_ids", with_cte(
+    "select * from (select r.*, concat_ws(', ', "
+    "case when not exists (select 1 from customer c where c.c_custkey = r.workflow_id) "
+    "then 'No workflow found for id: ' || r.workflow_id end, "
+    "case when not exists (select 1 from documents d where d.doc_id = r.dataset_id) "
+    "then 'No dataset found for id: ' || r.dataset_id end, "
+    "case when not exists (select 1 from orders o where o.o_orderkey = r.model_id) "
+    "then 'No analytical model found for id: ' || r.model_id end) as message from req r) where message <> ''",
+    req=_REQ_SQL))
+def q_missing_ids(spark, sf):
+    """Every request's missing workflow / dataset / model ids."""
+    ev = table(spark, sf, "events")
+    req = ev.select(F.col("event_id").alias("request_id"), (F.col("user_id") * 10).alias("workflow_id"),
+                    F.col("event_id").alias("dataset_id"), (F.col("event_id") * 2).alias("model_id"))
+    return R.missing_ids(req, {"workflow_id": table(spark, sf, "customer").select("c_custkey"),
+                               "dataset_id": table(spark, sf, "documents").select("doc_id"),
+                               "model_id": table(spark, sf, "orders").select("o_orderkey")})
