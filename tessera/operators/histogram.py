@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import q
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65536
 
 
 @dataclass(frozen=True)
@@ -67,49 +67,72 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def histogram(df: DataFrame, cols: list[str]) -> DataFrame:
-    return long_values(df, cols).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-
 def bucket_count(stats: ColumnStats, rows_per_bucket: int) -> int:
-    widest = max(stats.approx_distinct.values(), default=0)
+    """Buckets so that no bucket holds more than ~rows_per_bucket rows (and
+    hence histogram entries) of any column."""
+    widest = max(stats.count.values(), default=0)
     return max(1, min(MAX_BUCKETS, math.ceil(widest / max(1, rows_per_bucket))))
 
 
-def with_buckets(hist: DataFrame, buckets: int) -> DataFrame:
-    if buckets <= 1:
-        return hist.withColumn("bucket", F.lit(0))
-    fracs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10000, 20 * buckets)
-    bounds = (hist.groupBy("variable")
-              .agg(F.percentile_approx("value", fracs, accuracy).alias("bounds")))
-    # one row per variable, each holding buckets-1 doubles: bounded, broadcast
-    joined = hist.join(F.broadcast(bounds), "variable")
-    # materialise the search step by step: each step is one cheap projection
-    out = joined.withColumn("bucket", F.lit(0))
-    step = 1 << max(0, (buckets - 1).bit_length() - 1)
-    length = buckets - 1
-    while step >= 1:
-        cand = F.col("bucket") + F.lit(step)
-        out = out.withColumn(
-            "bucket",
-            F.when((cand <= F.lit(length)) & (F.try_element_at(F.col("bounds"), cand) <= F.col("value")), cand)
-            .otherwise(F.col("bucket")))
-        step //= 2
-    return out.drop("bounds")
-
-
-def ranked(hist: DataFrame, buckets: int) -> DataFrame:
-    """(variable, value, cnt, bucket, r) with r = rows strictly below value."""
-    hb = with_buckets(hist, buckets)
-    if buckets <= 1:
+SAMPLE_PER_BUCKET = 32
+
+
+def bucket_splits(df: DataFrame, cols: list[str], buckets: int, rows: int | None = None,
+                  seed: int = 17) -> dict[str, list[float]]:
+    """Split points at the row quantiles of a seeded Bernoulli sample of about
+    ``SAMPLE_PER_BUCKET * buckets`` rows per column (the range partitioner's
+    recipe).  The sample is bounded by ``SAMPLE_PER_BUCKET * MAX_BUCKETS``
+    rows, so it may come to the driver; the splits then are literals, and
+    every recomputation buckets values identically."""
+    import numpy as np
+    wide = df.select(*[_clean(q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    rows = rows if rows is not None else wide.count()
+    frac = min(1.0, SAMPLE_PER_BUCKET * buckets / max(1, rows))
+    sample = wide.sample(False, frac, seed) if frac < 1.0 else wide
+    pdf = sample.toPandas()
+    probs = np.arange(1, buckets) / buckets
+    out = {}
+    for i, c in enumerate(cols):
+        vals = pdf[f"v{i}"].dropna().to_numpy(dtype=float)
+        inner = sorted(set(np.quantile(vals, probs, method="inverted_cdf").tolist())) if vals.size else []
+        out[c] = [float("-inf"), *inner, float("inf")]
+    return out
+
+
+def histogram(df: DataFrame, cols: list[str], splits: dict[str, list[float]] | None = None) -> DataFrame:
+    """(variable, value, bucket, cnt).  With ``splits`` every value carries
+    its bucket (JVM binary search per column, before the unpivot)."""
+    wide = df.select(*[_clean(q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
+    if splits:
+        from pyspark.ml.feature import Bucketizer
+        wide = Bucketizer(splitsArray=[splits[c] for c in cols],
+                          inputCols=[f"v{i}" for i in range(len(cols))],
+                          outputCols=[f"b{i}" for i in range(len(cols))],
+                          handleInvalid="keep").transform(wide)
+        bucket = lambda i: F.col(f"b{i}").cast("int")
+    else:
+        bucket = lambda i: F.lit(0)
+    entries = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"v{i}").alias("value"),
+                                 bucket(i).alias("bucket")) for i, c in enumerate(cols)])
+    longv = wide.select(F.inline(entries)).where(F.col("value").isNotNull())
+    return longv.groupBy("variable", "value", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def ranked(hist: DataFrame, bucketed: bool) -> DataFrame:
+    """(variable, value, cnt, bucket, r) with r = rows strictly below value.
+
+    Unbucketed: one running sum per variable.  Bucketed: bucket totals are
+    prefix-summed on the small (variable, bucket) table, which is broadcast
+    back; the running sum inside a bucket is a window over (variable, bucket).
+    """
+    if not bucketed:
         w = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return hb.withColumn("r", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    totals = hb.groupBy("variable", "bucket").agg(F.sum("cnt").alias("bcnt"))
+        return hist.withColumn("r", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
+    totals = hist.groupBy("variable", "bucket").agg(F.sum("cnt").alias("bcnt"))
     wo = Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("variable", "bucket",
                             F.coalesce(F.sum("bcnt").over(wo), F.lit(0)).alias("offset"))
     # offsets has at most variables x MAX_BUCKETS rows: broadcast
-    hb = hb.join(F.broadcast(offsets), ["variable", "bucket"])
+    hb = hist.join(F.broadcast(offsets), ["variable", "bucket"])
     w = Window.partitionBy("variable", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     return hb.withColumn("r", F.col("offset") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).drop("offset")

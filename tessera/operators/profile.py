@@ -23,8 +23,8 @@ from pyspark.sql.types import NumericType
 
 from ..functions.columns import q
 from ..functions.normal import ad_pvalue, log_cdf_pair
-from .histogram import (DEFAULT_ROWS_PER_BUCKET, ColumnStats, bucket_count, collect_stats,
-                        histogram, ranked)
+from .histogram import (DEFAULT_ROWS_PER_BUCKET, ColumnStats, bucket_count, bucket_splits,
+                        collect_stats, histogram, ranked)
 
 PROFILE_FIELDS = [
     "variable", "row_count", "null_count", "maximum", "minimum", "average", "unique_values",
@@ -55,7 +55,8 @@ def rank_summary(df: DataFrame, cols: list[str], stats: ColumnStats | None = Non
     """Per variable: n, unique, extremes, zeros, moments, median, A-D."""
     stats = stats or collect_stats(df, cols)
     buckets = bucket_count(stats, rows_per_bucket)
-    hist = ranked(histogram(df, cols), buckets)
+    splits = bucket_splits(df, cols, buckets, stats.rows) if buckets > 1 else None
+    hist = ranked(histogram(df, cols, splits), bucketed=splits is not None)
 
     var = F.col("variable")
     n = _lit_map(stats.count)[var]

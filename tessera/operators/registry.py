@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .histogram import MAX_BUCKETS, ranked
+from .histogram import MAX_BUCKETS, bucket_splits, histogram, ranked
 
 # -------------------------------------------------------------- listings
 
@@ -146,10 +146,11 @@ def versioned_update(table: DataFrame, updates: DataFrame, protected: DataFrame,
     versioned = upd.where(keep_old).drop("has_fitted_model")
     max_id = table.select(F.max(key)).scalar()
     # exact ranks of the versioned keys without a single-task window
-    n_new = versioned.count()
+    keys = versioned.select(F.col(key).cast("double").alias("k"))
+    n_new = keys.count()
     buckets = max(1, min(MAX_BUCKETS, math.ceil(n_new / max(1, rows_per_bucket))))
-    ranks = ranked(versioned.select(F.lit("k").alias("variable"), F.col(key).cast("double").alias("value"),
-                                    F.lit(1).cast("bigint").alias("cnt")), buckets)
+    splits = bucket_splits(keys, ["k"], buckets, n_new) if buckets > 1 else None
+    ranks = ranked(histogram(keys, ["k"], splits), bucketed=splits is not None)
     ranks = ranks.select(F.col("value").cast(table.schema[key].dataType).alias(key), "r")
     new_rows = (versioned.join(ranks, key)
                 .withColumn("replaces", F.col(key))
