@@ -36,6 +36,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import time
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
@@ -50,9 +52,17 @@ from ..functions.hashing import LEVEL_EN, LEVEL_INNER, LEVEL_OUTER, fold, is_tes
 from ..operators import solvers as S
 from ..operators.moments import DEFAULT_MAX_BASIS, basis_expressions, cell_grams, pair_index
 from ..operators.split import row_key
-from ..session import checkpoint_dir
+from pyspark import StorageLevel
 
 TRANSFORMS = ("None_T", "LogP1_T")
+_TRACE = os.environ.get("TESSERA_TRACE") == "1"
+
+
+def _mark(label: str, t0: float) -> float:
+    now = time.perf_counter()
+    if _TRACE:
+        print(f"[autoreg] {label}: {now - t0:.2f}s", flush=True)
+    return now
 REFIT = -1
 ALL = -1
 
@@ -193,7 +203,8 @@ def _feature_map(layout: Layout, mu: np.ndarray, sd: np.ndarray, sel: list[int])
     return np.array(rows), names
 
 
-def fit_cell_model(G_fit: np.ndarray, G_en: np.ndarray, layout: Layout, t_idx: int, max_k: int):
+def fit_cell_model(G_fit: np.ndarray, G_en: np.ndarray, layout: Layout, t_idx: int, max_k: int,
+                   keep: str = "positive"):
     """One pipeline fit from moments: returns (coef over z_x, lars sel, term names, alpha)."""
     k, px = layout.k, layout.px
     x_idx = list(range(1, 1 + k))
@@ -203,7 +214,8 @@ def fit_cell_model(G_fit: np.ndarray, G_en: np.ndarray, layout: Layout, t_idx: i
     sd = np.sqrt(np.clip(var, 0, None))
     sd[sd <= 1e-12 * np.maximum(1.0, np.abs(mu))] = 1.0
     lcoef = S.lars(mx, max_k)
-    sel1 = [int(i) for i in np.where(lcoef > 0)[0]]
+    chosen = (lambda c: c > 0) if keep == "positive" else (lambda c: c != 0)
+    sel1 = [int(i) for i in np.where(chosen(lcoef))[0]]
     T, names = _feature_map(layout, mu, sd, sel1)
     z_idx = list(range(px))
     full = S.moments_from_gram(G_fit, z_idx, t_idx, T)
@@ -213,7 +225,7 @@ def fit_cell_model(G_fit: np.ndarray, G_en: np.ndarray, layout: Layout, t_idx: i
         te = S.moments_from_gram(G_en[e], z_idx, t_idx, T)
         folds.append((tr, te))
     alpha, _, w, _ = S.enet_cv(folds, full)
-    sel2 = [int(j) for j in np.where(w > 0)[0]]
+    sel2 = [int(j) for j in np.where(chosen(w))[0]]
     coef = np.zeros(px)
     if sel2:
         sub = full.subset(sel2)
@@ -248,7 +260,8 @@ def run_task(G: np.ndarray, layout: Layout, task: dict) -> dict:
     fit_mask, val_mask = _masks(layout, task["outer"], task["inner"])
     G_en = cells[fit_mask].sum(axis=0)          # (K en folds, p, p)
     G_fit = G_en.sum(axis=0)
-    coef, sel1, terms, alpha = fit_cell_model(G_fit, G_en, layout, task["t_idx"], task["max_k"])
+    coef, sel1, terms, alpha = fit_cell_model(G_fit, G_en, layout, task["t_idx"], task["max_k"],
+                                              task.get("keep", "positive"))
     score = None
     if val_mask is not None:
         score = score_coef(cells[val_mask].sum(axis=(0, 1)), layout, task["t_idx"], coef)
@@ -284,8 +297,10 @@ def assign_cells(df: DataFrame, key: str | None, s: ModelSettings) -> DataFrame:
 
 
 def fit_auto_regression(df: DataFrame, response: str, features: list[str], key: str | None = "id",
-                        settings: ModelSettings | None = None, max_basis: int = DEFAULT_MAX_BASIS
-                        ) -> FitResult:
+                        settings: ModelSettings | None = None, max_basis: int = DEFAULT_MAX_BASIS,
+                        keep: str = "positive") -> FitResult:
+    """``keep='positive'`` (default, as the reference) keeps features with
+    positive selector coefficients; ``'nonzero'`` keeps negative ones too."""
     s = settings or ModelSettings()
     if s.cv_reps != 1:
         raise NotImplementedError("cv_reps > 1 is not supported; use cv_reps=1")
@@ -297,13 +312,24 @@ def fit_auto_regression(df: DataFrame, response: str, features: list[str], key:
     complete = F.col("_y").isNotNull() & ~F.isnan("_y")
     for i in range(k):
         complete = complete & F.col(f"_x{i}").isNotNull() & ~F.isnan(f"_x{i}")
-    base = base.where(complete)
+    # narrow (cell, y, x...) frame used by three passes: persisted once.  Cells
+    # are a key hash, so a recomputation after a lost executor is identical.
+    base = base.where(complete).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(spark, base, response, features, key, s, k, K, max_basis, keep)
+    finally:
+        base.unpersist()
+
+
+def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitResult:
 
     # -- pass 1: per-cell counts, minima and first/second moments (tiny result)
     aggs = [F.count(F.lit(1)).alias("n"), F.min("_y").alias("ymin"), F.sum("_y").alias("sy")]
     for i in range(k):
         aggs += [F.sum(f"_x{i}").alias(f"s{i}"), F.sum(F.col(f"_x{i}") * F.col(f"_x{i}")).alias(f"ss{i}")]
+    t0 = time.perf_counter()
     per_cell = {r["_cell"]: r for r in base.groupBy("_cell").agg(*aggs).collect()}
+    t0 = _mark("cell stats", t0)
     n_all = sum(r["n"] for r in per_cell.values())
     if n_all == 0:
         raise ValueError("no complete rows to fit")
@@ -335,6 +361,7 @@ def fit_auto_regression(df: DataFrame, response: str, features: list[str], key:
 
     # -- pass 2: the cell Grams
     G = cell_grams(base, xs, targets, F.col("_cell"), layout.n_cells, max_basis)
+    t0 = _mark("gram pass", t0)
 
     # -- the grid on the executors
     cands = candidates(k)
@@ -345,7 +372,7 @@ def fit_auto_regression(df: DataFrame, response: str, features: list[str], key:
             for mk in cands:
                 for inner in list(range(K)) + [REFIT]:
                     tasks.append({"task_id": len(tasks), "transform": t, "outer": o, "max_k": mk,
-                                  "inner": inner, "t_idx": t_idx})
+                                  "inner": inner, "t_idx": t_idx, "keep": keep})
     bc = spark.sparkContext.broadcast((G, layout, tasks))
 
     def solve(batches):
@@ -356,10 +383,11 @@ def fit_auto_regression(df: DataFrame, response: str, features: list[str], key:
             if out:
                 yield pd.DataFrame(out)
 
-    checkpoint_dir(spark)
-    results = (spark.range(0, len(tasks), 1, numPartitions=len(tasks))
-               .mapInPandas(solve, TASK_SCHEMA)).checkpoint(eager=True)
+    parts = max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
+    results = spark.range(0, len(tasks), 1, numPartitions=parts).mapInPandas(solve, TASK_SCHEMA)
     by_id = {r["task_id"]: r for r in results.collect()}
+    bc.unpersist()
+    t0 = _mark(f"grid ({len(tasks)} fits)", t0)
 
     # -- inner choice per (transform, outer): best mean inner R^2, first on ties
     best_k: dict[tuple[str, int], int] = {}
@@ -409,6 +437,7 @@ def fit_auto_regression(df: DataFrame, response: str, features: list[str], key:
             r2 = 1 - sse_ / sst_ if sst_ > 0 else (1.0 if sse_ == 0 else 0.0)
         outer_rows.append(("LogP1_T", int(r["_o"]), best_k[("LogP1_T", int(r["_o"]))], r2))
 
+    t0 = _mark("log-target scoring pass", t0)
     means = []
     for t in TRANSFORMS:
         vals = [r[3] for r in outer_rows if r[0] == t]
