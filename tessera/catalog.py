@@ -434,17 +434,17 @@ def _gram_sql_expr(term):
 
 @register("gram_matrix", with_cte(" union all ".join(
     f"select {i} as i, {j} as j, '{a}' as term_i, '{b}' as term_j, "
-    + sig_sql(f"sum(({_gram_sql_expr(a)}) * ({_gram_sql_expr(b)}))") + " as value from order_features"
+    + sig_sql(f"sum(({_gram_sql_expr(a)}) * ({_gram_sql_expr(b)}))", 8) + " as value from order_features"
     for i, a in enumerate(_gram_terms(_GRAM_X, _LABEL)) for j, b in enumerate(_gram_terms(_GRAM_X, _LABEL))
     if i <= j), **OF))
 def q_gram_matrix(spark, sf):
     """Sum of z z' for z = [1, x, x_i*x_j, y] in one distributed pass."""
-    G = SEL.gram(fx.order_features(spark, sf), _LABEL, _GRAM_X)
-    terms = _gram_terms(_GRAM_X, _LABEL)
-    rows = [(i, j, terms[i], terms[j], float(G[i, j])) for i in range(len(terms))
-            for j in range(len(terms)) if i <= j]
-    df = spark.createDataFrame(rows, "i int, j int, term_i string, term_j string, value double")
-    return rounded(df)
+    from .operators.moments import gram_long
+    df = fx.order_features(spark, sf)
+    g = gram_long(df, [F.col(c).cast("double") for c in _GRAM_X], [F.col(_LABEL).cast("double")],
+                  _gram_terms(_GRAM_X, _LABEL))
+    # 8 digits: sums of 6-decimal inputs can sit exactly on a 9-digit tie
+    return rounded(g, 8)
 
 
 _OLS_X = ["sum_qty", "n_lines"]

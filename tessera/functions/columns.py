@@ -87,9 +87,12 @@ def register_operation(op: Operation) -> None:
 
 
 def normalize_expr(c: str, norm: Column) -> Column:
-    return safe_ratio(d(c), norm)
+    """``norm`` is NaN (never 0) for an all-zero column, so the division
+    cannot raise and references the norm only once."""
+    return d(c) / norm
 
 
 def l2_norm(c: str) -> Column:
     x = d(c)
-    return F.sqrt(F.sum(x * x))
+    s = F.sqrt(F.sum(x * x))
+    return F.when(s == 0, F.lit(float("nan"))).otherwise(s)

@@ -1,9 +1,12 @@
 """Cross-validated R^2 of a one-predictor least-squares fit, from per-fold
-moments only (one grouped aggregate, no second pass over the rows).
+moments only: one scan, one grouped aggregate (map-side combined), then
+arithmetic on the k-row fold table.
 
-For fold f the model is fitted on the complement (total - fold moments) and
-scored on the fold: SSE and SST expand into the fold's own moments.  Values
-are centred by the global means (scalar subqueries) for conditioning.
+Per fold the stable built-ins give n, means, population (co)variances.
+They are re-centred on the pooled mean (a window over the fold table), so
+the complement of fold f -- its training set -- is "all folds minus f" in
+plain sums without cancellation.  The fold's own SSE under the complement's
+line follows from its moments as well; no second pass over the rows.
 """
 
 from __future__ import annotations
@@ -13,20 +16,27 @@ from pyspark.sql import functions as F
 
 
 def fold_r2(df: DataFrame, y: str, x: str, fold_col: str) -> DataFrame:
-    mx = df.select(F.avg(F.col(x).cast("double"))).scalar()
-    my = df.select(F.avg(F.col(y).cast("double"))).scalar()
-    xc = F.col(x).cast("double") - mx
-    yc = F.col(y).cast("double") - my
+    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
     per = df.groupBy(F.col(fold_col).alias("fold")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(xc).alias("sx"), F.sum(yc).alias("sy"),
-        F.sum(xc * xc).alias("sxx"), F.sum(xc * yc).alias("sxy"), F.sum(yc * yc).alias("syy"))
-    every = Window.partitionBy()  # folds table: one row per fold
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(xd).alias("mx"), F.avg(yd).alias("my"),
+        F.var_pop(xd).alias("vx"), F.var_pop(yd).alias("vy"), F.covar_pop(xd, yd).alias("cxy"))
+    every = Window.partitionBy()  # the fold table has one row per fold
+    n, mx, my = F.col("n"), F.col("mx"), F.col("my")
+    px = F.sum(n * mx).over(every) / F.sum(n).over(every)
+    py = F.sum(n * my).over(every) / F.sum(n).over(every)
+    per = per.withColumn("px", px).withColumn("py", py)
+    dx, dy = mx - F.col("px"), my - F.col("py")
+    # fold moments about the pooled means
+    per = per.select("fold", "n",
+                     (n * dx).alias("sx"), (n * dy).alias("sy"),
+                     (n * (F.col("vx") + dx * dx)).alias("sxx"),
+                     (n * (F.col("cxy") + dx * dy)).alias("sxy"),
+                     (n * (F.col("vy") + dy * dy)).alias("syy"))
     tot = {c: F.sum(c).over(every) - F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy")}
-    b = (tot["sxy"] - tot["sx"] * tot["sy"] / tot["n"]) / (tot["sxx"] - tot["sx"] * tot["sx"] / tot["n"])
-    fitted = per.select("*", b.alias("b"), tot["sx"].alias("tsx"), tot["sy"].alias("tsy"),
-                        tot["n"].alias("tn"))
-    a = (F.col("tsy") - F.col("b") * F.col("tsx")) / F.col("tn")
-    fitted = fitted.withColumn("a", a)
+    fitted = per.select("*", *[v.alias(f"t{c}") for c, v in tot.items()])
+    tn, tsx, tsy, tsxx, tsxy = (F.col(f"t{c}") for c in ("n", "sx", "sy", "sxx", "sxy"))
+    b = (tsxy - tsx * tsy / tn) / (tsxx - tsx * tsx / tn)
+    fitted = fitted.withColumn("b", b).withColumn("a", (tsy - F.col("b") * tsx) / tn)
     n, sx, sy, sxx, sxy, syy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy"))
     a, b = F.col("a"), F.col("b")
     sse = syy - 2 * a * sy - 2 * b * sxy + n * a * a + 2 * a * b * sx + b * b * sxx

@@ -28,6 +28,7 @@ from ..functions.columns import q
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 65536
+MIN_SPLIT_ROWS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -67,11 +68,16 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def bucket_count(stats: ColumnStats, rows_per_bucket: int) -> int:
+def bucket_count(stats: ColumnStats, rows_per_bucket: int, parallelism: int = 1) -> int:
     """Buckets so that no bucket holds more than ~rows_per_bucket rows (and
-    hence histogram entries) of any column."""
+    hence histogram entries) of any column; once a column is big enough to
+    matter (MIN_SPLIT_ROWS), at least enough buckets that the rank window
+    spreads over ``parallelism`` tasks even for few columns."""
     widest = max(stats.count.values(), default=0)
-    return max(1, min(MAX_BUCKETS, math.ceil(widest / max(1, rows_per_bucket))))
+    need = math.ceil(widest / max(1, rows_per_bucket))
+    if widest >= MIN_SPLIT_ROWS and len(stats.count) < parallelism:
+        need = max(need, math.ceil(parallelism / max(1, len(stats.count))))
+    return max(1, min(MAX_BUCKETS, need))
 
 
 SAMPLE_PER_BUCKET = 32

@@ -11,9 +11,9 @@ linear map of this basis, so ``sum z z'`` per (fold) cell is sufficient.
 
 Execution: ``mapInPandas`` turns each Arrow batch into a numpy block and adds
 ``Z' Z`` into a per-cell accumulator (BLAS); each task emits one row per
-cell with the upper triangle.  The triangles are exploded and summed per
-(cell, position) -- a shuffle of (tasks x cells x p(p+1)/2) values that does
-not grow with the rows -- then packed back to one array per cell.  The
+cell with the upper triangle.  The per-task triangles are hash-partitioned by
+cell and summed in a streaming reducer (one accumulator per cell) -- a
+shuffle of (tasks x cells) arrays that does not grow with the rows.  The
 driver receives cells x p(p+1)/2 doubles (``max_basis`` bounds p).
 """
 
@@ -45,9 +45,9 @@ def basis_expressions(xs: list[Column]) -> list[Column]:
     return out
 
 
-def cell_grams(df: DataFrame, xs: list[Column], targets: list[Column], cell: Column,
-               n_cells: int, max_basis: int = DEFAULT_MAX_BASIS) -> np.ndarray:
-    """Sum of z z' per cell: array (n_cells, p, p)."""
+def cell_gram_frame(df: DataFrame, xs: list[Column], targets: list[Column], cell: Column,
+                    n_cells: int, max_basis: int = DEFAULT_MAX_BASIS) -> DataFrame:
+    """Lazy DataFrame (cell, tri): the upper triangle of sum z z' per cell."""
     k, t = len(xs), len(targets)
     p = basis_size(k, t)
     if p > max_basis:
@@ -63,6 +63,7 @@ def cell_grams(df: DataFrame, xs: list[Column], targets: list[Column], cell: Col
     pj = np.array([b for _, b in pairs], dtype=int)
 
     def partial(batches):
+        import pandas as pd
         acc: dict[int, np.ndarray] = {}
         for pdf in batches:
             if pdf.empty:
@@ -76,30 +77,64 @@ def cell_grams(df: DataFrame, xs: list[Column], targets: list[Column], cell: Col
                 z[:, 1 + k:1 + k + len(pairs)] = xv[:, pi] * xv[:, pj]
             z[:, 1 + k + len(pairs):] = tv
             cells = pdf["cell"].to_numpy()
-            for c in np.unique(cells):
-                zc = z[cells == c]
+            order = np.argsort(cells, kind="stable")
+            bounds = np.flatnonzero(np.diff(cells[order])) + 1
+            for block in np.split(order, bounds):
+                c = int(cells[block[0]])
+                zc = z[block]
                 g = zc.T @ zc
                 if c in acc:
                     acc[c] += g
                 else:
                     acc[c] = g
+        if acc:
+            yield pd.DataFrame({"cell": list(acc.keys()), "tri": [acc[c][iu] for c in acc]})
+
+    def reduce_cells(batches):
         import pandas as pd
+        acc: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for c, tri in zip(pdf["cell"], pdf["tri"]):
+                a = np.asarray(tri, dtype=float)
+                if c in acc:
+                    acc[c] += a
+                else:
+                    acc[c] = a.copy()
         if acc:
-            yield pd.DataFrame({"cell": list(acc.keys()),
-                                "tri": [acc[c][iu] for c in acc]})
+            yield pd.DataFrame({"cell": list(acc.keys()), "tri": list(acc.values())})
 
     schema = StructType([StructField("cell", IntegerType()),
                          StructField("tri", ArrayType(DoubleType()))])
     parts = inp.mapInPandas(partial, schema)
-    summed = (parts.select("cell", F.posexplode("tri"))
-              .groupBy("cell", "pos").agg(F.sum("col").alias("v")))
-    packed = (summed.groupBy("cell")
-              .agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("tri")))
+    # one row per (task, cell) travels; each reducer keeps one sum per cell
+    n_red = max(1, min(n_cells, df.sparkSession.sparkContext.defaultParallelism))
+    return parts.repartition(n_red, "cell").mapInPandas(reduce_cells, schema)
+
+
+def cell_grams(df: DataFrame, xs: list[Column], targets: list[Column], cell: Column,
+               n_cells: int, max_basis: int = DEFAULT_MAX_BASIS) -> np.ndarray:
+    """Sum of z z' per cell, collected: array (n_cells, p, p)."""
+    p = basis_size(len(xs), len(targets))
+    iu = np.triu_indices(p)
     out = np.zeros((n_cells, p, p))
-    for row in packed.collect():
-        vals = np.array([e["v"] for e in row["tri"]])
+    for row in cell_gram_frame(df, xs, targets, cell, n_cells, max_basis).collect():
         g = np.zeros((p, p))
-        g[iu] = vals
+        g[iu] = np.asarray(row["tri"], dtype=float)
         g = g + g.T - np.diag(np.diag(g))
         out[row["cell"]] = g
     return out
+
+
+def gram_long(df: DataFrame, xs: list[Column], targets: list[Column], names: list[str]) -> DataFrame:
+    """One-cell Gram as a lazy long table (i, j, term_i, term_j, value), i <= j."""
+    p = basis_size(len(xs), len(targets))
+    iu = np.triu_indices(p)
+    frame = cell_gram_frame(df, xs, targets, F.lit(0), 1)
+    ii = F.array(*[F.lit(int(v)) for v in iu[0]])
+    jj = F.array(*[F.lit(int(v)) for v in iu[1]])
+    nm = F.array(*[F.lit(n) for n in names])
+    e = frame.select(F.posexplode("tri").alias("pos", "value"))
+    i = F.element_at(ii, F.col("pos") + 1)
+    j = F.element_at(jj, F.col("pos") + 1)
+    return e.select(i.alias("i"), j.alias("j"), F.element_at(nm, i + 1).alias("term_i"),
+                    F.element_at(nm, j + 1).alias("term_j"), "value")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.columns import q
-from ..functions.normal import ad_pvalue, log_cdf_pair
+from ..functions.normal import ad_pvalue, log_upper_tail
 from .histogram import (DEFAULT_ROWS_PER_BUCKET, ColumnStats, bucket_count, bucket_splits,
                         collect_stats, histogram, ranked)
 
@@ -54,7 +54,7 @@ def rank_summary(df: DataFrame, cols: list[str], stats: ColumnStats | None = Non
                  ad_mode: str = "column") -> DataFrame:
     """Per variable: n, unique, extremes, zeros, moments, median, A-D."""
     stats = stats or collect_stats(df, cols)
-    buckets = bucket_count(stats, rows_per_bucket)
+    buckets = bucket_count(stats, rows_per_bucket, df.sparkSession.sparkContext.defaultParallelism)
     splits = bucket_splits(df, cols, buckets, stats.rows) if buckets > 1 else None
     hist = ranked(histogram(df, cols, splits), bucketed=splits is not None)
 
@@ -62,9 +62,16 @@ def rank_summary(df: DataFrame, cols: list[str], stats: ColumnStats | None = Non
     n = _lit_map(stats.count)[var]
     mean = _lit_map(stats.mean)[var]
     sd = _lit_map(stats.sd)[var]
+    # per-row terms computed once in a projection, then aggregated
+    hist = hist.select("variable", "value", "cnt", "r", n.alias("_n"), mean.alias("_mean"), sd.alias("_sd"))
+    n, mean, sd = F.col("_n"), F.col("_mean"), F.col("_sd")
+    hist = hist.withColumn("_w", F.when(sd > 0, (F.col("value") - mean) / sd))
+    hist = hist.withColumn("_tail", log_upper_tail(F.abs(F.col("_w"))))
+    hist = hist.withColumn("_body", F.log1p(-F.exp(F.col("_tail"))))
     v, c, r = F.col("value"), F.col("cnt"), F.col("r")
-    w = F.when(sd > 0, (v - mean) / sd)
-    ln_cdf, ln_sf = log_cdf_pair(w)
+    w, tail, body = F.col("_w"), F.col("_tail"), F.col("_body")
+    ln_cdf = F.when(w < 0, tail).otherwise(body)
+    ln_sf = F.when(w > 0, tail).otherwise(body)
     ad_term = c * (2 * r + c) * ln_cdf + c * (2 * (n - r) - c) * ln_sf
     lo = F.floor((n - 1) / 2)
     hi = F.floor(n / 2)

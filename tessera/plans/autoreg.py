@@ -260,6 +260,7 @@ def run_task(G: np.ndarray, layout: Layout, task: dict) -> dict:
     fit_mask, val_mask = _masks(layout, task["outer"], task["inner"])
     G_en = cells[fit_mask].sum(axis=0)          # (K en folds, p, p)
     G_fit = G_en.sum(axis=0)
+    started = time.perf_counter()
     coef, sel1, terms, alpha = fit_cell_model(G_fit, G_en, layout, task["t_idx"], task["max_k"],
                                               task.get("keep", "positive"))
     score = None
@@ -269,13 +270,15 @@ def run_task(G: np.ndarray, layout: Layout, task: dict) -> dict:
         o = task["outer"]
         score = score_coef(cells[o].sum(axis=(0, 1)), layout, task["t_idx"], coef)
     return {"task_id": task["task_id"], "score": score, "coef": [float(c) for c in coef],
-            "lars_sel": sel1, "terms": terms, "alpha": float(alpha)}
+            "lars_sel": sel1, "terms": terms, "alpha": float(alpha),
+            "secs": time.perf_counter() - started}
 
 
 TASK_SCHEMA = StructType([
     StructField("task_id", LongType()), StructField("score", DoubleType()),
     StructField("coef", ArrayType(DoubleType())), StructField("lars_sel", ArrayType(IntegerType())),
     StructField("terms", ArrayType(StringType())), StructField("alpha", DoubleType()),
+    StructField("secs", DoubleType()),
 ])
 
 
@@ -387,7 +390,7 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
     results = spark.range(0, len(tasks), 1, numPartitions=parts).mapInPandas(solve, TASK_SCHEMA)
     by_id = {r["task_id"]: r for r in results.collect()}
     bc.unpersist()
-    t0 = _mark(f"grid ({len(tasks)} fits)", t0)
+    t0 = _mark(f"grid ({len(tasks)} fits, {sum(r['secs'] for r in by_id.values()):.1f}s of solves)", t0)
 
     # -- inner choice per (transform, outer): best mean inner R^2, first on ties
     best_k: dict[tuple[str, int], int] = {}
