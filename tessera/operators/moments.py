@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-DEFAULT_MAX_BASIS = 400
+DEFAULT_MAX_BASIS = 300  # k = 22 predictors: 1 + 22 + 231 + targets
 
 
 def basis_size(k: int, n_targets: int) -> int:

@@ -55,6 +55,8 @@ from ..operators.split import row_key
 from pyspark import StorageLevel
 
 TRANSFORMS = ("None_T", "LogP1_T")
+# the per-cell Grams are broadcast to the grid tasks: their size is checked
+MAX_BROADCAST_BYTES = 256 * 2**20
 _TRACE = os.environ.get("TESSERA_TRACE") == "1"
 
 
@@ -376,6 +378,9 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
                 for inner in list(range(K)) + [REFIT]:
                     tasks.append({"task_id": len(tasks), "transform": t, "outer": o, "max_k": mk,
                                   "inner": inner, "t_idx": t_idx, "keep": keep})
+    if G.nbytes > MAX_BROADCAST_BYTES:
+        raise ValueError(f"cell Grams take {G.nbytes / 2**20:.0f} MiB (> {MAX_BROADCAST_BYTES / 2**20:.0f} MiB "
+                         "broadcast limit); use fewer predictors or folds")
     bc = spark.sparkContext.broadcast((G, layout, tasks))
 
     def solve(batches):

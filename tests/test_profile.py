@@ -47,7 +47,7 @@ def test_profile_matches_numpy(frame):
             m = x - x.mean()
             assert r["kurtosis"] == pytest.approx((m ** 4).mean() / (m ** 2).mean() ** 2 - 3, rel=1e-8)
             assert r["skewness"] == pytest.approx((m ** 3).mean() / (m ** 2).mean() ** 1.5, rel=1e-8)
-            assert r["ad_stat"] == pytest.approx(ad_numpy(x), rel=2e-6)
+            assert r["ad_stat"] == pytest.approx(ad_numpy(x), rel=1e-9)
         else:
             assert r["kurtosis"] == -3.0 and r["skewness"] == 0.0
             assert r["ad_stat"] == 0.0 and r["ad_pvalue"] == 0.0
