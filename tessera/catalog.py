@@ -930,3 +930,53 @@ def q_missing_ids(spark, sf):
     return R.missing_ids(req, {"workflow_id": table(spark, sf, "customer").select("c_custkey"),
                                "dataset_id": table(spark, sf, "documents").select("doc_id"),
                                "model_id": table(spark, sf, "orders").select("o_orderkey")})
+
+
+# ===================================================== full profile (2.4)
+
+_DS_COLS = ["id", "response", *fx.FEATURES]
+
+
+def _dataset_statistics_sql() -> str:
+    from .functions.normal import ad_pvalue_sql, log_cdf_pair_sql
+    longv = " union all ".join(f"select '{c}' as variable, cast({c} as double) as value from order_features"
+                               for c in _DS_COLS)
+    w = "((value - mu) / sd)"
+    ln_cdf, ln_sf = log_cdf_pair_sql(w)
+    a2 = ("case when max(sd) > 0 and max(n) > 1 then -max(n) - sum(cnt * (2 * r + cnt) * " + ln_cdf
+          + " + cnt * (2 * (n - r) - cnt) * " + ln_sf + ") / max(n) else 0 end")
+    body = f"""
+longv as ({longv}),
+st as (select variable, count(*) as n, avg(value) as mu, stddev_samp(value) as sd, max(value) as mx,
+              min(value) as mn, count(distinct value) as u, count(*) filter (where value = 0) as z,
+              median(value) as med, stddev_pop(value) as sdp, var_pop(value) as vp
+       from longv group by variable),
+mom as (select l.variable, avg(pow(value - s.mu, 2)) as m2, avg(pow(value - s.mu, 3)) as m3,
+               avg(pow(value - s.mu, 4)) as m4 from longv l join st s on l.variable = s.variable
+        group by l.variable),
+hist as (select variable, value, count(*) as cnt from longv group by variable, value),
+rk as (select h.variable, h.value, h.cnt, s.n, s.mu, s.sd,
+              coalesce(sum(h.cnt) over (partition by h.variable order by h.value
+                       rows between unbounded preceding and 1 preceding), 0) as r
+       from hist h join st s on h.variable = s.variable),
+ad as (select variable, {a2} as a2 from rk group by variable)
+select s.variable, s.n as row_count, s.mx as maximum, s.mn as minimum, {sig_sql('s.mu')} as average,
+       s.u as unique_values, s.z as zero_count, {sig_sql('s.med', 12)} as median, s.mx - s.mn as data_range,
+       {sig_sql('ad.a2')} as ad_stat, {sig_sql(ad_pvalue_sql('ad.a2'), 6)} as ad_pvalue,
+       {sig_sql('s.mu')} as mean, {sig_sql('s.sdp')} as std_dev, {sig_sql('s.vp')} as variance,
+       {sig_sql('case when m.m2 > 0 then m.m4 / (m.m2 * m.m2) - 3 else -3 end')} as kurtosis,
+       {sig_sql('case when m.m2 > 0 then m.m3 / pow(m.m2, 1.5) else 0 end')} as skewness
+from st s join mom m on s.variable = m.variable join ad on s.variable = ad.variable
+"""
+    return f"with order_features as ({fx.ORDER_FEATURES_SQL}), {body}"
+
+
+@register("dataset_statistics", _dataset_statistics_sql())
+def q_dataset_statistics(spark, sf):
+    """T1-T16 for every column of a dataset (id and response included), as
+    the dataset view returns them: one row per variable, 16 fields."""
+    p = profile(fx.order_features(spark, sf), _DS_COLS, response="response")
+    return p.select("variable", "row_count", "maximum", "minimum", sig_col("average"), "unique_values",
+                    "zero_count", sig_col("median", 12), "data_range", sig_col("ad_stat"),
+                    sig("`ad_pvalue`", 6).alias("ad_pvalue"), sig_col("mean"), sig_col("std_dev"),
+                    sig_col("variance"), sig_col("kurtosis"), sig_col("skewness"))
