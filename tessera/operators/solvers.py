@@ -249,53 +249,51 @@ def enet_fit(m: Moments, alpha: float, l1_ratio: float = 0.5, w0=None) -> tuple[
 def enet_cd_folds(Q: np.ndarray, q_: np.ndarray, yy: np.ndarray, l1: np.ndarray, l2: np.ndarray,
                   W: np.ndarray, tol: float = 1e-4, max_iter: int = 1000) -> np.ndarray:
     """``enet_cd`` for F independent problems at once (arrays with a leading
-    fold axis).  Each fold follows exactly its own sequential iterates and
-    stops on its own duality gap; only the Python loop is shared."""
+    fold axis).  Each fold follows its own sequential iterates and stops on
+    its own duality gap; only the Python loop over coordinates is shared.
+    Internally coordinate-major (p, F) so every update touches contiguous rows."""
     F_, p = q_.shape
-    W = W.copy()
     if p == 0:
-        return W
-    H = np.einsum("fij,fj->fi", Q, W)
-    diag = np.diagonal(Q, axis1=1, axis2=2)
+        return W.copy()
+    Qc = np.ascontiguousarray(np.transpose(Q, (1, 2, 0)))      # (p, p, F)
+    qc = np.ascontiguousarray(q_.T)                            # (p, F)
+    Wc = np.ascontiguousarray(W.T).copy()                      # (p, F)
+    Hc = np.einsum("ijf,jf->if", Qc, Wc)                       # (p, F)
+    diag = np.ascontiguousarray(np.diagonal(Q, axis1=1, axis2=2).T)  # (p, F)
+    denom = diag + l2[None, :]
+    inv = np.where(diag == 0.0, 0.0, 1.0 / np.where(denom == 0.0, 1.0, denom))
     gap_tol = tol * yy
-    live = np.arange(F_)
+    live = np.ones(F_, dtype=bool)
     for it in range(max_iter):
-        if live.size == 0:
+        if not live.any():
             break
-        Wa, Ha, Qa, qa, da = W[live], H[live], Q[live], q_[live], diag[live]
-        l1a, l2a = l1[live], l2[live]
-        w_max = np.zeros(live.size)
-        d_max = np.zeros(live.size)
+        before = Wc.copy()
         for j in range(p):
-            dj = da[:, j]
-            old = Wa[:, j].copy()
-            t = qa[:, j] - Ha[:, j] + old * dj
-            new = np.sign(t) * np.maximum(np.abs(t) - l1a, 0.0) / (dj + l2a)
-            new = np.where(dj == 0.0, old, new)
-            delta = new - old
-            if np.any(delta != 0.0):
-                Ha += delta[:, None] * Qa[:, :, j]
-            Wa[:, j] = new
-            d_max = np.maximum(d_max, np.abs(delta))
-            w_max = np.maximum(w_max, np.abs(new))
-        W[live], H[live] = Wa, Ha
+            wj = Wc[j]
+            t = qc[j] - Hc[j] + wj * diag[j]
+            new = np.sign(t) * np.maximum(np.abs(t) - l1, 0.0) * inv[j]
+            new = np.where(live, new, wj)
+            delta = new - wj
+            Hc += Qc[j] * delta
+            Wc[j] = new
+        w_max = np.abs(Wc).max(axis=0)
+        d_max = np.abs(Wc - before).max(axis=0)
         safe = np.where(w_max == 0.0, 1.0, w_max)
-        check = (w_max == 0.0) | (d_max / safe < tol) | (it == max_iter - 1)
+        check = live & ((w_max == 0.0) | (d_max / safe < tol) | (it == max_iter - 1))
         if not check.any():
             continue
-        qw = np.einsum("fj,fj->f", Wa, qa)
-        xta = qa - Ha - l2a[:, None] * Wa
-        dual = np.abs(xta).max(axis=1)
-        r_norm2 = yy[live] + np.einsum("fj,fj->f", Wa, Ha) - 2.0 * qw
-        w_norm2 = np.einsum("fj,fj->f", Wa, Wa)
-        over = dual > l1a
-        const = np.where(over, l1a / np.where(dual == 0, 1.0, dual), 1.0)
+        qw = np.einsum("jf,jf->f", Wc, qc)
+        xta = qc - Hc - l2[None, :] * Wc
+        dual = np.abs(xta).max(axis=0)
+        r_norm2 = yy + np.einsum("jf,jf->f", Wc, Hc) - 2.0 * qw
+        w_norm2 = np.einsum("jf,jf->f", Wc, Wc)
+        over = dual > l1
+        const = np.where(over, l1 / np.where(dual == 0, 1.0, dual), 1.0)
         gap = np.where(over, 0.5 * (r_norm2 + r_norm2 * const ** 2), r_norm2)
-        gap = gap + l1a * np.abs(Wa).sum(axis=1) - const * yy[live] + const * qw \
-            + 0.5 * l2a * (1 + const ** 2) * w_norm2
-        done = check & (gap < gap_tol[live])
-        live = live[~done]
-    return W
+        gap = gap + l1 * np.abs(Wc).sum(axis=0) - const * yy + const * qw \
+            + 0.5 * l2 * (1 + const ** 2) * w_norm2
+        live &= ~(check & (gap < gap_tol))
+    return np.ascontiguousarray(Wc.T)
 
 
 def enet_cv(folds: list[tuple[Moments, Moments]], full: Moments, l1_ratio: float = 0.5,
