@@ -81,19 +81,20 @@ def bucket_count(stats: ColumnStats, rows_per_bucket: int, parallelism: int = 1)
 
 
 SAMPLE_PER_BUCKET = 32
+SAMPLE_CAP = 1_000_000  # sampled rows reaching the driver, whatever the bucket count
 
 
 def bucket_splits(df: DataFrame, cols: list[str], buckets: int, rows: int | None = None,
                   seed: int = 17) -> dict[str, list[float]]:
     """Split points at the row quantiles of a seeded Bernoulli sample of about
-    ``SAMPLE_PER_BUCKET * buckets`` rows per column (the range partitioner's
-    recipe).  The sample is bounded by ``SAMPLE_PER_BUCKET * MAX_BUCKETS``
-    rows, so it may come to the driver; the splits then are literals, and
+    ``SAMPLE_PER_BUCKET * buckets`` rows (the range partitioner's recipe),
+    never more than ``SAMPLE_CAP`` rows, so it may come to the driver; the
+    splits then are literals, and
     every recomputation buckets values identically."""
     import numpy as np
     wide = df.select(*[_clean(q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
     rows = rows if rows is not None else wide.count()
-    frac = min(1.0, SAMPLE_PER_BUCKET * buckets / max(1, rows))
+    frac = min(1.0, min(SAMPLE_CAP, SAMPLE_PER_BUCKET * buckets) / max(1, rows))
     sample = wide.sample(False, frac, seed) if frac < 1.0 else wide
     pdf = sample.toPandas()
     probs = np.arange(1, buckets) / buckets

@@ -13,7 +13,9 @@ Execution: ``mapInPandas`` turns each Arrow batch into a numpy block and adds
 ``Z' Z`` into a per-cell accumulator (BLAS); each task emits one row per
 cell with the upper triangle.  The per-task triangles are hash-partitioned by
 cell and summed in a streaming reducer (one accumulator per cell) -- a
-shuffle of (tasks x cells) arrays that does not grow with the rows.  The
+shuffle of (tasks x cells) arrays that does not grow with the rows; the
+input is coalesced (no shuffle) to at most two tasks per core, so the
+partial-Gram shuffle is bounded by the cluster size, not the input size.  The
 driver receives cells x p(p+1)/2 doubles (``max_basis`` bounds p).
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+GRAM_TASKS_PER_CORE = 2
 DEFAULT_MAX_BASIS = 300  # k = 22 predictors: 1 + 22 + 231 + targets
 
 
@@ -57,6 +60,11 @@ def cell_gram_frame(df: DataFrame, xs: list[Column], targets: list[Column], cell
     cols += [x.cast("double").alias(f"x{i}") for i, x in enumerate(xs)]
     cols += [y.cast("double").alias(f"t{i}") for i, y in enumerate(targets)]
     inp = df.select(*cols)
+    # every map task ships one partial Gram per cell: bound the number of
+    # tasks by the cluster's cores, not by the input's splits (no shuffle)
+    max_tasks = GRAM_TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    if inp.rdd.getNumPartitions() > max_tasks:
+        inp = inp.coalesce(max_tasks)
     iu = np.triu_indices(p)
     pairs = list(combinations(range(k), 2))
     pi = np.array([a for a, _ in pairs], dtype=int)
