@@ -89,8 +89,8 @@ def bucket_splits(df: DataFrame, cols: list[str], buckets: int, rows: int | None
     """Split points at the row quantiles of a seeded Bernoulli sample of about
     ``SAMPLE_PER_BUCKET * buckets`` rows (the range partitioner's recipe),
     never more than ``SAMPLE_CAP`` rows, so it may come to the driver; the
-    splits then are literals, and
-    every recomputation buckets values identically."""
+    splits then are literals, and every recomputation buckets values
+    identically."""
     import numpy as np
     wide = df.select(*[_clean(q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
     rows = rows if rows is not None else wide.count()

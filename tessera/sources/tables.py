@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -31,10 +33,13 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet",
     if fmt == "csv":
         reader = spark.read.option("header", True)
         if schema is not None:
-            reader = reader.schema(schema)
-        else:
-            reader = reader.option("inferSchema", infer)
-        return reader.csv(path)
+            return reader.schema(schema).csv(path)
+        df = reader.option("inferSchema", infer).csv(path)
+        # inferred whole numbers become 64-bit, as a CSV reader of a dataframe
+        # library types them (Spark would pick int when the values fit)
+        return df.select(*[F.col(f"`{f.name}`").cast("bigint").alias(f.name)
+                           if isinstance(f.dataType, IntegerType) else F.col(f"`{f.name}`")
+                           for f in df.schema.fields])
     raise ValueError(f"unsupported format {fmt!r}")
 
 
