@@ -342,7 +342,7 @@ _INT_COLS = ["n_lines", "sum_qty", "avg_disc"]
 
 
 @register("interactions", with_cte(
-    "select id, 1.0 as \"1\", n_lines, sum_qty, avg_disc, "
+    "select id, cast(1.0 as double) as \"1\", n_lines, sum_qty, avg_disc, "
     + sig_sql("n_lines * sum_qty") + " as \"n_lines*sum_qty\", "
     + sig_sql("n_lines * avg_disc") + " as \"n_lines*avg_disc\", "
     + sig_sql("sum_qty * avg_disc") + " as \"sum_qty*avg_disc\" from order_features", **OF))

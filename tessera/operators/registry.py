@@ -127,7 +127,8 @@ def acl_access(requests: DataFrame, object_owners: DataFrame, acl: DataFrame) ->
 
 def has_fitted_model(locations: DataFrame, workflows: DataFrame, models: DataFrame) -> DataFrame:
     """Per location, does any model with a fitted artifact sit below it?"""
-    fitted = models.where(F.col("fitted")).select("workflow_id")
+    # pre-aggregated: a workflow with a third of all models collapses map-side
+    fitted = models.where(F.col("fitted")).select("workflow_id").distinct()
     locs = (workflows.join(fitted, "workflow_id", "left_semi")
             .select("location_id").distinct().withColumn("has_fitted_model", F.lit(True)))
     return (locations.select("location_id").join(locs, "location_id", "left")
