@@ -118,3 +118,30 @@ def test_simple_ols_matches_polyfit(frame, spark):
         slope, intercept = np.polyfit(x, a, 1)
         assert got[name]["slope"] == pytest.approx(slope, rel=1e-9)
         assert got[name]["intercept"] == pytest.approx(intercept, rel=1e-9)
+
+
+def test_response_fallback(spark):
+    from tessera.operators.profile import resolve_response
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "ID long, Response double, x double")
+    assert resolve_response(df, "x") == "x"
+    assert resolve_response(df, "missing") == "Response"
+    assert resolve_response(df.drop("Response"), None) == "ID"
+
+
+def test_reference_mode_zeroes_response_ad(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b)) for a, b in zip(rng.normal(size=200), rng.exponential(size=200))]
+    df = spark.createDataFrame(rows, "Response double, x double")
+    ref = {r["variable"]: r["ad_stat"] for r in profile(df, ad_mode="reference").collect()}
+    col = {r["variable"]: r["ad_stat"] for r in profile(df).collect()}
+    assert ref["Response"] == 0.0 and col["Response"] > 0
+    assert ref["x"] == pytest.approx(col["x"])
+
+
+def test_csv_scan_types(spark, tmp_path):
+    from tessera.sources.tables import read_dataset, write_dataset
+    df = spark.createDataFrame([(1, 2.5), (2, 3.5)], "ID long, Response double")
+    path = str(tmp_path / "ds")
+    write_dataset(df, path, fmt="csv")
+    back = read_dataset(spark, path, fmt="csv")
+    assert dict(back.dtypes) == {"ID": "bigint", "Response": "double"}
