@@ -156,3 +156,33 @@ def test_positive_selection_quirk_and_nonzero_option(spark):
     assert fit2.model.lars_selected == ["a", "b"]
     r2b = {r["split"]: r["r2"] for r in AR.split_scores(fit2.model, df).collect()}
     assert r2b["train"] > 0.85
+
+
+def test_edge_frame_collinear_constant_nan(spark):
+    """Collinear and constant predictors, null/NaN rows: the fit completes,
+    skips incomplete rows and predicts finite values."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(300):
+        a = float(rng.normal())
+        rows.append((i, a, 2.0 * a, 7.0, float(rng.normal()), 1.5 * a + float(rng.normal()) * 0.1))
+    rows.append((300, None, 1.0, 7.0, 0.0, 1.0))
+    rows.append((301, float("nan"), 1.0, 7.0, 0.0, 1.0))
+    df = spark.createDataFrame(rows, "id long, a double, a2 double, c double, noise double, y double")
+    fit = AR.fit_auto_regression(df, "y", ["a", "a2", "c", "noise"], key="id")
+    assert "c" not in fit.model.lars_selected
+    pred = fit.model.predict(df.where("id < 300")).select("prediction").toPandas()["prediction"]
+    assert np.isfinite(pred).all()
+    r2 = {r["split"]: r["r2"] for r in AR.split_scores(fit.model, df.where("id < 300")).collect()}
+    assert r2["train"] > 0.9
+
+
+def test_no_positive_coefficient_gives_intercept_model(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(x), -3.0 * float(x) + float(rng.normal()) * 0.01)
+            for i, x in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    fit = AR.fit_auto_regression(df, "y", ["x"], key="id")
+    assert fit.model.lars_selected == [] and fit.model.selected_terms == []
+    preds = fit.model.predict(df).select("prediction").distinct().count()
+    assert preds == 1
