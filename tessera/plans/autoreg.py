@@ -240,7 +240,10 @@ def fit_cell_model(G_fit: np.ndarray, G_en: np.ndarray, layout: Layout, t_idx: i
 
 
 def score_coef(G: np.ndarray, layout: Layout, t_idx: int, coef: np.ndarray) -> float:
+    """R^2 on the rows summed in G; NaN for an empty validation set."""
     m = S.moments_from_gram(G, list(range(layout.px)), t_idx)
+    if m.n == 0:
+        return float("nan")
     return S.r2(m, 0.0, coef)
 
 
@@ -331,16 +334,20 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
     # -- pass 1: per-cell counts, minima and first/second moments (tiny result)
     aggs = [F.count(F.lit(1)).alias("n"), F.min("_y").alias("ymin"), F.sum("_y").alias("sy")]
     for i in range(k):
-        aggs += [F.sum(f"_x{i}").alias(f"s{i}"), F.sum(F.col(f"_x{i}") * F.col(f"_x{i}")).alias(f"ss{i}")]
+        aggs += [F.avg(f"_x{i}").alias(f"m{i}"), F.var_pop(f"_x{i}").alias(f"v{i}")]
     t0 = time.perf_counter()
     per_cell = {r["_cell"]: r for r in base.groupBy("_cell").agg(*aggs).collect()}
     t0 = _mark("cell stats", t0)
     n_all = sum(r["n"] for r in per_cell.values())
     if n_all == 0:
         raise ValueError("no complete rows to fit")
-    mu = np.array([sum(r[f"s{i}"] for r in per_cell.values()) / n_all for i in range(k)])
-    sq = np.array([sum(r[f"ss{i}"] for r in per_cell.values()) / n_all for i in range(k)])
-    sd = np.sqrt(np.clip(sq - mu * mu, 0, None))
+    # pooled mean and variance from per-cell (n, mean, var): no cancellation
+    cells_ = list(per_cell.values())
+    ns = np.array([r["n"] for r in cells_], dtype=float)
+    mu = np.array([np.dot(ns, [r[f"m{i}"] for r in cells_]) / n_all for i in range(k)])
+    var = np.array([np.dot(ns, [r[f"v{i}"] + (r[f"m{i}"] - mu[i]) ** 2 for r in cells_]) / n_all
+                    for i in range(k)])
+    sd = np.sqrt(np.clip(var, 0, None))
     sd[sd == 0] = 1.0
     mu_y = sum(r["sy"] for r in per_cell.values()) / n_all
 
@@ -409,7 +416,8 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
                 for x in tasks:
                     if x["transform"] == t and x["outer"] == o and x["max_k"] == mk and x["inner"] != REFIT:
                         inner_rows.append((t, o, mk, x["inner"], by_id[x["task_id"]]["score"]))
-                means.append(float(np.mean(sc)))
+                sc = [np.nan if v is None else v for v in sc]
+                means.append(float(np.nanmean(sc)) if not np.all(np.isnan(sc)) else -np.inf)
             best_k[(t, o)] = cands[int(np.argmax(means))]
 
     def refit_task(t, o):
@@ -448,7 +456,7 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
     t0 = _mark("log-target scoring pass", t0)
     means = []
     for t in TRANSFORMS:
-        vals = [r[3] for r in outer_rows if r[0] == t]
+        vals = [r[3] for r in outer_rows if r[0] == t and r[3] is not None and not math.isnan(r[3])]
         m = float(np.mean(vals)) if vals else float("nan")
         means.append(-np.inf if math.isnan(m) else m)
     best_t = TRANSFORMS[int(np.argmax(means))]
