@@ -13,8 +13,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import hashing as H
 from .functions.rounding import sig, sig_col, sig_sql
+from .functions.transforms import ExpT, LogMinPlus1, LogP1, LogSigned
+from .functions.validate import point_errors, valid_point
+from .operators import metrics as M
+from .operators import registry as R
+from .operators import selection as SEL
+from .operators.crossval import fold_r2
+from .operators.features import interactions, standardize
+from .operators.frames import missing_inputs_column, parse_attribute_column
 from .operators.profile import profile, rank_summary, simple_ols
+from .operators.split import with_folds, with_split
+from .plans import autoreg as AR
 from .plans.dag import apply_dag, apply_node
 from .session import scratch_path
 from .sources import fixtures as fx
@@ -240,7 +251,6 @@ def q_simple_ols(spark, sf):
 
 # ============================================================ metrics (2.5)
 
-from .operators import metrics as M  # noqa: E402
 
 CLASSIFIER_SQL = """
 select l.doc_id, l.quality as actual, case when d.n_chars >= 1000 then 1 else 0 end as predicted
@@ -299,9 +309,6 @@ def q_metric_regression(spark, sf):
 
 # ============================================ split, folds, features (2.6)
 
-from .functions import hashing as H  # noqa: E402
-from .operators.features import interactions, standardize  # noqa: E402
-from .operators.split import with_folds, with_split  # noqa: E402
 
 OF = {"order_features": fx.ORDER_FEATURES_SQL}
 _DIG = H.digest_sql("id", 42)
@@ -353,7 +360,6 @@ def q_interactions(spark, sf):
 
 # ============================================================ transforms
 
-from .functions.transforms import ExpT, LogMinPlus1, LogP1, LogSigned  # noqa: E402
 
 _ACCT = "select c_custkey, c_acctbal from customer"
 
@@ -414,10 +420,6 @@ def q_target_exp(spark, sf):
 
 # ============================================== least squares and the fit
 
-from .operators import selection as SEL  # noqa: E402
-from .operators.crossval import fold_r2  # noqa: E402
-from .operators.moments import basis_expressions  # noqa: E402,F401
-from .plans import autoreg as AR  # noqa: E402
 
 _LABEL = "sum_ext"
 # integer-valued predictors: their moment sums are exact in both engines, so
@@ -653,9 +655,6 @@ def q_score_table(spark, sf):
 
 # ================================== projections, predicates, registry (2.2, 2.8)
 
-from .functions.validate import point_errors, valid_point  # noqa: E402
-from .operators import registry as R  # noqa: E402
-from .operators.frames import missing_inputs_column, parse_attribute_column  # noqa: E402
 
 _EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
