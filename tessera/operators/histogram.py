@@ -38,7 +38,6 @@ class ColumnStats:
     count: dict[str, int]
     mean: dict[str, float | None]
     sd: dict[str, float | None]        # sample sd (ddof 1), as the A-D test uses
-    approx_distinct: dict[str, int]
 
 
 def collect_stats(df: DataFrame, cols: list[str]) -> ColumnStats:
@@ -47,14 +46,13 @@ def collect_stats(df: DataFrame, cols: list[str]) -> ColumnStats:
     for i, c in enumerate(cols):
         x = _clean(q(c).cast("double"))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.approx_count_distinct(x).alias(f"u{i}")]
+                 F.stddev_samp(x).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     return ColumnStats(
         rows=int(row["__rows"]),
         count={c: int(row[f"n{i}"]) for i, c in enumerate(cols)},
         mean={c: row[f"m{i}"] for i, c in enumerate(cols)},
         sd={c: row[f"s{i}"] for i, c in enumerate(cols)},
-        approx_distinct={c: int(row[f"u{i}"]) for i, c in enumerate(cols)},
     )
 
 
