@@ -979,3 +979,30 @@ def q_dataset_statistics(spark, sf):
                     "zero_count", sig_col("median", 12), "data_range", sig_col("ad_stat"),
                     sig("`ad_pvalue`", 6).alias("ad_pvalue"), sig_col("mean"), sig_col("std_dev"),
                     sig_col("variance"), sig_col("kurtosis"), sig_col("skewness"))
+
+
+# ======================================================= streaming (2.9)
+
+ROWWISE_DAG = {"nodes": {"1": {"function": "add", "args": {"c1": "x1", "c2": "x3"}},
+                         "2": {"function": "log", "args": {"c": "x1+x3"}},
+                         "3": {"function": "square", "args": {"c": "x2"}}},
+               "edges": [[1, 2]]}
+
+
+@register("dag_stream", with_cte(
+    "select l_orderkey, l_linenumber, " + sig_sql("x1 + x3", 12) + " as \"x1+x3\", "
+    + sig_sql("ln(x1 + x3)", 12) + " as \"ln(x1+x3)\", " + sig_sql("x2 * x2", 12) + " as \"(x2)^2\" "
+    "from dag_frame", dag_frame=fx.DAG_FRAME_SQL))
+def q_dag_stream(spark, sf):
+    """Row-wise graph nodes on a Structured Streaming source: the line items
+    arrive as files in the shared folder, the graph runs per micro-batch
+    into a checkpointed file sink (exactly once), and the sink is read back."""
+    from .streaming.rowwise import derive_stream, parquet_stream, run_to_table
+    frame = fx.dag_frame(spark, sf)
+    src = scratch_path(spark, "stream-src")
+    write_dataset(frame, src)
+    stream = parquet_stream(spark, src, frame.schema, max_files_per_trigger=4)
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    run_to_table(derive_stream(stream, ROWWISE_DAG), out, ck)
+    return read_dataset(spark, out).select("l_orderkey", "l_linenumber", sig_col("x1+x3", 12),
+                                           sig_col("ln(x1+x3)", 12), sig_col("(x2)^2", 12))
