@@ -69,7 +69,7 @@ def main():
     names = [a for a in args if not a.startswith("/")]
     import __spark_entry__ as E
     from tessera.session import build_session
-    spark = build_session(8)
+    spark = build_session(int(os.environ.get("ORACLE_CPUS", "8")))
     qs, oracles = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
