@@ -23,3 +23,19 @@ def test_stream_matches_batch(spark, sf_tiny):
     assert got.count() == want.count()
     assert got.select(F.sum("ln(x1+x3)")).first()[0] == want.select(F.sum("ln(x1+x3)")).first()[0] or \
         abs(got.select(F.sum("ln(x1+x3)")).first()[0] - want.select(F.sum("ln(x1+x3)")).first()[0]) < 1e-6
+
+
+def test_predict_stream_matches_batch(spark, sf_tiny):
+    from tessera.plans.autoreg import fit_auto_regression
+    from tessera.streaming.rowwise import predict_stream
+    df = fx.order_features(spark, sf_tiny)
+    fit = fit_auto_regression(df, "sum_ext", ["n_lines", "sum_qty"], key="id")
+    src = tempfile.mkdtemp(prefix="tessera-psrc-")
+    df.repartition(2).write.mode("overwrite").parquet(src)
+    out = tempfile.mkdtemp(prefix="tessera-pout-")
+    ck = tempfile.mkdtemp(prefix="tessera-pck-")
+    run_to_table(predict_stream(parquet_stream(spark, src, df.schema), fit.model), out, ck)
+    got = {r["id"]: r["prediction"] for r in spark.read.parquet(out).select("id", "prediction").collect()}
+    want = {r["id"]: r["prediction"] for r in fit.model.predict(df).select("id", "prediction").collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) <= 1e-9 * max(1.0, abs(want[k])) for k in want)
