@@ -145,3 +145,13 @@ def test_csv_scan_types(spark, tmp_path):
     write_dataset(df, path, fmt="csv")
     back = read_dataset(spark, path, fmt="csv")
     assert dict(back.dtypes) == {"ID": "bigint", "Response": "double"}
+
+
+def test_profile_plan_one_scan_no_python(spark, sf_tiny):
+    import re
+    df = profile(table(spark, sf_tiny, "lineitem"), ["l_quantity", "l_extendedprice"])
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]          # the adaptive plan prints both
+    assert len(re.findall(r"Scan parquet|FileScan parquet", final)) == 1
+    assert "Python" not in plan and "ArrowEval" not in plan

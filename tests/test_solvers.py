@@ -161,3 +161,18 @@ def test_lars_degenerate_duplicate_column():
     # the duplicate is numerically inside the active span: set aside, never enters
     assert np.all(np.isfinite(coef))
     assert coef[2] == 0.0 and coef[0] > 0 and coef[1] < 0
+
+
+def test_cell_grams_sum_to_total(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators.moments import cell_grams
+    rng = np.random.default_rng(13)
+    rows = [(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(rng.normal(size=(500, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double").repartition(5)
+    xs, ys = [F.col("a"), F.col("b")], [F.col("y")]
+    per = cell_grams(df, xs, ys, F.pmod(F.col("id"), F.lit(7)), 7)
+    total = cell_grams(df, xs, ys, F.lit(0), 1)[0]
+    assert np.allclose(per.sum(axis=0), total, rtol=1e-12, atol=1e-9)
+    X = np.array([[r[1], r[2]] for r in rows]); y = np.array([r[3] for r in rows])
+    Z = np.column_stack([np.ones(500), X, X[:, 0] * X[:, 1], y])
+    assert np.allclose(total, Z.T @ Z, rtol=1e-12, atol=1e-9)
