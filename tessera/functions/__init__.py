@@ -1 +1 @@
-"""functions of tessera."""
+"""Native Column expressions: graph operations, normal tails, transforms, hashes, checks, rounding."""

@@ -1 +1 @@
-"""operators of tessera."""
+"""Distributed operators: histogram ranks, profile, metrics, folds, features, Gram moments, solvers, registry."""

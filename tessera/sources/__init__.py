@@ -1 +1 @@
-"""sources of tessera."""
+"""Readers and writers (Parquet, CSV), fixtures derived from the given tables, model artifacts."""

@@ -1 +1 @@
-"""streaming of tessera."""
+"""Row-wise operators applied to Structured Streaming sources."""
