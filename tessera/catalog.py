@@ -591,6 +591,22 @@ def q_auto_regression(spark, sf):
             .withColumn("terms", F.lit(",".join(fit.model.selected_terms))))
 
 
+_SIGNAL_X = tuple(c for c in fx.FEATURES if c != "sum_ext")
+
+
+@register("auto_regression_signal")
+def q_auto_regression_signal(spark, sf):
+    """M17 with a real signal: an order's extended-price total from its other
+    eight line-item aggregates (k = 8: LARS budgets {4}); selected terms,
+    transform and train/test scores."""
+    fit, df = auto_fit(spark, sf, response="sum_ext", features=_SIGNAL_X)
+    sc = AR.split_scores(fit.model, df)
+    return (sc.select("split", "n", "r2", "mean_absolute_error", "root_mean_squared_error")
+            .withColumn("transform", F.lit(fit.model.transform))
+            .withColumn("max_k", F.lit(fit.model.max_k))
+            .withColumn("terms", F.lit(",".join(fit.model.selected_terms))))
+
+
 @register("cv_results")
 def q_cv_results(spark, sf):
     """Outer candidates with per-fold R^2, mean, sd and rank."""
