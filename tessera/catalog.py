@@ -990,7 +990,7 @@ from st s join mom m on s.variable = m.variable join ad on s.variable = ad.varia
 def q_dataset_statistics(spark, sf):
     """T1-T16 for every column of a dataset (id and response included), as
     the dataset view returns them: one row per variable, 16 fields."""
-    p = profile(fx.order_features(spark, sf), _DS_COLS, response="response")
+    p = profile(fx.order_features(spark, sf), _DS_COLS, response="response", materialize=True)
     return p.select("variable", "row_count", "maximum", "minimum", sig_col("average"), "unique_values",
                     "zero_count", sig_col("median", 12), "data_range", sig_col("ad_stat"),
                     sig("`ad_pvalue`", 6).alias("ad_pvalue"), sig_col("mean"), sig_col("std_dev"),

@@ -118,16 +118,25 @@ def rank_summary(df: DataFrame, cols: list[str], stats: ColumnStats | None = Non
 
 def profile(df: DataFrame, cols: list[str] | None = None, response: str | None = None,
             strict: bool = False, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-            ad_mode: str = "column") -> DataFrame:
+            ad_mode: str = "column", materialize: bool = False) -> DataFrame:
     """One row per variable with the 16 profile fields (plus null_count).
 
     ``response`` falls back as the reference does: given name, else
     ``Response``, else the first column.  Nulls/NaN are skipped in value
     statistics and counted in ``null_count``; ``strict`` raises on them and on
-    text columns instead.
+    text columns instead.  ``materialize`` writes the profiled columns once to
+    the shared folder first, so a derived input is not computed twice.
     """
     cols = cols or numeric_columns(df, strict)
     response = resolve_response(df, response)
+    if materialize:
+        # expensive derived input (joins, aggregates): computed once, written
+        # as a narrow table in the shared folder (a lineage cut), then both
+        # passes read that table
+        from ..session import scratch_path
+        path = scratch_path(df.sparkSession, "profile-input")
+        df.select(*[q(c) for c in cols]).write.mode("overwrite").parquet(path)
+        df = df.sparkSession.read.parquet(path)
     stats = collect_stats(df, cols)
     if strict:
         missing = [c for c in cols if stats.count[c] != stats.rows]

@@ -155,3 +155,14 @@ def test_profile_plan_one_scan_no_python(spark, sf_tiny):
     final = plan.split("Initial Plan")[0]          # the adaptive plan prints both
     assert len(re.findall(r"Scan parquet|FileScan parquet", final)) == 1
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_materialized_profile_equals_direct(spark, sf_tiny):
+    from tessera.sources import fixtures as fx
+    df = fx.order_features(spark, sf_tiny)
+    cols = ["id", "sum_ext", "avg_disc"]
+    a = {r["variable"]: r.asDict() for r in profile(df, cols).collect()}
+    b = {r["variable"]: r.asDict() for r in profile(df, cols, materialize=True).collect()}
+    for c in cols:
+        for k, v in a[c].items():
+            assert b[c][k] == pytest.approx(v, rel=1e-12, abs=1e-12), (c, k)
