@@ -186,3 +186,18 @@ def test_no_positive_coefficient_gives_intercept_model(spark):
     assert fit.model.lars_selected == [] and fit.model.selected_terms == []
     preds = fit.model.predict(df).select("prediction").distinct().count()
     assert preds == 1
+
+
+def test_gram_ols_equals_spark_ml(spark, sf_tiny):
+    """Cross-check: OLS from the one-pass Gram equals pyspark.ml's normal-equation solver."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from tessera.operators.selection import fit_ols
+    feats = ["n_lines", "sum_qty", "avg_disc", "avg_tax"]
+    df = fx.order_features(spark, sf_tiny)
+    ours = fit_ols(df, "sum_ext", feats)
+    va = VectorAssembler(inputCols=feats, outputCol="features")
+    ml = LinearRegression(featuresCol="features", labelCol="sum_ext", solver="normal",
+                          regParam=0.0, standardization=False).fit(va.transform(df))
+    assert ours.intercept == pytest.approx(ml.intercept, rel=1e-8)
+    assert np.allclose(ours.coef, ml.coefficients.toArray(), rtol=1e-8)
