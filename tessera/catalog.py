@@ -178,6 +178,16 @@ def q_column_profile(spark, sf):
                     sig_col("mean"), sig_col("std_dev"), sig_col("variance"))
 
 
+@register("column_profile_approx")
+def q_column_profile_approx(spark, sf):
+    """T1-T9, T12-T16 with the approximate options (HyperLogLog distinct
+    count, percentile_approx median): one wide aggregate, no shuffle of
+    values.  Rows-only: approximate values are checked in tests against the
+    exact profile."""
+    from .operators.profile import approx_profile
+    return approx_profile(table(spark, sf, "lineitem"), PROFILE_COLS)
+
+
 _MOMENTS_SQL = " union all ".join(
     f"""select '{c}' as variable,
         {sig_sql(f"case when m2 > 0 then m4 / (m2 * m2) - 3 else -3 end")} as kurtosis,

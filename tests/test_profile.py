@@ -169,3 +169,20 @@ def test_materialized_profile_equals_direct(spark, sf_tiny):
                 assert b[c][k] == v
             else:
                 assert b[c][k] == pytest.approx(v, rel=1e-12, abs=1e-12), (c, k)
+
+
+def test_approx_profile_close_to_exact(spark, sf_tiny):
+    from tessera.operators.profile import approx_profile
+    li = table(spark, sf_tiny, "lineitem")
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    ex = {r["variable"]: r for r in profile(li, cols).collect()}
+    ap = {r["variable"]: r for r in approx_profile(li, cols).collect()}
+    for c in cols:
+        e, a = ex[c], ap[c]
+        assert a["row_count"] == e["row_count"] and a["zero_count"] == e["zero_count"]
+        assert a["maximum"] == e["maximum"] and a["minimum"] == e["minimum"]
+        assert a["mean"] == pytest.approx(e["mean"], rel=1e-9)
+        assert a["variance"] == pytest.approx(e["variance"], rel=1e-6)
+        assert a["kurtosis"] == pytest.approx(e["kurtosis"], rel=1e-6, abs=1e-9)
+        assert abs(a["unique_values"] - e["unique_values"]) <= 0.1 * e["unique_values"] + 1
+        assert a["ad_stat"] is None
