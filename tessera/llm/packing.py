@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,15 @@ END_ID = 2
 BIN_PIECES = 20_000
 STEP = 32
 #: Words whose ids a worker remembers; it forgets all of them beyond that.
-MEMO = 300_000
+MEMO = 1_000_000
 
-_ending = re.compile(rb"(.*[a-z])([.,;:!?|]+)", re.S)
+#: A word that ends in ASCII signs other than the apostrophe.
+_ending = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.S)
+
+#: Words of Latin letters are one piece for the tokenizer's split, and what it
+#: does before merging is to lower them and to write their bytes as characters.
+_letters = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordTokenizer:
@@ -45,44 +52,63 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode_batch
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode_batch, tokenizer.model.tokenize
         self.memo: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Final punctuation after a-z is a token run of its own, so word and
-        punctuation are encoded apart, which keeps the words to encode few."""
-        split = {w: m.groups() for w in words if b"<|" not in w and (m := _ending.fullmatch(w))}
-        need = list({p for w in words for p in split.get(w, (w,))} - self.memo.keys())
-        if len(self.memo) + len(need) + len(split) > MEMO:
-            need = list({p for w in words for p in split.get(w, (w,))})
+    def _know(self, words: set[bytes]) -> None:
+        """Has the memo hold these words.  Signs after a-z are a token run of their
+        own, so word and signs are encoded apart, which keeps the words to encode
+        few."""
+        new = words.difference(self.memo)
+        if len(self.memo) + 2 * len(new) > MEMO:
             self.memo.clear()
-        for i in range(0, len(need), 4096):
-            part = need[i:i + 4096]
+            new = words
+        words = new
+        split = {w: m.groups() for w in words if b"<|" not in w and (m := _ending.fullmatch(w))}
+        memo, rest = self.memo, []
+        for w in {p for w in words for p in split.get(w, (w,))}:
+            if w not in memo:
+                text = w.decode()
+                if _letters.fullmatch(text):
+                    form = text.lower().encode().decode("latin-1").translate(_BYTES)
+                    memo[w] = array("I", [t.id for t in self.merge(form)]).tobytes()
+                else:
+                    rest.append(w)
+        for i in range(0, len(rest), 8192):
+            part = rest[i:i + 8192]
             for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+                memo[w] = array("I", e.ids).tobytes()
         for w, (a, b) in split.items():
             self.memo[w] = self.memo[a] + self.memo[b]
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text.  Letters A-Z are lowered first,
+    def __call__(self, texts: list[bytes]) -> Iterator[list[bytes]]:
+        """Little-endian 32-bit ids of each text, in parts.  A-Z are lowered first,
         as the tokenizer does, unless the word may hold a special token."""
-        for text in texts:
-            words = text.split()
-            if b"<|" in text:
-                words = [w if b"<|" in w else w.lower() for w in words]
-            else:
-                words = text.lower().split()
-            for i in range(0, len(words), MEMO // 4):
-                part = words[i:i + MEMO // 4]
-                try:
-                    ids = b"".join(map(self.memo.__getitem__, part))
-                except KeyError:
-                    self._learn(set(part) - self.memo.keys())
-                    if not all(w in self.memo for w in part):  # the memo was emptied
-                        self._learn(set(part) - self.memo.keys())
-                    ids = b"".join(map(self.memo.__getitem__, part))
-                yield ids
-            yield None
+        for lo, hi in _batches(texts):
+            words = [[w if b"<|" in w else w.lower() for w in t.split()] if b"<|" in t else t.lower().split() for t in texts[lo:hi]]
+            if len(words) > 1 or len(words[0]) <= MEMO // 4:
+                self._know(set().union(*words))
+            for ws in words:
+                out = []
+                for i in range(0, len(ws), MEMO // 4):
+                    part = ws[i:i + MEMO // 4]
+                    if len(ws) > MEMO // 4:
+                        self._know(set(part))
+                    out.append(b"".join(map(self.memo.__getitem__, part)))
+                yield out
+
+
+def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about 256 kB, or one longer text."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t) > 1 << 18:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -91,13 +117,8 @@ _tokenizers: dict[str, WordTokenizer] = {}
 def token_ids(path: str, texts: list[bytes]) -> Iterator[bytes]:
     """Ids of each text followed by END_ID, as little-endian 32-bit integers."""
     tok = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
-    parts: list[bytes] = []
-    for ids in tok(texts):
-        if ids is None:
-            yield b"".join(parts) + END_ID.to_bytes(4, "little")
-            parts = []
-        else:
-            parts.append(ids)
+    for parts in tok(texts):
+        yield b"".join((*parts, END_ID.to_bytes(4, "little")))
 
 
 def pack_lengths(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> tuple[np.ndarray, np.ndarray]:

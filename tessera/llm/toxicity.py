@@ -100,6 +100,8 @@ def language_model(spark: SparkSession, texts: DataFrame) -> np.ndarray:
 
 _repeat = re.compile(r"(.)\1\1", re.S)
 _strip = re.compile(r"^[\W_]+|[\W_]+$")
+#: One sign at a word's edge that may stand for its first or last letter.
+_edges = re.compile(r"[\"'(\[]*([$@!|+€£(<]?)(\w(?:.{0,60}\w)?)([$@+]?)[.,;:!?\"')\]]*", re.S)
 
 
 def disguised(word: str) -> bool:
@@ -107,7 +109,7 @@ def disguised(word: str) -> bool:
     or a character three times in a row."""
     if word.isalpha():
         return _repeat.search(word) is not None
-    return any(c.isalpha() for c in word) and len(word) <= 64
+    return len(word) <= 64 and any(map(str.isalpha, word))
 
 
 def restore(word: str, lm: np.ndarray, beam: int = BEAM, best: int = BEST) -> list[str]:
@@ -155,23 +157,24 @@ class WordReader:
         self.lm, self.memo = lm, {}
 
     def token(self, raw: str) -> tuple[str, ...]:
-        word = _strip.sub("", raw.lower())
-        out = dict.fromkeys(features_of(word)) if len(word) > 1 else {}
-        low = raw.lower().rstrip(".,;:")
-        for form in {word, low}:
-            if len(form) > 2 and disguised(form):
-                for reading in restore(form, self.lm):
-                    out.update(dict.fromkeys(features_of(reading)))
-        return tuple(out)
+        low = raw.lower()
+        word = low if low.isalpha() else _strip.sub("", low)
+        out = features_of(word) if len(word) > 1 else []
+        if len(word) > 1 and disguised(word):
+            for reading in restore(word, self.lm):
+                out += features_of(reading)
+        if word is not low and (m := _edges.fullmatch(low)) and m[1] + m[3]:
+            for reading in restore(m[1] + m[2] + m[3], self.lm):
+                out += features_of(reading)
+        return tuple(dict.fromkeys(out))
 
     def spaced(self, tokens: list[str]) -> Iterator[tuple[str, ...]]:
         """Readings of letters that stand alone, four or more in a row: the
         beginnings of what they spell from each letter on."""
         run: list[str] = []
         for t in [*tokens, "...."]:
-            c = _strip.sub("", t.lower()) or t
-            if len(c) == 1:
-                run.append(c)
+            if len(t) == 1 or len(t) == 2 and not t.isalnum():
+                run.append((_strip.sub("", t.lower()) or t)[0])
                 continue
             if len(run) >= 4:
                 text = "".join(run)
@@ -186,7 +189,7 @@ class WordReader:
 def _single_runs(tokens: list[str]) -> bool:
     n = 0
     for t in tokens:
-        n = n + 1 if len(t) <= 2 else 0
+        n = n + 1 if len(t) == 1 or len(t) == 2 and not t.isalnum() else 0
         if n >= 4:
             return True
     return False
@@ -254,7 +257,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: str
         clean = (train.where("toxic = 0").select("body").mapInArrow(counted(wanted), "f string, n long")
                  .groupBy("f").agg(F.sum("n").alias("n")).toArrow())
         clean = dict(zip(clean["f"].to_pylist(), clean["n"].to_pylist()))
-        chance = math.log(max(2, len(tox))) + 3
+        chance = math.log(max(2, len(tox))) + 0.5
         for f, t in tox.items():
             c = clean.get(f, 0)
             r = t / (t + c)
