@@ -121,7 +121,7 @@ def prefix_runs(values: np.ndarray, depth: int, dense: int) -> np.ndarray:
     lcp = np.where(same.all(axis=1), values.shape[1], np.argmin(same, axis=1))
     begin = np.ones(len(values), bool)
     begin[1:] = lcp < depth
-    for deeper in range(depth + 1, values.shape[1]):
+    for deeper in range(depth + 1, values.shape[1] + 1):
         starts = np.flatnonzero(begin)
         size = np.diff(np.append(starts, len(values)))
         if not (size > dense).any():
