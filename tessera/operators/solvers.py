@@ -17,8 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 
 EPS = np.finfo(float).eps
-TINY32 = np.finfo(np.float32).tiny
-HUGE = np.finfo(float).max
 
 
 @dataclass
@@ -101,134 +99,104 @@ def r2(m: Moments, intercept: float, beta: np.ndarray) -> float:
     return 1.0 if e == 0 else 0.0
 
 
-# ---------------------------------------------------------------- LARS
+# ---------------------------------------------------------------- LAR
 
-def _min_pos(x: np.ndarray) -> float:
-    x = x[x > 0]
-    return float(x.min()) if x.size else HUGE
+#: A column whose unit-norm residual on the active ones is below this adds nothing.
+DEPENDENT = 1e-7
 
 
 def lars(m: Moments, max_steps: int) -> np.ndarray:
-    """Least-angle regression (LAR variant) with intercept and unit-norm
-    column scaling, stopped after ``max_steps`` iterations; returns the
+    """Least-angle regression (Efron, Hastie, Johnstone and Tibshirani 2004)
+    with intercept on unit-norm columns, ``max_steps`` steps; returns the
     coefficients on the original column scale.
 
-    Degenerate columns (the new column is numerically inside the span of the
-    active set) are set aside with zero correlation; an active coefficient
-    that would cross zero flips its sign in the direction and the next
-    iteration adds no column -- the LAR bookkeeping of the common
-    implementation, so selections agree.
-    """
+    Written with the direction d that solves R_AA d = s (R: correlations, s: the
+    signs of the active columns' correlations with the residual).  Moving by t
+    along d takes t off every active correlation and t * a_j, a = R_jA d, off
+    column j's, so the next column to join is the one whose correlation meets
+    the shrinking level C - t first; without one the step ends at least squares
+    (t = C).  Constant columns and columns that depend on the active ones stay
+    out."""
     Q, q_, _ = m.centered()
     k = len(q_)
-    if k == 0:
-        return np.zeros(0)
-    norms = np.sqrt(np.clip(np.diag(Q), 0, None))
-    norms[norms == 0] = 1.0
-    G = Q / np.outer(norms, norms)
-    cov = q_ / norms
-    coef = np.zeros(k)
+    size = np.sqrt(np.clip(np.diag(Q), 0, None)) if k else np.zeros(0)
+    usable = size > 0
+    unit = np.where(usable, size, 1.0)
+    R, corr = Q / np.outer(unit, unit), q_ / unit
+    beta = np.zeros(k)
     active: list[int] = []
-    signs: list[float] = []
-    inactive = list(range(k))
-    n_iter, drop = 0, False
-    while True:
-        if inactive:
-            pick = inactive[int(np.argmax(np.abs(cov[inactive])))]
-            C = abs(cov[pick])
-        else:
-            pick, C = -1, 0.0
-        if C / m.n <= EPS:
-            break
-        if n_iter >= max_steps or len(active) >= k:
+    outside = [j for j in range(k) if usable[j]]
+    while outside and len(active) < max_steps:
+        j = max(outside, key=lambda i: abs(corr[i]))
+        if abs(corr[j]) <= EPS * m.n:
             break
-        if not drop:
-            if active:
-                GA = G[np.ix_(active, active)]
-                L = np.linalg.cholesky(GA)
-                w = np.linalg.solve(L, G[active, pick])
-                diag2 = G[pick, pick] - w @ w
-            else:
-                diag2 = G[pick, pick]
-            if max(np.sqrt(abs(diag2)), EPS) < 1e-7:
-                cov[pick] = 0.0
+        outside.remove(j)
+        if active:
+            project = np.linalg.lstsq(R[np.ix_(active, active)], R[active, j], rcond=None)[0]
+            if R[j, j] - R[active, j] @ project < DEPENDENT ** 2:
                 continue
-            active.append(pick)
-            signs.append(float(np.sign(cov[pick])))
-            inactive.remove(pick)
-        s = np.asarray(signs)
-        GA = G[np.ix_(active, active)]
-        ls = np.linalg.lstsq(GA, s, rcond=None)[0]
-        tot = float(ls @ s)
-        if ls.size == 1 and ls[0] == 0:
-            ls[:] = 1.0
-            AA = 1.0
-        else:
-            AA = 1.0 / np.sqrt(max(tot, EPS))
-            ls = ls * AA
-        a = G[np.ix_(inactive, active)] @ ls if inactive else np.zeros(0)
-        ci = cov[inactive]
-        g1 = _min_pos((C - ci) / (AA - a + TINY32))
-        g2 = _min_pos((C + ci) / (AA + a + TINY32))
-        gamma = min(g1, g2, C / AA)
-        z = -coef[active] / (ls + TINY32)
-        zpos = _min_pos(z)
-        drop = False
-        if zpos < gamma:
-            for j in np.where(z == zpos)[0][::-1]:
-                signs[j] = -signs[j]
-            drop = True
-        n_iter += 1
-        coef[active] = coef[active] + gamma * ls
-        if inactive:
-            cov[inactive] = ci - gamma * a
-    return coef / norms
+        level = abs(corr[j])
+        active.append(j)
+        d = np.linalg.lstsq(R[np.ix_(active, active)], np.sign(corr[active]), rcond=None)[0]
+        a = R[:, active] @ d
+        step = level
+        for i in outside:
+            for gap, speed in ((level - corr[i], 1 - a[i]), (level + corr[i], 1 + a[i])):
+                if speed > 0 and 0 < gap / speed < step:
+                    step = gap / speed
+        beta[active] += step * d
+        corr = corr - step * a
+    return beta / unit
 
 
 # ---------------------------------------------------------- elastic net
 
-def enet_cd(Q: np.ndarray, q_: np.ndarray, yy: float, l1: float, l2: float,
-            w0: np.ndarray | None = None, tol: float = 1e-4, max_iter: int = 1000) -> np.ndarray:
-    """Cyclic coordinate descent on the centered Gram for
-    0.5*||y - Xw||^2 + l1*||w||_1 + 0.5*l2*||w||^2, stopped on the duality gap
-    (relative to y'y) as is customary."""
+def elastic_net(Q: np.ndarray, q_: np.ndarray, l1: float, l2: float, w0: np.ndarray | None = None,
+                tol: float = 1e-9) -> np.ndarray:
+    """Minimises 0.5 w'Qw - q'w + l1 |w|_1 + 0.5 l2 w'w by an active set with
+    signs (feature-sign search, Lee, Battle, Raina and Ng 2006): with the signs
+    fixed the active coefficients solve a linear system; where that would turn
+    a sign, the best point on the way, a coefficient at zero, is taken instead.
+    Ends when the optimality conditions hold for every coefficient."""
     p = len(q_)
     w = np.zeros(p) if w0 is None else w0.copy()
     if p == 0:
         return w
-    H = Q @ w
-    diag = np.diag(Q)
-    gap_tol = tol * yy
-    for it in range(max_iter):
-        w_max = d_max = 0.0
-        for j in range(p):
-            if diag[j] == 0.0:
-                continue
-            old = w[j]
-            if old != 0.0:
-                H -= old * Q[j]
-            t = q_[j] - H[j]
-            new = np.sign(t) * max(abs(t) - l1, 0.0) / (diag[j] + l2)
-            w[j] = new
-            if new != 0.0:
-                H += new * Q[j]
-            d_max = max(d_max, abs(new - old))
-            w_max = max(w_max, abs(new))
-        if w_max == 0.0 or d_max / w_max < tol or it == max_iter - 1:
-            qw = w @ q_
-            xta = q_ - H - l2 * w
-            dual = np.abs(xta).max()
-            r_norm2 = yy + w @ H - 2.0 * qw
-            w_norm2 = w @ w
-            if dual > l1:
-                const = l1 / dual
-                gap = 0.5 * (r_norm2 + r_norm2 * const ** 2)
-            else:
-                const = 1.0
-                gap = r_norm2
-            gap += l1 * np.abs(w).sum() - const * yy + const * qw + 0.5 * l2 * (1 + const ** 2) * w_norm2
-            if gap < gap_tol:
+    slack = tol * max(1e-300, np.abs(q_).max())
+
+    def cost(x: np.ndarray, on: np.ndarray) -> float:
+        return 0.5 * x @ Q[np.ix_(on, on)] @ x - q_[on] @ x + l1 * np.abs(x).sum() + 0.5 * l2 * x @ x
+
+    sign = np.sign(w)
+    for _ in range(20 * p + 20):
+        pull = q_ - Q @ w - l2 * w
+        settled = np.all(np.abs(pull - l1 * sign)[sign != 0] <= slack)
+        if settled:
+            wants = np.where(sign == 0, np.abs(pull) - l1, -np.inf)
+            j = int(np.argmax(wants))
+            if wants[j] <= slack:
                 break
+            sign[j] = np.sign(pull[j])
+        on = np.flatnonzero(sign)
+        A = Q[np.ix_(on, on)] + l2 * np.eye(len(on))
+        b = q_[on] - l1 * sign[on]
+        try:
+            goal = np.linalg.solve(A, b)
+        except np.linalg.LinAlgError:
+            goal = np.linalg.lstsq(A, b, rcond=None)[0]
+        here = w[on]
+        if np.any(np.sign(goal) * sign[on] < 0):
+            move = goal - here
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = np.where(here * goal < 0, -here / move, np.inf)
+            stops = [(cost(goal, on), goal)]
+            for t in np.unique(at[np.isfinite(at)]):
+                x = here + t * move
+                x[at == t] = 0.0
+                stops.append((cost(x, on), x))
+            goal = min(stops, key=lambda s: s[0])[1]
+        w[on] = goal
+        sign = np.sign(w)
     return w
 
 
@@ -241,61 +209,11 @@ def alpha_grid(m: Moments, l1_ratio: float = 0.5, eps: float = 1e-3, n_alphas: i
 
 
 def enet_fit(m: Moments, alpha: float, l1_ratio: float = 0.5, w0=None) -> tuple[float, np.ndarray]:
-    Q, q_, yy = m.centered()
-    w = enet_cd(Q, q_, yy, alpha * l1_ratio * m.n, alpha * (1 - l1_ratio) * m.n, w0)
+    Q, q_, _ = m.centered()
+    w = elastic_net(Q, q_, alpha * l1_ratio * m.n, alpha * (1 - l1_ratio) * m.n, w0)
     return m.my - m.mx @ w, w
 
 
-def enet_cd_folds(Q: np.ndarray, q_: np.ndarray, yy: np.ndarray, l1: np.ndarray, l2: np.ndarray,
-                  W: np.ndarray, tol: float = 1e-4, max_iter: int = 1000) -> np.ndarray:
-    """``enet_cd`` for F independent problems at once (arrays with a leading
-    fold axis).  Each fold follows its own sequential iterates and stops on
-    its own duality gap; only the Python loop over coordinates is shared.
-    Internally coordinate-major (p, F) so every update touches contiguous rows."""
-    F_, p = q_.shape
-    if p == 0:
-        return W.copy()
-    Qc = np.ascontiguousarray(np.transpose(Q, (1, 2, 0)))      # (p, p, F)
-    qc = np.ascontiguousarray(q_.T)                            # (p, F)
-    Wc = np.ascontiguousarray(W.T).copy()                      # (p, F)
-    Hc = np.einsum("ijf,jf->if", Qc, Wc)                       # (p, F)
-    diag = np.ascontiguousarray(np.diagonal(Q, axis1=1, axis2=2).T)  # (p, F)
-    denom = diag + l2[None, :]
-    inv = np.where(diag == 0.0, 0.0, 1.0 / np.where(denom == 0.0, 1.0, denom))
-    gap_tol = tol * yy
-    live = np.ones(F_, dtype=bool)
-    for it in range(max_iter):
-        if not live.any():
-            break
-        before = Wc.copy()
-        for j in range(p):
-            wj = Wc[j]
-            t = qc[j] - Hc[j] + wj * diag[j]
-            new = np.sign(t) * np.maximum(np.abs(t) - l1, 0.0) * inv[j]
-            new = np.where(live, new, wj)
-            delta = new - wj
-            Hc += Qc[j] * delta
-            Wc[j] = new
-        w_max = np.abs(Wc).max(axis=0)
-        d_max = np.abs(Wc - before).max(axis=0)
-        safe = np.where(w_max == 0.0, 1.0, w_max)
-        check = live & ((w_max == 0.0) | (d_max / safe < tol) | (it == max_iter - 1))
-        if not check.any():
-            continue
-        qw = np.einsum("jf,jf->f", Wc, qc)
-        xta = qc - Hc - l2[None, :] * Wc
-        dual = np.abs(xta).max(axis=0)
-        r_norm2 = yy + np.einsum("jf,jf->f", Wc, Hc) - 2.0 * qw
-        w_norm2 = np.einsum("jf,jf->f", Wc, Wc)
-        over = dual > l1
-        const = np.where(over, l1 / np.where(dual == 0, 1.0, dual), 1.0)
-        gap = np.where(over, 0.5 * (r_norm2 + r_norm2 * const ** 2), r_norm2)
-        gap = gap + l1 * np.abs(Wc).sum(axis=0) - const * yy + const * qw \
-            + 0.5 * l2 * (1 + const ** 2) * w_norm2
-        live &= ~(check & (gap < gap_tol))
-    return np.ascontiguousarray(Wc.T)
-
-
 def enet_cv(folds: list[tuple[Moments, Moments]], full: Moments, l1_ratio: float = 0.5,
             eps: float = 1e-3, n_alphas: int = 100) -> tuple[float, float, np.ndarray, np.ndarray]:
     """Elastic net with the penalty chosen by K-fold CV on mean squared error.
@@ -306,21 +224,13 @@ def enet_cv(folds: list[tuple[Moments, Moments]], full: Moments, l1_ratio: float
     is refit on ``full``.  Returns (alpha, intercept, coef, mean_mse_path).
     """
     alphas = alpha_grid(full, l1_ratio, eps, n_alphas)
-    cen = [tr.centered() for tr, _ in folds]
-    Q = np.stack([c[0] for c in cen])
-    q_ = np.stack([c[1] for c in cen])
-    yy = np.array([c[2] for c in cen])
-    n_tr = np.array([tr.n for tr, _ in folds])
-    mx = np.stack([tr.mx for tr, _ in folds])
-    my = np.array([tr.my for tr, _ in folds])
-    te = [t for _, t in folds]
-    W = np.zeros(q_.shape)
     mse = np.zeros((len(folds), n_alphas))
-    for a_i, alpha in enumerate(alphas):
-        W = enet_cd_folds(Q, q_, yy, alpha * l1_ratio * n_tr, alpha * (1 - l1_ratio) * n_tr, W)
-        for f in range(len(folds)):
-            b0 = my[f] - mx[f] @ W[f]
-            mse[f, a_i] = sse(te[f], b0, W[f]) / te[f].n if te[f].n else 0.0
+    for f, (tr, te) in enumerate(folds):
+        Q, q_, _ = tr.centered()
+        w = np.zeros(len(q_))
+        for a_i, alpha in enumerate(alphas):
+            w = elastic_net(Q, q_, alpha * l1_ratio * tr.n, alpha * (1 - l1_ratio) * tr.n, w)
+            mse[f, a_i] = sse(te, tr.my - tr.mx @ w, w) / te.n if te.n else 0.0
     mean = mse.mean(axis=0)
     best = alphas[int(np.argmin(mean))]
     b0, w = enet_fit(full, best, l1_ratio)
