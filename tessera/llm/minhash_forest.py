@@ -244,7 +244,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     texts = keyed_texts(docs).select(F.col("rid").alias("id"), "tkey", "body")
 
     def links(units: DataFrame, step: str) -> DataFrame:
-        full = units.join(texts, ["id", "tkey"]).select("grp", "bi", "bj", "side", "id", "body")
+        # sorted merge at every size, so that small inputs shuffle as large ones do
+        full = units.hint("merge").join(texts, ["id", "tkey"]).select("grp", "bi", "bj", "side", "id", "body")
         return scratch.write(map_units(full, _links(percent, k), "u long, v long"), step)
 
     # every block with itself and with block 0, the hub
