@@ -285,10 +285,11 @@ def q_metric_accuracy(spark, sf):
 
 
 @register("metric_confusion", with_cte(
-    "select actual, predicted, count(*) as count from c group by actual, predicted", c=CLASSIFIER_SQL))
+    "select a.l as actual, p.l as predicted, (select count(*) from c where c.actual = a.l and c.predicted = p.l) as count "
+    "from lab a, lab p", c=CLASSIFIER_SQL, lab="select actual as l from c union select predicted from c"))
 def q_metric_confusion(spark, sf):
-    """Confusion counts (sparse long form of the label grid)."""
-    return M.confusion_counts(_classifier(spark, sf))
+    """Confusion counts over the full label grid, zeros included."""
+    return M.confusion_grid(_classifier(spark, sf))
 
 
 REGRESSION_PAIRS_SQL = """
@@ -577,16 +578,10 @@ def q_elastic_net_select(spark, sf):
     return spark.createDataFrame(rows, "feature string, coef double, selected boolean")
 
 
-_FITS: dict = {}
-
-
 def auto_fit(spark, sf, response="response", features=tuple(fx.FEATURES)):
-    """The flagship fit (memoised per session and input)."""
-    key = (id(spark), sf, response, tuple(features))
-    if key not in _FITS:
-        df = fx.order_features(spark, sf)
-        _FITS[key] = (AR.fit_auto_regression(df, response, list(features), key="id"), df)
-    return _FITS[key]
+    """The flagship fit."""
+    df = fx.order_features(spark, sf)
+    return AR.fit_auto_regression(df, response, list(features), key="id"), df
 
 
 @register("auto_regression")
@@ -633,13 +628,12 @@ def q_grid_search_outer(spark, sf):
 
 @register("grid_search_inner")
 def q_grid_search_inner(spark, sf):
-    """The inner grid of the final refit (all training rows)."""
+    """The inner grids of every outer fold and of the final refit (-1)."""
     fit, _ = auto_fit(spark, sf)
-    inner = fit.inner_scores.where(F.col("outer_fold") == AR.ALL)
     from pyspark.sql import Window
-    summary = inner.groupBy("transform", "max_k").agg(F.avg("r2").alias("mean_r2"),
-                                                      F.stddev_pop("r2").alias("std_r2"))
-    w = Window.partitionBy("transform").orderBy(F.desc("mean_r2"), "max_k")
+    summary = fit.inner_scores.groupBy("transform", "outer_fold", "max_k").agg(F.avg("r2").alias("mean_r2"),
+                                                                               F.stddev_pop("r2").alias("std_r2"))
+    w = Window.partitionBy("transform", "outer_fold").orderBy(F.desc("mean_r2"), "max_k")
     return summary.withColumn("rank", F.rank().over(w))
 
 
@@ -1000,7 +994,7 @@ from st s join mom m on s.variable = m.variable join ad on s.variable = ad.varia
 def q_dataset_statistics(spark, sf):
     """T1-T16 for every column of a dataset (id and response included), as
     the dataset view returns them: one row per variable, 16 fields."""
-    p = profile(fx.order_features(spark, sf), _DS_COLS, response="response", materialize=True)
+    p = profile(fx.order_features(spark, sf), _DS_COLS, response="response")
     return p.select("variable", "row_count", "maximum", "minimum", sig_col("average"), "unique_values",
                     "zero_count", sig_col("median", 12), "data_range", sig_col("ad_stat"),
                     sig("`ad_pvalue`", 6).alias("ad_pvalue"), sig_col("mean"), sig_col("std_dev"),

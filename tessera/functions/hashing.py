@@ -17,7 +17,8 @@ WORD = 4294967296  # 2**32
 
 
 def key_digest(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
+    """A null key hashes as the fixed text ``null``, so its row has a place too."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")))
 
 
 def word(digest: Column, level: int) -> Column:

@@ -35,11 +35,14 @@ def fold_r2(df: DataFrame, y: str, x: str, fold_col: str) -> DataFrame:
     tot = {c: F.sum(c).over(every) - F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy")}
     fitted = per.select("*", *[v.alias(f"t{c}") for c, v in tot.items()])
     tn, tsx, tsy, tsxx, tsxy = (F.col(f"t{c}") for c in ("n", "sx", "sy", "sxx", "sxy"))
-    b = (tsxy - tsx * tsy / tn) / (tsxx - tsx * tsx / tn)
-    fitted = fitted.withColumn("b", b).withColumn("a", (tsy - F.col("b") * tsx) / tn)
+    # a training set without spread in x has slope 0; without rows, no line
+    spread = tsxx - tsx * tsx / F.nullif(tn, F.lit(0.0))
+    b = F.when(spread > 0, (tsxy - tsx * tsy / F.nullif(tn, F.lit(0.0))) / F.nullif(spread, F.lit(0.0))).otherwise(
+        F.when(tn > 0, F.lit(0.0)))
+    fitted = fitted.withColumn("b", b).withColumn("a", (tsy - F.col("b") * tsx) / F.nullif(tn, F.lit(0.0)))
     n, sx, sy, sxx, sxy, syy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy"))
     a, b = F.col("a"), F.col("b")
     sse = syy - 2 * a * sy - 2 * b * sxy + n * a * a + 2 * a * b * sx + b * b * sxx
-    sst = syy - sy * sy / n
-    r2 = F.when(sst > 0, 1 - sse / sst).when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    sst = syy - sy * sy / n  # a fold of the table has rows, so n > 0
+    r2 = F.when(sst > 0, 1 - sse / F.nullif(sst, F.lit(0.0))).when(sse == 0, F.lit(1.0)).when(sse.isNotNull(), F.lit(0.0))
     return fitted.select("fold", n.cast("bigint").alias("n"), r2.alias("r2"))

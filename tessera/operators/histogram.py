@@ -1,143 +1,74 @@
 """Value histogram with exact ranks, the shared core of the column profile.
 
-``long_values``    wide numeric frame -> (variable, value), nulls/NaN dropped
-``histogram``      -> (variable, value, cnt); map-side combined, so columns
-                      with few distinct values shrink before the shuffle
-``ranked``         -> adds ``r``: number of rows of the same variable with a
-                      smaller value (exact, ties share one rank)
-
-Scale: a window over ``partitionBy(variable)`` would put a whole column in one
-task.  Instead every variable is cut into value buckets of bounded size
-(approximate percentiles of its distinct values), bucket totals are
-prefix-summed on a table of (variable, bucket) rows -- at most
-``variables x max_buckets`` rows, so it is broadcast -- and the running count
-inside a bucket is a window over ``(variable, bucket)``.  Buckets are a pure
-function of the value and of boundaries computed once, so a lost executor
-recomputes exactly the same ranks.  Ties never straddle buckets.
+``value_table``  (variable, value, cnt, part): counts of every value of every
+                 column, nulls and NaN as the null value, sorted by (variable,
+                 value) over range partitions and written once to the shared
+                 folder.  The one scan of the profiled frame; counts combine
+                 map-side, so repeated values shrink before the shuffle.
+``ranked``       adds ``r``: rows of the same variable with a smaller value
+                 (exact, ties share one rank)
+``global_rank``  the same for one key column of any orderable type
+
+A window over ``partitionBy(variable)`` would put a whole column in one task.
+The range partitioner cuts columns by their own distribution, however large
+one is; partition totals are prefix-summed on a table of (variable, part) rows
+and the running count is a window over (variable, part).  ``part`` is written
+with the rows, so recomputation gives the same ranks.  Small and large inputs
+take this one path.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import q
+from ..session import scratch_table
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 65536
-MIN_SPLIT_ROWS = 5_000_000
 
-
-@dataclass(frozen=True)
-class ColumnStats:
-    """Small per-column facts collected once on the driver (one tiny row)."""
-    rows: int
-    count: dict[str, int]
-    mean: dict[str, float | None]
-    sd: dict[str, float | None]        # sample sd (ddof 1), as the A-D test uses
+def _range_sorted(df: DataFrame, keys: list[str], name: str, rows_per_part: int | None) -> DataFrame:
+    """df sorted by keys over range partitions, with ``part``, written once."""
+    if rows_per_part is None:
+        out = df.repartitionByRange(*keys)
+    else:
+        out = df.repartitionByRange(max(1, math.ceil(df.count() / rows_per_part)), *keys)
+    return scratch_table(out.withColumn("part", F.spark_partition_id()), name)
 
 
-def collect_stats(df: DataFrame, cols: list[str]) -> ColumnStats:
-    """One aggregate pass (no shuffle beyond the single-row merge)."""
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        x = _clean(q(c).cast("double"))
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_samp(x).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-    return ColumnStats(
-        rows=int(row["__rows"]),
-        count={c: int(row[f"n{i}"]) for i, c in enumerate(cols)},
-        mean={c: row[f"m{i}"] for i, c in enumerate(cols)},
-        sd={c: row[f"s{i}"] for i, c in enumerate(cols)},
-    )
+def value_table(df: DataFrame, cols: list[str], rows_per_part: int | None = None) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(c).alias("variable"), _clean(q(c).cast("double")).alias("value")) for c in cols])
+    counts = (df.select(F.inline(entries)).groupBy("variable", "value")
+              .agg(F.count(F.lit(1)).alias("cnt")))
+    return _range_sorted(counts, ["variable", "value"], "values", rows_per_part)
 
 
 def _clean(x):
-    return F.when(~F.isnan(x), x)
-
-
-def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    wide = df.select(*[_clean(q(c).cast("double")).alias(c) for c in cols])
-    return (wide.unpivot([], cols, "variable", "value")
-            .where(F.col("value").isNotNull()))
-
-
-def bucket_count(stats: ColumnStats, rows_per_bucket: int, parallelism: int = 1) -> int:
-    """Buckets so that no bucket holds more than ~rows_per_bucket rows (and
-    hence histogram entries) of any column; once a column is big enough to
-    matter (MIN_SPLIT_ROWS), at least enough buckets that the rank window
-    spreads over ``parallelism`` tasks even for few columns."""
-    widest = max(stats.count.values(), default=0)
-    need = math.ceil(widest / max(1, rows_per_bucket))
-    if widest >= MIN_SPLIT_ROWS and len(stats.count) < parallelism:
-        need = max(need, math.ceil(parallelism / max(1, len(stats.count))))
-    return max(1, min(MAX_BUCKETS, need))
-
-
-SAMPLE_PER_BUCKET = 32
-SAMPLE_CAP = 1_000_000  # sampled rows reaching the driver, whatever the bucket count
-
-
-def bucket_splits(df: DataFrame, cols: list[str], buckets: int, rows: int | None = None,
-                  seed: int = 17) -> dict[str, list[float]]:
-    """Split points at the row quantiles of a seeded Bernoulli sample of about
-    ``SAMPLE_PER_BUCKET * buckets`` rows (the range partitioner's recipe),
-    never more than ``SAMPLE_CAP`` rows, so it may come to the driver; the
-    splits then are literals, and every recomputation buckets values
-    identically."""
-    import numpy as np
-    wide = df.select(*[_clean(q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
-    rows = rows if rows is not None else wide.count()
-    frac = min(1.0, min(SAMPLE_CAP, SAMPLE_PER_BUCKET * buckets) / max(1, rows))
-    sample = wide.sample(False, frac, seed) if frac < 1.0 else wide
-    pdf = sample.toPandas()
-    probs = np.arange(1, buckets) / buckets
-    out = {}
-    for i, c in enumerate(cols):
-        vals = pdf[f"v{i}"].dropna().to_numpy(dtype=float)
-        inner = sorted(set(np.quantile(vals, probs, method="inverted_cdf").tolist())) if vals.size else []
-        out[c] = [float("-inf"), *inner, float("inf")]
-    return out
-
-
-def histogram(df: DataFrame, cols: list[str], splits: dict[str, list[float]] | None = None) -> DataFrame:
-    """(variable, value, bucket, cnt).  With ``splits`` every value carries
-    its bucket (JVM binary search per column, before the unpivot)."""
-    wide = df.select(*[_clean(q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
-    if splits:
-        from pyspark.ml.feature import Bucketizer
-        wide = Bucketizer(splitsArray=[splits[c] for c in cols],
-                          inputCols=[f"v{i}" for i in range(len(cols))],
-                          outputCols=[f"b{i}" for i in range(len(cols))],
-                          handleInvalid="keep").transform(wide)
-        bucket = lambda i: F.col(f"b{i}").cast("int")
-    else:
-        bucket = lambda i: F.lit(0)
-    entries = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"v{i}").alias("value"),
-                                 bucket(i).alias("bucket")) for i, c in enumerate(cols)])
-    longv = wide.select(F.inline(entries)).where(F.col("value").isNotNull())
-    return longv.groupBy("variable", "value", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def ranked(hist: DataFrame, bucketed: bool) -> DataFrame:
-    """(variable, value, cnt, bucket, r) with r = rows strictly below value.
-
-    Unbucketed: one running sum per variable.  Bucketed: bucket totals are
-    prefix-summed on the small (variable, bucket) table, which is broadcast
-    back; the running sum inside a bucket is a window over (variable, bucket).
-    """
-    if not bucketed:
-        w = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return hist.withColumn("r", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    totals = hist.groupBy("variable", "bucket").agg(F.sum("cnt").alias("bcnt"))
-    wo = Window.partitionBy("variable").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("variable", "bucket",
-                            F.coalesce(F.sum("bcnt").over(wo), F.lit(0)).alias("offset"))
-    # offsets has at most variables x MAX_BUCKETS rows: broadcast
-    hb = hist.join(F.broadcast(offsets), ["variable", "bucket"])
-    w = Window.partitionBy("variable", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return hb.withColumn("r", F.col("offset") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).drop("offset")
+    # -0.0 and 0.0 are one value
+    return F.when(~F.isnan(x), x + F.lit(0.0))
+
+
+def ranked(values: DataFrame) -> DataFrame:
+    """(variable, value, cnt, r) of the non-null values of a value table."""
+    known = values.where(F.col("value").isNotNull())
+    before = Window.partitionBy("variable").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (known.groupBy("variable", "part").agg(F.sum("cnt").alias("total"))
+               .select("variable", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")))
+    inside = Window.partitionBy("variable", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return (known.withColumn("r", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+            .join(offsets, ["variable", "part"])
+            .select("variable", "value", "cnt", (F.col("r") + F.col("offset")).alias("r")))
+
+
+def global_rank(keys: DataFrame, rows_per_part: int | None = None) -> DataFrame:
+    """Rows of ``keys`` (column k, null-free, any orderable type) with ``r``,
+    their 0-based position; equal keys in any order among themselves."""
+    rows = _range_sorted(keys, ["k"], "keys", rows_per_part)
+    before = Window.partitionBy("one").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition of the sort
+    offsets = (rows.groupBy("part").agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+               .select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")))
+    inside = Window.partitionBy("part").orderBy("k")
+    return (rows.withColumn("r", F.row_number().over(inside) - 1).join(offsets, "part")
+            .withColumn("r", F.col("r") + F.col("offset")).drop("part", "offset"))

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_WIDE_LABELS = 1000
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -26,25 +24,31 @@ def accuracy(df: DataFrame, actual="actual", predicted="predicted") -> DataFrame
 
 
 def confusion_counts(df: DataFrame, actual="actual", predicted="predicted") -> DataFrame:
-    """Sparse confusion matrix: (actual, predicted, count) for observed pairs.
-    Missing pairs of the label grid are zero."""
+    """Sparse confusion matrix: (actual, predicted, count) for observed pairs."""
     return (df.groupBy(_c(actual).alias("actual"), _c(predicted).alias("predicted"))
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+def confusion_grid(df: DataFrame, actual="actual", predicted="predicted") -> DataFrame:
+    """(actual, predicted, count) over the full grid of the labels seen on
+    either side, zeros included.  Each label is paired with the array of all
+    labels; the grid is the result's own size."""
+    counts = confusion_counts(df, actual, predicted)
+    labels = counts.select(F.col("actual").alias("l")).union(counts.select(F.col("predicted").alias("l"))).where("l is not null").distinct()
+    every = labels.agg(F.array_sort(F.collect_list("l"))).scalar()
+    grid = labels.select(F.col("l").alias("actual"), F.explode(every).alias("predicted"))
+    return (grid.join(counts, ["actual", "predicted"], "left")
+            .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
+
+
 def confusion_matrix(df: DataFrame, actual="actual", predicted="predicted",
                      labels: list | None = None) -> DataFrame:
     """Wide confusion matrix: one row per actual label, one column per label
-    (sorted union of both label sets unless given).  The label set is read
-    once and must stay below ``MAX_WIDE_LABELS``."""
-    if labels is None:
-        both = (df.select(_c(actual).alias("l")).union(df.select(_c(predicted).alias("l")))
-                .distinct())
-        found = [r["l"] for r in both.limit(MAX_WIDE_LABELS + 1).collect()]
-        if len(found) > MAX_WIDE_LABELS:
-            raise ValueError("too many labels for a wide confusion matrix; use confusion_counts")
-        labels = sorted(found)
+    (sorted union of both label sets unless given), so as wide as there are
+    labels; ``confusion_grid`` is the long form."""
     counts = confusion_counts(df, actual, predicted)
+    if labels is None:
+        labels = sorted(r["l"] for r in counts.select(F.explode(F.array("actual", "predicted")).alias("l")).where("l is not null").distinct().collect())
     return (counts.groupBy("actual").pivot("predicted", labels).agg(F.sum("count"))
             .na.fill(0, [str(x) for x in labels]).orderBy("actual"))
 
@@ -68,8 +72,3 @@ def regression_metrics(df: DataFrame, actual="actual", predicted="predicted",
           .when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return (out.withColumn("root_mean_squared_error", F.sqrt("mean_squared_error"))
             .withColumn("r2", r2).drop("_sse", "_sst"))
-
-
-def r2_from_moments(sse: Column, sst: Column) -> Column:
-    return (F.when(sst > 0, F.lit(1.0) - sse / sst)
-            .when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0)))

@@ -9,18 +9,20 @@ with x globally standardised (for conditioning) and t the target columns
 fold scaling, LARS, interactions of scaled columns, elastic net, OLS -- is a
 linear map of this basis, so ``sum z z'`` per (fold) cell is sufficient.
 
+The product terms are optional: plain least squares and the selectors leave
+them out, the automated fit gives the pairs it can need.
+
 Execution: ``mapInPandas`` turns each Arrow batch into a numpy block and adds
 ``Z' Z`` into a per-cell accumulator (BLAS); each task emits one row per
-cell with the upper triangle.  The per-task triangles are hash-partitioned by
-cell and summed in a streaming reducer (one accumulator per cell) -- a
-shuffle of (tasks x cells) arrays that does not grow with the rows; the
-input is coalesced (no shuffle) to at most two tasks per core, so the
-partial-Gram shuffle is bounded by the cluster size, not the input size.  The
-driver receives cells x p(p+1)/2 doubles (``max_basis`` bounds p).
+cell with the upper triangle.  The triangles are summed on two levels, by
+(cell, salt) and by cell, so no reducer gets more than its share of the map
+tasks' rows.  The map side keeps the input's own partitioning.  The driver
+receives cells x p(p+1)/2 doubles.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,45 +30,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-GRAM_TASKS_PER_CORE = 2
-DEFAULT_MAX_BASIS = 300  # k = 22 predictors: 1 + 22 + 231 + targets
+Pairs = list[tuple[int, int]]
 
 
-def basis_size(k: int, n_targets: int) -> int:
-    return 1 + k + k * (k - 1) // 2 + n_targets
+def all_pairs(k: int) -> Pairs:
+    return list(combinations(range(k), 2))
 
 
-def pair_index(k: int) -> dict[tuple[int, int], int]:
+def pair_index(k: int, pairs: Pairs | None = None) -> dict[tuple[int, int], int]:
     """Position of x_i*x_j in z."""
-    return {pair: 1 + k + n for n, pair in enumerate(combinations(range(k), 2))}
+    return {pair: 1 + k + n for n, pair in enumerate(all_pairs(k) if pairs is None else pairs)}
 
 
-def basis_expressions(xs: list[Column]) -> list[Column]:
+def basis_expressions(xs: list[Column], pairs: Pairs | None = None) -> list[Column]:
     """The x-part of z as native expressions (for predictions)."""
-    out = [F.lit(1.0), *xs]
-    out += [xs[i] * xs[j] for i, j in combinations(range(len(xs)), 2)]
-    return out
+    return [F.lit(1.0), *xs, *[xs[i] * xs[j] for i, j in (all_pairs(len(xs)) if pairs is None else pairs)]]
 
 
 def cell_gram_frame(df: DataFrame, xs: list[Column], targets: list[Column], cell: Column,
-                    n_cells: int, max_basis: int = DEFAULT_MAX_BASIS) -> DataFrame:
-    """Lazy DataFrame (cell, tri): the upper triangle of sum z z' per cell."""
+                    pairs: Pairs | None = None) -> DataFrame:
+    """Lazy DataFrame (cell, tri): the upper triangle of sum z z' per cell.
+    ``pairs``: the product terms (default all)."""
     k, t = len(xs), len(targets)
-    p = basis_size(k, t)
-    if p > max_basis:
-        raise ValueError(f"basis of {p} terms exceeds max_basis={max_basis}; "
-                         "select fewer predictors first")
+    pairs = all_pairs(k) if pairs is None else pairs
+    p = 1 + k + len(pairs) + t
     cols = [cell.cast("int").alias("cell")]
     cols += [x.cast("double").alias(f"x{i}") for i, x in enumerate(xs)]
     cols += [y.cast("double").alias(f"t{i}") for i, y in enumerate(targets)]
     inp = df.select(*cols)
-    # every map task ships one partial Gram per cell: bound the number of
-    # tasks by the cluster's cores, not by the input's splits (no shuffle)
-    max_tasks = GRAM_TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    if inp.rdd.getNumPartitions() > max_tasks:
-        inp = inp.coalesce(max_tasks)
     iu = np.triu_indices(p)
-    pairs = list(combinations(range(k), 2))
     pi = np.array([a for a, _ in pairs], dtype=int)
     pj = np.array([b for _, b in pairs], dtype=int)
 
@@ -113,19 +105,22 @@ def cell_gram_frame(df: DataFrame, xs: list[Column], targets: list[Column], cell
 
     schema = StructType([StructField("cell", IntegerType()),
                          StructField("tri", ArrayType(DoubleType()))])
+    # one row per (task, cell) travels; salted first, so that a cell's rows are
+    # summed by several reducers before they meet in one
+    fan = max(2, math.isqrt(4 * df.sparkSession.sparkContext.defaultParallelism))
     parts = inp.mapInPandas(partial, schema)
-    # one row per (task, cell) travels; each reducer keeps one sum per cell
-    n_red = max(1, min(n_cells, df.sparkSession.sparkContext.defaultParallelism))
-    return parts.repartition(n_red, "cell").mapInPandas(reduce_cells, schema)
+    salted = (parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan)))
+              .repartition("cell", "salt").select("cell", "tri").mapInPandas(reduce_cells, schema))
+    return salted.repartition("cell").mapInPandas(reduce_cells, schema)
 
 
 def cell_grams(df: DataFrame, xs: list[Column], targets: list[Column], cell: Column,
-               n_cells: int, max_basis: int = DEFAULT_MAX_BASIS) -> np.ndarray:
+               n_cells: int, pairs: Pairs | None = None) -> np.ndarray:
     """Sum of z z' per cell, collected: array (n_cells, p, p)."""
-    p = basis_size(len(xs), len(targets))
+    p = 1 + len(xs) + len(all_pairs(len(xs)) if pairs is None else pairs) + len(targets)
     iu = np.triu_indices(p)
     out = np.zeros((n_cells, p, p))
-    for row in cell_gram_frame(df, xs, targets, cell, n_cells, max_basis).collect():
+    for row in cell_gram_frame(df, xs, targets, cell, pairs).collect():
         g = np.zeros((p, p))
         g[iu] = np.asarray(row["tri"], dtype=float)
         g = g + g.T - np.diag(np.diag(g))
@@ -135,9 +130,9 @@ def cell_grams(df: DataFrame, xs: list[Column], targets: list[Column], cell: Col
 
 def gram_long(df: DataFrame, xs: list[Column], targets: list[Column], names: list[str]) -> DataFrame:
     """One-cell Gram as a lazy long table (i, j, term_i, term_j, value), i <= j."""
-    p = basis_size(len(xs), len(targets))
+    p = 1 + len(xs) + len(all_pairs(len(xs))) + len(targets)
     iu = np.triu_indices(p)
-    frame = cell_gram_frame(df, xs, targets, F.lit(0), 1)
+    frame = cell_gram_frame(df, xs, targets, F.lit(0))
     ii = F.array(*[F.lit(int(v)) for v in iu[0]])
     jj = F.array(*[F.lit(int(v)) for v in iu[1]])
     nm = F.array(*[F.lit(n) for n in names])

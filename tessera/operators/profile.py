@@ -1,10 +1,10 @@
 """Column profile (16 fields per column) and the Anderson-Darling normality
-statistic, from one scan and one shuffle.
+statistic, from one scan.
 
 Every field but the per-column regression against the response comes from
-the shared value histogram (see ``histogram``): counts, extremes, zero count,
-exact distinct count, exact median, central moments and A-D.  Mean, sd and
-row counts for standardising are collected first in one tiny aggregate.
+the value table (see ``histogram``), which is written once: counts, extremes,
+zero count, exact distinct count, exact median, central moments and A-D.  A few
+numbers per column come to the driver in between.
 
 A-D (normal, sample sd) with one rank per distinct value: a value with count
 ``c`` and ``r`` smaller rows adds
@@ -17,14 +17,15 @@ for the response column itself, as the reference's residual is noise there.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.columns import q
 from ..functions.normal import ad_pvalue, log_upper_tail
-from .histogram import (DEFAULT_ROWS_PER_BUCKET, ColumnStats, bucket_count, bucket_splits,
-                        collect_stats, histogram, ranked)
+from .histogram import ranked, value_table
 
 PROFILE_FIELDS = [
     "variable", "row_count", "null_count", "maximum", "minimum", "average", "unique_values",
@@ -42,111 +43,106 @@ def numeric_columns(df: DataFrame, strict: bool = False) -> list[str]:
     return cols
 
 
-def _lit_map(values: dict[str, float | int | None]) -> Column:
-    items = []
-    for k, v in values.items():
-        items += [F.lit(k), F.lit(None if v is None else float(v)).cast("double")]
-    return F.create_map(*items)
-
-
-def rank_summary(df: DataFrame, cols: list[str], stats: ColumnStats | None = None,
-                 rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET, response: str | None = None,
-                 ad_mode: str = "column") -> DataFrame:
-    """Per variable: n, unique, extremes, zeros, moments, median, A-D."""
-    stats = stats or collect_stats(df, cols)
-    buckets = bucket_count(stats, rows_per_bucket, df.sparkSession.sparkContext.defaultParallelism)
-    splits = bucket_splits(df, cols, buckets, stats.rows) if buckets > 1 else None
-    hist = ranked(histogram(df, cols, splits), bucketed=splits is not None)
+def rank_summary(df: DataFrame, cols: list[str], rows_per_bucket: int | None = None,
+                 response: str | None = None, ad_mode: str = "column") -> DataFrame:
+    """Per variable: rows, n, unique, extremes, zeros, moments, median, A-D.
+    One scan of df writes its value table; the rest reads that.  Every column
+    has a row, one without values has nulls.  ``rows_per_bucket``: values per
+    range partition (default: as many partitions as the session's shuffles)."""
+    values = value_table(df, cols, rows_per_bucket)
+    v, c = F.col("value"), F.col("cnt")
+    known = F.when(v.isNotNull(), c)
+    n, mean = F.col("n"), F.col("mean")
+    # an infinite value leaves the mean infinite and the central moments NaN
+    stats = (values.groupBy("variable").agg(
+        F.sum(c).alias("row_count"), F.coalesce(F.sum(known), F.lit(0)).alias("n"), F.count(v).alias("unique_values"),
+        F.max(v).alias("maximum"), F.min(v).alias("minimum"),
+        F.coalesce(F.sum(F.when(v == 0, c)), F.lit(0)).cast("bigint").alias("zero_count"),
+        F.sum(known * v).alias("total"))
+        .withColumn("mean", F.col("total") / F.nullif(n, F.lit(0))).drop("total"))
+    rows = stats.collect()  # one row per column
+    found = {r["variable"]: r for r in rows}
+    small = df.sparkSession.createDataFrame(
+        [(x, *([found[x][f] for f in ("row_count", "n", "unique_values", "maximum", "minimum", "zero_count", "mean")]
+               if x in found else [0, 0, 0, None, None, 0, None])) for x in cols],
+        "variable string, row_count long, n long, unique_values long, maximum double, minimum double, zero_count long, mean double")
+    by = {x: F.lit(None if found.get(x) is None else found[x]["mean"]).cast("double") for x in cols}
+    count = {x: F.lit(found[x]["n"] if x in found else 0) for x in cols}
+
+    def per_variable(of: dict[str, Column]) -> Column:
+        return F.create_map(*[z for x in cols for z in (F.lit(x), of[x])])[F.col("variable")]
+
+    central = (values.where(v.isNotNull()).withColumn("d", v - per_variable(by)).groupBy("variable").agg(
+        F.sum(c * F.col("d") * F.col("d")).alias("m2"), F.sum(c * F.pow("d", 3)).alias("m3"), F.sum(c * F.pow("d", 4)).alias("m4")))
+    moments = {r["variable"]: r for r in central.collect()}  # one row per column
+    sds = {}
+    for x in cols:
+        r = found.get(x)
+        constant = r is None or r["n"] < 2 or r["maximum"] == r["minimum"]
+        sds[x] = F.lit(0.0 if constant else math.sqrt(moments[x]["m2"] / (r["n"] - 1)) if math.isfinite(moments[x]["m2"]) else float("nan"))
 
-    var = F.col("variable")
-    n = _lit_map(stats.count)[var]
-    mean = _lit_map(stats.mean)[var]
-    sd = _lit_map(stats.sd)[var]
     # per-row terms computed once in a projection, then aggregated
-    hist = hist.select("variable", "value", "cnt", "r", n.alias("_n"), mean.alias("_mean"), sd.alias("_sd"))
+    hist = ranked(values).select("variable", "value", "cnt", "r", per_variable(count).alias("_n"),
+                                 per_variable(by).alias("_mean"), per_variable(sds).alias("_sd"))
     n, mean, sd = F.col("_n"), F.col("_mean"), F.col("_sd")
-    hist = hist.withColumn("_w", F.when(sd > 0, (F.col("value") - mean) / sd))
+    hist = hist.withColumn("_w", F.when((sd > 0) & ~F.isnan(sd), (v - mean) / sd))
     hist = hist.withColumn("_tail", log_upper_tail(F.abs(F.col("_w"))))
     hist = hist.withColumn("_body", F.log1p(-F.exp(F.col("_tail"))))
-    v, c, r = F.col("value"), F.col("cnt"), F.col("r")
+    r = F.col("r")
     w, tail, body = F.col("_w"), F.col("_tail"), F.col("_body")
     ln_cdf = F.when(w < 0, tail).otherwise(body)
     ln_sf = F.when(w > 0, tail).otherwise(body)
     ad_term = c * (2 * r + c) * ln_cdf + c * (2 * (n - r) - c) * ln_sf
-    lo = F.floor((n - 1) / 2)
-    hi = F.floor(n / 2)
-    dv = v - mean
-    hit = lambda pos: (r <= pos) & (pos < r + c)
-
+    hit = lambda pos: (r <= pos) & (pos < r + c)
     agg = hist.groupBy("variable").agg(
-        F.sum(c).alias("n"),
-        F.count(F.lit(1)).alias("unique_values"),
-        F.max(v).alias("maximum"),
-        F.min(v).alias("minimum"),
-        F.sum(F.when(v == 0, c).otherwise(0)).alias("zero_count"),
-        F.sum(c * v).alias("s1"),
-        F.sum(c * dv * dv).alias("m2"),
-        F.sum(c * dv * dv * dv).alias("m3"),
-        F.sum(c * dv * dv * dv * dv).alias("m4"),
-        ((F.sum(F.when(hit(lo), v)) + F.sum(F.when(hit(hi), v))) / 2).alias("median"),
-        F.sum(ad_term).alias("ad_sum"),
-        F.max(sd).alias("sd"),
-    )
+        ((F.sum(F.when(hit(F.floor((n - 1) / 2)), v)) + F.sum(F.when(hit(F.floor(n / 2)), v))) / 2).alias("median"),
+        F.sum(ad_term).alias("ad_sum"))
+    shape = df.sparkSession.createDataFrame(
+        [(x, *([float(moments[x][m]) for m in ("m2", "m3", "m4")] if x in moments else [None] * 3)) for x in cols],
+        "variable string, m2 double, m3 double, m4 double")
+    out = small.join(F.broadcast(shape), "variable").join(agg, "variable", "left")  # one row per column
     nn = F.col("n")
-    a2 = F.when((F.col("sd") > 0) & (nn > 1), -nn - F.col("ad_sum") / nn).otherwise(F.lit(0.0))
-    a2 = F.when(F.isnan(a2), F.lit(0.0)).otherwise(a2)
+    varied = F.col("maximum") > F.col("minimum")
+    a2 = F.when(varied & (nn > 1), -nn - F.col("ad_sum") / F.nullif(nn, F.lit(0))).otherwise(F.lit(0.0))
+    a2 = F.when(nn > 0, F.when(a2.isNull() | F.isnan(a2), F.lit(0.0)).otherwise(a2))
     if ad_mode == "reference" and response is not None:
         a2 = F.when(F.col("variable") == response, F.lit(0.0)).otherwise(a2)
-    m2 = F.col("m2") / nn
-    return agg.select(
-        "variable",
-        F.col("n").alias("value_count"),
-        "unique_values", "maximum", "minimum",
-        F.col("zero_count").cast("bigint").alias("zero_count"),
-        (F.col("s1") / nn).alias("average"),
+    m2 = F.when(varied, F.col("m2")).otherwise(F.when(nn > 0, F.lit(0.0))) / F.nullif(nn, F.lit(0))
+    some = F.when(varied, F.nullif(F.col("m2"), F.lit(0.0)))
+    return out.select(
+        "variable", "row_count",
+        nn.alias("value_count"),
+        F.when(nn > 0, F.col("unique_values")).otherwise(F.lit(0)).alias("unique_values"), "maximum", "minimum", "zero_count",
+        F.col("mean").alias("average"),
         "median",
-        (F.col("maximum") - F.col("minimum")).alias("data_range"),
+        F.when(varied, F.col("maximum") - F.col("minimum")).otherwise(F.when(nn > 0, F.lit(0.0))).alias("data_range"),
         a2.alias("ad_stat"),
         m2.alias("variance"),
         F.sqrt(m2).alias("std_dev"),
-        F.when(F.col("m2") > 0, nn * F.col("m4") / (F.col("m2") * F.col("m2")) - 3)
-         .otherwise(F.lit(-3.0)).alias("kurtosis"),
-        F.when(F.col("m2") > 0, F.sqrt(nn) * F.col("m3") / F.pow(F.col("m2"), 1.5))
-         .otherwise(F.lit(0.0)).alias("skewness"),
+        F.when(nn > 0, F.coalesce(nn * F.col("m4") / (some * some) - 3, F.lit(-3.0))).alias("kurtosis"),
+        F.when(nn > 0, F.coalesce(F.sqrt(nn) * F.col("m3") / F.pow(some, 1.5), F.lit(0.0))).alias("skewness"),
     ).withColumn("ad_pvalue", ad_pvalue(F.col("ad_stat")))
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, response: str | None = None,
-            strict: bool = False, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-            ad_mode: str = "column", materialize: bool = False) -> DataFrame:
+            strict: bool = False, rows_per_bucket: int | None = None,
+            ad_mode: str = "column") -> DataFrame:
     """One row per variable with the 16 profile fields (plus null_count).
 
     ``response`` falls back as the reference does: given name, else
     ``Response``, else the first column.  Nulls/NaN are skipped in value
     statistics and counted in ``null_count``; ``strict`` raises on them and on
-    text columns instead.  ``materialize`` writes the profiled columns once to
-    the shared folder first, so a derived input is not computed twice.
+    text columns instead.  df is read once, so a derived input is computed once.
     """
     cols = cols or numeric_columns(df, strict)
-    response = resolve_response(df, response)
-    if materialize:
-        # expensive derived input (joins, aggregates): computed once, written
-        # as a narrow table in the shared folder (a lineage cut), then both
-        # passes read that table
-        from ..session import scratch_path
-        path = scratch_path(df.sparkSession, "profile-input")
-        df.select(*[q(c) for c in cols]).write.mode("overwrite").parquet(path)
-        df = df.sparkSession.read.parquet(path)
-    stats = collect_stats(df, cols)
+    ranks = rank_summary(df, cols, rows_per_bucket, resolve_response(df, response), ad_mode)
     if strict:
-        missing = [c for c in cols if stats.count[c] != stats.rows]
+        missing = [r["variable"] for r in ranks.where("value_count < row_count").select("variable").collect()]
         if missing:
             raise ValueError(f"null or NaN values in {missing}")
-    ranks = rank_summary(df, cols, stats, rows_per_bucket, response, ad_mode)
     return ranks.select(
-        "variable",
-        F.lit(stats.rows).cast("bigint").alias("row_count"),
-        (F.lit(stats.rows) - F.col("value_count")).cast("bigint").alias("null_count"),
+        "variable", "row_count",
+        (F.col("row_count") - F.col("value_count")).alias("null_count"),
         "maximum", "minimum", "average", "unique_values", "zero_count", "median",
         "data_range", "ad_stat", "ad_pvalue",
         F.col("average").alias("mean"), "std_dev", "variance", "kurtosis", "skewness",

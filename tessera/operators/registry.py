@@ -14,12 +14,10 @@ planner's size statistics, large ones shuffle on the key.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .histogram import MAX_BUCKETS, bucket_splits, histogram, ranked
+from .histogram import global_rank
 
 # -------------------------------------------------------------- listings
 
@@ -37,7 +35,8 @@ def list_children(children: DataFrame, parents: DataFrame | None = None, fk: str
 def metadata_latest(log: DataFrame) -> DataFrame:
     """Unique (base_id, name): the last write (highest seq) wins."""
     return (log.groupBy("base_id", "name")
-            .agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")))
+            .agg(F.max_by(F.struct("value", "seq"), "seq").alias("last"))
+            .select("base_id", "name", "last.value", "last.seq"))
 
 
 def metadata_get(meta: DataFrame, names: list[str] | None = None, wide: bool = True) -> DataFrame:
@@ -53,14 +52,13 @@ def metadata_get(meta: DataFrame, names: list[str] | None = None, wide: bool = T
 
 
 def metadata_upsert(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """Upsert by (base_id, name); within the batch the last write wins."""
-    batch = metadata_latest(updates).select("base_id", "name", F.col("value").alias("new_value"),
-                                            F.col("seq").alias("new_seq"))
+    """Upsert by (base_id, name); within the batch the last write wins, and
+    a write of null overwrites too."""
+    batch = metadata_latest(updates).select("base_id", "name", F.struct("value", "seq").alias("new"))
     cur = current.select("base_id", "name", "value", "seq")
     j = cur.join(batch, ["base_id", "name"], "full_outer")
-    return j.select("base_id", "name",
-                    F.coalesce("new_value", "value").alias("value"),
-                    F.coalesce("new_seq", "seq").alias("seq"))
+    written = F.col("new").isNotNull()
+    return j.select("base_id", "name", *[F.when(written, F.col("new")[c]).otherwise(F.col(c)).alias(c) for c in ("value", "seq")])
 
 
 def metadata_delete(meta: DataFrame, requests: DataFrame) -> DataFrame:
@@ -88,6 +86,23 @@ def location_owners(locations: DataFrame) -> DataFrame:
                             F.col("location_id").alias("object_id"), "owner_id")
 
 
+def object_owners(locations: DataFrame, workflows: DataFrame, datasets: DataFrame | None = None,
+                  models: DataFrame | None = None) -> DataFrame:
+    """Owners of all objects that can be granted: locations, and the workflows,
+    datasets and models below them."""
+    own = locations.select("location_id", "owner_id")
+    chain = workflows.select("workflow_id", "location_id").join(own, "location_id")
+    out = location_owners(locations)
+    parts = [("Workflow", "workflow_id", chain)]
+    if datasets is not None:
+        parts.append(("Dataset", "dataset_id", datasets.select("dataset_id", "location_id").join(own, "location_id")))
+    if models is not None:
+        parts.append(("AnalyticalModel", "model_id", models.select("model_id", "workflow_id").join(chain, "workflow_id")))
+    for kind, key, df in parts:
+        out = out.unionByName(df.select(F.lit(kind).alias("object_type"), F.col(key).alias("object_id"), "owner_id"))
+    return out
+
+
 ACL_KEY = ["owner_id", "target_user_id", "object_type", "object_id"]
 
 
@@ -99,11 +114,9 @@ def acl_grant(acl: DataFrame, requests: DataFrame, object_owners: DataFrame) ->
         ["object_type", "object_id", "grantor_id"], "left_semi")
     latest = (valid.groupBy(F.col("grantor_id").alias("owner_id"), "target_user_id", "object_type", "object_id")
               .agg(F.max_by(F.struct("expiration", "access_type"), F.struct("ts", "request_id")).alias("g")))
-    new = latest.select(*ACL_KEY, F.col("g.expiration").alias("new_exp"),
-                        F.col("g.access_type").alias("new_type"))
-    j = acl.select(*ACL_KEY, "expiration", "access_type").join(new, ACL_KEY, "full_outer")
-    return j.select(*ACL_KEY, F.coalesce("new_exp", "expiration").alias("expiration"),
-                    F.coalesce("new_type", "access_type").alias("access_type"))
+    j = acl.select(*ACL_KEY, "expiration", "access_type").join(latest, ACL_KEY, "full_outer")
+    given = F.col("g").isNotNull()
+    return j.select(*ACL_KEY, *[F.when(given, F.col("g")[c]).otherwise(F.col(c)).alias(c) for c in ("expiration", "access_type")])
 
 
 def acl_access(requests: DataFrame, object_owners: DataFrame, acl: DataFrame) -> DataFrame:
@@ -135,31 +148,38 @@ def has_fitted_model(locations: DataFrame, workflows: DataFrame, models: DataFra
             .select("location_id", F.coalesce("has_fitted_model", F.lit(False)).alias("has_fitted_model")))
 
 
+def integrity(objects: DataFrame, key: str, models: DataFrame) -> DataFrame:
+    """R8 for workflows or datasets (``key``: workflow_id, dataset_id): does any
+    model of theirs have a fitted artifact?"""
+    fitted = models.where(F.col("fitted")).select(key).distinct().withColumn("has_fitted_model", F.lit(True))
+    return (objects.select(key).join(fitted, key, "left")
+            .select(key, F.coalesce("has_fitted_model", F.lit(False)).alias("has_fitted_model")))
+
+
 def versioned_update(table: DataFrame, updates: DataFrame, protected: DataFrame, key: str,
-                     rows_per_bucket: int = 2_000_000) -> DataFrame:
-    """Apply updates (same columns as ``table``); rows with a fitted model
-    below them (``protected``: key, has_fitted_model) keep their old version
-    and the update is inserted with a new id = max(id) + rank among the new
-    rows; others are overwritten in place.  Output adds ``replaces``."""
-    upd = updates.join(protected, key, "left")
+                     order: str | None = None, rows_per_bucket: int | None = None) -> DataFrame:
+    """Apply updates (same columns as ``table``, and ``order`` if given);
+    rows with a fitted model below them (``protected``: key, has_fitted_model)
+    keep their old version and the update is inserted with a new id = max(id) +
+    rank among the new rows; others are overwritten in place.  Of several
+    updates of one key the last by ``order`` counts (without it the greatest
+    row).  Ranks are taken on the keys in their own type.  Output adds
+    ``replaces``."""
+    fields = F.struct(*[c for c in table.columns if c != key])
+    last = (F.max_by(fields, order) if order else F.max(fields)).alias("new")
+    upd = updates.groupBy(key).agg(last).select(*[F.col(key) if c == key else F.col("new")[c].alias(c) for c in table.columns])
+    upd = upd.join(protected, key, "left")
     keep_old = F.coalesce(F.col("has_fitted_model"), F.lit(False))
     in_place = upd.where(~keep_old).drop("has_fitted_model")
     versioned = upd.where(keep_old).drop("has_fitted_model")
+    kind = table.schema[key].dataType
     max_id = table.select(F.max(key)).scalar()
-    # exact ranks of the versioned keys without a single-task window
-    keys = versioned.select(F.col(key).cast("double").alias("k"))
-    n_new = keys.count()
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(n_new / max(1, rows_per_bucket))))
-    splits = bucket_splits(keys, ["k"], buckets, n_new) if buckets > 1 else None
-    ranks = ranked(histogram(keys, ["k"], splits), bucketed=splits is not None)
-    ranks = ranks.select(F.col("value").cast(table.schema[key].dataType).alias(key), "r")
-    new_rows = (versioned.join(ranks, key)
-                .withColumn("replaces", F.col(key))
-                .withColumn(key, (max_id + F.col("r") + 1).cast(table.schema[key].dataType))
-                .drop("r"))
-    untouched = table.join(in_place.select(key), key, "left_anti").withColumn(
-        "replaces", F.lit(None).cast(table.schema[key].dataType))
-    overwritten = in_place.withColumn("replaces", F.lit(None).cast(table.schema[key].dataType))
+    ranks = global_rank(versioned.select(F.col(key).alias("k")), rows_per_bucket).withColumnRenamed("k", key)
+    new_rows = (versioned.join(ranks, key).withColumn("replaces", F.col(key))
+                .withColumn(key, (F.coalesce(max_id, F.lit(0)) + F.col("r") + 1).cast(kind)).drop("r"))
+    none = F.lit(None).cast(kind)
+    untouched = table.join(in_place.select(key), key, "left_anti").withColumn("replaces", none)
+    overwritten = in_place.withColumn("replaces", none)
     cols = table.columns + ["replaces"]
     return untouched.select(cols).unionByName(overwritten.select(cols)).unionByName(new_rows.select(cols))
 
@@ -167,14 +187,42 @@ def versioned_update(table: DataFrame, updates: DataFrame, protected: DataFrame,
 def cascade_delete(deleted_locations: DataFrame, workflows: DataFrame, models: DataFrame
                    ) -> tuple[DataFrame, DataFrame]:
     """Removing locations removes their workflows and those models."""
-    wf = workflows.join(deleted_locations.select("location_id"), "location_id", "left_anti")
-    gone_wf = workflows.join(deleted_locations.select("location_id"), "location_id", "left_semi")
-    md = models.join(gone_wf.select("workflow_id"), "workflow_id", "left_anti")
-    return wf, md
+    out = cascade({"locations": deleted_locations, "workflows": workflows, "models": models}, deleted_locations)
+    return out["workflows"], out["models"]
+
+
+#: Child tables and the table and column they hang on.
+CHILDREN = (("workflows", "locations", "location_id"), ("datasets", "locations", "location_id"), ("models", "workflows", "workflow_id"),
+            ("configs", "workflows", "workflow_id"), ("location_metadata", "locations", "location_id"),
+            ("workflow_metadata", "workflows", "workflow_id"), ("dataset_metadata", "datasets", "dataset_id"),
+            ("model_data", "models", "model_id"), ("results", "models", "model_id"))
+
+
+def cascade(tables: dict[str, DataFrame], deleted_locations: DataFrame) -> dict[str, DataFrame]:
+    """R10 over all child tables given: what is left of each (locations
+    themselves are left alone).  A row goes when the row it hangs on goes."""
+    gone = {"locations": deleted_locations.select("location_id").distinct()}
+    left = dict(tables)
+    for name, parent, fk in CHILDREN:
+        if name in tables and parent in gone:
+            keys = gone[parent].select(fk)
+            left[name] = tables[name].join(keys, fk, "left_anti")
+            gone[name] = tables[name].join(keys, fk, "left_semi")
+    return left
 
 
 # -------------------------------------------------------------- run status
 
+#: Columns of the run log.
+RUN_LOG = "model_id long, ts timestamp, event_id long, status string, stage string, message string"
+
+
+def run_log_rows(spark, model_id: int, events: list[tuple]) -> DataFrame:
+    """Status writes (ts, event_id, status, stage, message) of one model as
+    rows of the run log; a later write replaces an earlier one, its message too."""
+    return spark.createDataFrame([(model_id, *e) for e in events], RUN_LOG)
+
+
 def run_status(run_log: DataFrame) -> DataFrame:
     """Latest status row per model; stage 'i/n' parsed; complete
     when i = n (failures are '-1/n')."""

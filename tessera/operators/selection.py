@@ -37,11 +37,45 @@ class LinearModel:
         return df.withColumn(col, self.prediction())
 
 
-def _plain_grams(df: DataFrame, label: str, features: list[str], cell: Column, n_cells: int):
-    """Grams of [1, x (raw), y] per cell; no product terms."""
-    xs = [q(c).cast("double") for c in features]
-    # cell_grams builds x_i*x_j terms too; with raw x they are unused here
-    return cell_grams(df, xs, [q(label).cast("double")], cell, n_cells)
+@dataclass
+class _Scaled:
+    """Complete rows with every column centred and scaled, so that sums of
+    squares keep their digits whatever the columns' offsets are."""
+    rows: DataFrame
+    mean: np.ndarray
+    sd: np.ndarray
+    label_mean: float
+    label_sd: float
+
+    def grams(self, cell: Column, n_cells: int) -> np.ndarray:
+        """Per cell: sums over [1, x, y], without product terms."""
+        k = len(self.mean)
+        xs = [(F.col(f"x{i}") - F.lit(float(self.mean[i]))) / F.lit(float(self.sd[i])) for i in range(k)]
+        y = (F.col("y") - F.lit(self.label_mean)) / F.lit(self.label_sd)
+        return cell_grams(self.rows, xs, [y], cell, n_cells, pairs=[])
+
+    def raw(self, b0: float, beta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Coefficients on the columns as they are."""
+        coef = np.asarray(beta) * self.label_sd / self.sd
+        return float(self.label_mean + self.label_sd * b0 - coef @ self.mean), coef
+
+
+def _scaled(df: DataFrame, label: str, features: list[str], key: Column | None = None) -> _Scaled:
+    """One aggregate for means and deviations; rows with a null or NaN in any of
+    the columns are left out, as a regression on complete cases does."""
+    cols = [q(label).cast("double").alias("y"), *[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]]
+    names = ["y", *[f"x{i}" for i in range(len(features))]]
+    rows = df.select(*cols, *([key.alias("key")] if key is not None else []))
+    whole = F.lit(True)
+    for c in names:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
+    rows = rows.where(whole)
+    stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    mean = np.array([stats[f"m_{c}"] or 0.0 for c in names])
+    sd = np.array([stats[f"s_{c}"] or 0.0 for c in names])
+    sd[sd <= 1e-13 * np.maximum(1e-300, np.abs(mean))] = 1.0  # constant
+    sd[sd == 0] = 1.0
+    return _Scaled(rows, mean[1:], sd[1:], float(mean[0]), float(sd[0]))
 
 
 def _x_y_moments(G: np.ndarray, k: int) -> S.Moments:
@@ -50,14 +84,11 @@ def _x_y_moments(G: np.ndarray, k: int) -> S.Moments:
 
 
 def fit_ols(df: DataFrame, label: str, features: list[str]) -> LinearModel:
-    """M8: OLS with intercept from one Gram pass."""
-    G = _plain_grams(df, label, features, F.lit(0), 1)[0]
-    b0, beta = S.ols(_x_y_moments(G, len(features)))
-    return LinearModel(list(features), float(b0), [float(b) for b in beta])
-
-
-def gram(df: DataFrame, label: str, features: list[str]) -> np.ndarray:
-    return _plain_grams(df, label, features, F.lit(0), 1)[0]
+    """M8: OLS with intercept over the complete rows: one aggregate for the
+    scales, one Gram pass."""
+    scaled = _scaled(df, label, features)
+    b0, beta = scaled.raw(*S.ols(_x_y_moments(scaled.grams(F.lit(0), 1)[0], len(features))))
+    return LinearModel(list(features), b0, [float(b) for b in beta])
 
 
 def select_features(df: DataFrame, label: str, features: list[str], method: str = "lars",
@@ -66,11 +97,15 @@ def select_features(df: DataFrame, label: str, features: list[str], method: str
     """Returns (selected names, coefficients of all features)."""
     k = len(features)
     if method == "lars":
-        G = _plain_grams(df, label, features, F.lit(0), 1)[0]
-        coef = S.lars(_x_y_moments(G, k), max_k)
+        scaled = _scaled(df, label, features)
+        G = scaled.grams(F.lit(0), 1)[0]
+        _, coef = scaled.raw(0.0, S.lars(_x_y_moments(G, k), max_k))
     elif method == "elastic-net":
-        dig = key_digest(row_key(df, key), seed)
-        Gs = _plain_grams(df, label, features, fold(dig, LEVEL_EN, folds), folds)
+        scaled = _scaled(df, label, features, key_digest(row_key(df, key), seed))
+        Gs = scaled.grams(fold(F.col("key"), LEVEL_EN, folds), folds)
+        # the penalty acts on the columns as they are: their scales go back in
+        back = np.concatenate([[1.0], scaled.sd, [scaled.label_sd]])
+        Gs = Gs * np.outer(back, back)
         full = Gs.sum(axis=0)
         pairs = [(_x_y_moments(full - Gs[e], k), _x_y_moments(Gs[e], k)) for e in range(folds)]
         _, _, coef, _ = S.enet_cv(pairs, _x_y_moments(full, k))

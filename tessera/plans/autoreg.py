@@ -50,11 +50,13 @@ from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, Str
 from ..functions.columns import q
 from ..functions.hashing import LEVEL_EN, LEVEL_INNER, LEVEL_OUTER, fold, is_test, key_digest
 from ..operators import solvers as S
-from ..operators.moments import DEFAULT_MAX_BASIS, basis_expressions, cell_grams, pair_index
+from ..operators.moments import Pairs, all_pairs, basis_expressions, cell_grams, pair_index
 from ..operators.split import row_key
 from pyspark import StorageLevel
 
 TRANSFORMS = ("None_T", "LogP1_T")
+# up to so many predictors every product is built in the one Gram pass
+ALL_PRODUCTS = 22
 # the per-cell Grams are broadcast to the grid tasks: their size is checked
 MAX_BROADCAST_BYTES = 256 * 2**20
 _TRACE = os.environ.get("TESSERA_TRACE") == "1"
@@ -123,6 +125,8 @@ class RegressionModel:
     lars_selected: list[str] = field(default_factory=list)
     selected_terms: list[str] = field(default_factory=list)
     max_k: int = 0
+    pairs: list[list[int]] | None = None   # the products' columns; None: all pairs
+    dag: dict | None = None                # derived columns, run before predicting
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -134,7 +138,8 @@ class RegressionModel:
     def linear_part(self) -> Column:
         xs = [(q(c).cast("double") - F.lit(m)) / F.lit(s)
               for c, m, s in zip(self.features, self.x_mean, self.x_sd)]
-        return linear_expression(self.coef, xs) + F.lit(self.target_offset)
+        pairs = None if self.pairs is None else [(i, j) for i, j in self.pairs]
+        return linear_expression(self.coef, xs, pairs) + F.lit(self.target_offset)
 
     def prediction(self) -> Column:
         lin = self.linear_part()
@@ -144,11 +149,14 @@ class RegressionModel:
 
     def predict(self, df: DataFrame, col: str = "prediction") -> DataFrame:
         """One projection with the coefficients as literals."""
+        if self.dag is not None:
+            from .dag import apply_dag
+            df = apply_dag(df, self.dag)
         return df.withColumn(col, self.prediction())
 
 
-def linear_expression(coef, xs: list[Column]) -> Column:
-    terms = basis_expressions(xs)
+def linear_expression(coef, xs: list[Column], pairs: Pairs | None = None) -> Column:
+    terms = basis_expressions(xs, pairs)
     expr = None
     for c, t in zip(coef, terms):
         if c == 0.0:
@@ -165,10 +173,11 @@ class Layout:
     k: int
     K: int
     n_targets: int
+    pairs: tuple[tuple[int, int], ...] | None = None  # product terms, None: all
 
     @property
     def px(self) -> int:
-        return 1 + self.k + self.k * (self.k - 1) // 2
+        return 1 + self.k + (self.k * (self.k - 1) // 2 if self.pairs is None else len(self.pairs))
 
     @property
     def n_cells(self) -> int:
@@ -181,7 +190,7 @@ class Layout:
 
 def _feature_map(layout: Layout, mu: np.ndarray, sd: np.ndarray, sel: list[int]) -> tuple[np.ndarray, list[str]]:
     """Rows map z_x to [1, u_a, u_a*u_b] for the selected (scaled) columns."""
-    pidx = pair_index(layout.k)
+    pidx = pair_index(layout.k, None if layout.pairs is None else list(layout.pairs))
     rows, names = [], []
     r = np.zeros(layout.px)
     r[0] = 1.0
@@ -205,19 +214,26 @@ def _feature_map(layout: Layout, mu: np.ndarray, sd: np.ndarray, sel: list[int])
     return np.array(rows), names
 
 
+def _chosen(keep: str):
+    return (lambda c: c > 0) if keep == "positive" else (lambda c: c != 0)
+
+
+def lars_selection(G: np.ndarray, k: int, t_idx: int, max_k: int, keep: str) -> tuple[S.Moments, list[int]]:
+    """Moments of the k columns with target t_idx, and the columns LARS keeps."""
+    mx = S.moments_from_gram(G, list(range(1, 1 + k)), t_idx)
+    return mx, [int(i) for i in np.where(_chosen(keep)(S.lars(mx, max_k)))[0]]
+
+
 def fit_cell_model(G_fit: np.ndarray, G_en: np.ndarray, layout: Layout, t_idx: int, max_k: int,
                    keep: str = "positive"):
     """One pipeline fit from moments: returns (coef over z_x, lars sel, term names, alpha)."""
-    k, px = layout.k, layout.px
-    x_idx = list(range(1, 1 + k))
-    mx = S.moments_from_gram(G_fit, x_idx, t_idx)
+    px = layout.px
+    mx, sel1 = lars_selection(G_fit, layout.k, t_idx, max_k, keep)
     mu = mx.mx
     var = np.diag(mx.sxx) / mx.n - mu * mu
     sd = np.sqrt(np.clip(var, 0, None))
     sd[sd <= 1e-12 * np.maximum(1.0, np.abs(mu))] = 1.0
-    lcoef = S.lars(mx, max_k)
-    chosen = (lambda c: c > 0) if keep == "positive" else (lambda c: c != 0)
-    sel1 = [int(i) for i in np.where(chosen(lcoef))[0]]
+    chosen = _chosen(keep)
     T, names = _feature_map(layout, mu, sd, sel1)
     z_idx = list(range(px))
     full = S.moments_from_gram(G_fit, z_idx, t_idx, T)
@@ -290,11 +306,25 @@ TASK_SCHEMA = StructType([
 @dataclass
 class FitResult:
     model: RegressionModel
-    tasks: DataFrame          # one row per grid entry (checkpointed)
+    tasks: DataFrame          # one row per grid entry
     outer_scores: DataFrame   # transform, outer_fold, max_k, r2
     inner_scores: DataFrame   # transform, outer_fold, max_k, inner_fold, r2
 
 
+def _kept_together(G: np.ndarray, layout: Layout, cands: list[int], outers: list[int], keep: str) -> set[tuple[int, int]]:
+    """Pairs of columns that some LARS fit of the grid keeps, from Grams without
+    products; every target is a candidate's target."""
+    cells = G[:layout.K ** 3].reshape(layout.K, layout.K, layout.K, *G.shape[1:])
+    out: set[tuple[int, int]] = set()
+    for o in outers:
+        for inner in [*range(layout.K), REFIT]:
+            fit = cells[_masks(layout, o, inner)[0]].sum(axis=(0, 1))
+            for t in range(layout.n_targets):
+                for mk in cands:
+                    out.update(combinations(lars_selection(fit, layout.k, layout.px + t, mk, keep)[1], 2))
+    return out
+
+
 def assign_cells(df: DataFrame, key: str | None, s: ModelSettings) -> DataFrame:
     dig = key_digest(row_key(df, key), s.random_seed)
     K = s.cv_folds
@@ -305,14 +335,19 @@ def assign_cells(df: DataFrame, key: str | None, s: ModelSettings) -> DataFrame:
 
 
 def fit_auto_regression(df: DataFrame, response: str, features: list[str], key: str | None = "id",
-                        settings: ModelSettings | None = None, max_basis: int = DEFAULT_MAX_BASIS,
-                        keep: str = "positive") -> FitResult:
+                        settings: ModelSettings | None = None, keep: str = "positive",
+                        all_products: int = ALL_PRODUCTS, dag: dict | None = None) -> FitResult:
     """``keep='positive'`` (default, as the reference) keeps features with
-    positive selector coefficients; ``'nonzero'`` keeps negative ones too."""
+    positive selector coefficients; ``'nonzero'`` keeps negative ones too.
+    Above ``all_products`` predictors a pass without products comes first, and
+    only products of columns that some LARS fit of the grid keeps together are
+    built.  ``dag``: a graph of derived columns that is run on df before the
+    fit; features may name its columns."""
     s = settings or ModelSettings()
-    if s.cv_reps != 1:
-        raise NotImplementedError("cv_reps > 1 is not supported; use cv_reps=1")
     spark = df.sparkSession
+    if dag is not None:
+        from .dag import apply_dag
+        df = apply_dag(df, dag)
     k, K = len(features), s.cv_folds
     y = q(response).cast("double")
     base = assign_cells(df, key, s).select("_cell", y.alias("_y"),
@@ -324,12 +359,14 @@ def fit_auto_regression(df: DataFrame, response: str, features: list[str], key:
     # are a key hash, so a recomputation after a lost executor is identical.
     base = base.where(complete).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit(spark, base, response, features, key, s, k, K, max_basis, keep)
+        fit = _fit(spark, base, response, features, key, s, k, K, all_products, keep)
+        fit.model.dag = dag
+        return fit
     finally:
         base.unpersist()
 
 
-def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitResult:
+def _fit(spark, base, response, features, key, s, k, K, all_products, keep) -> FitResult:
 
     # -- pass 1: per-cell counts, minima and first/second moments (tiny result)
     aggs = [F.count(F.lit(1)).alias("n"), F.min("_y").alias("ymin"), F.sum("_y").alias("sy")]
@@ -362,7 +399,6 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
 
     outers = list(range(K)) + [ALL]
     shifts = sorted({shift_for(o) for o in outers})
-    layout = Layout(k, K, 1 + len(shifts))
     targets = [F.col("_y") - F.lit(mu_y)]
     offsets = [mu_y]
     for sh in shifts:
@@ -372,11 +408,17 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
     xs = [(F.col(f"_x{i}") - F.lit(float(mu[i]))) / F.lit(float(sd[i])) for i in range(k)]
 
     # -- pass 2: the cell Grams
-    G = cell_grams(base, xs, targets, F.col("_cell"), layout.n_cells, max_basis)
+    cands = candidates(k)
+    pairs = None
+    if k > all_products:
+        linear = Layout(k, K, len(targets), ())
+        G = cell_grams(base, xs, targets, F.col("_cell"), linear.n_cells, pairs=[])
+        pairs = tuple(sorted(_kept_together(G, linear, cands, outers, keep)))
+    layout = Layout(k, K, len(targets), pairs)
+    G = cell_grams(base, xs, targets, F.col("_cell"), layout.n_cells, None if pairs is None else list(pairs))
     t0 = _mark("gram pass", t0)
 
     # -- the grid on the executors
-    cands = candidates(k)
     tasks = []
     for t in TRANSFORMS:
         for o in outers:
@@ -401,6 +443,7 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
     parts = max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism))
     results = spark.range(0, len(tasks), 1, numPartitions=parts).mapInPandas(solve, TASK_SCHEMA)
     by_id = {r["task_id"]: r for r in results.collect()}
+    results = spark.createDataFrame(list(by_id.values()), TASK_SCHEMA)  # bounded by the grid
     bc.unpersist()
     t0 = _mark(f"grid ({len(tasks)} fits, {sum(r['secs'] for r in by_id.values()):.1f}s of solves)", t0)
 
@@ -436,7 +479,7 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
         task, res = refit_task("LogP1_T", o)
         sh = shift_for(o)
         off = offsets[1 + shifts.index(sh)]
-        pred = F.expm1(linear_expression(res["coef"], xs) + F.lit(off)) - F.lit(sh)
+        pred = F.expm1(linear_expression(res["coef"], xs, None if pairs is None else list(pairs)) + F.lit(off)) - F.lit(sh)
         cond = (F.floor(F.col("_cell") / (K * K)) == o)
         branches = F.when(cond, pred) if branches is None else branches.when(cond, pred)
     val = base.where(F.col("_cell") != layout.test_cell) if not s.one_out else base
@@ -467,6 +510,7 @@ def _fit(spark, base, response, features, key, s, k, K, max_basis, keep) -> FitR
         response=response, features=list(features), key=key, settings=asdict(s),
         x_mean=[float(v) for v in mu], x_sd=[float(v) for v in sd], transform=best_t,
         shift=float(sh), target_offset=float(off), coef=list(res["coef"]),
+        pairs=None if pairs is None else [list(x) for x in pairs],
         lars_selected=[features[i] for i in res["lars_sel"]],
         selected_terms=[_term_name(t_, features) for t_ in res["terms"]],
         max_k=best_k[(best_t, ALL)])
@@ -503,10 +547,14 @@ def cv_results(fit: FitResult) -> DataFrame:
 
 
 def split_scores(model: RegressionModel, df: DataFrame) -> DataFrame:
-    """R^2 by split with the stored split settings (M15 residuals too)."""
+    """R^2 by split with the stored split settings (M15 residuals too).
+    Under ``one_out`` train and test are both all rows, so both are scored."""
     from ..operators.metrics import regression_metrics
     s = ModelSettings(**model.settings)
     dig = key_digest(row_key(df, model.key), s.random_seed)
-    split = F.lit("train") if s.one_out else F.when(is_test(dig, s.test_split), "test").otherwise("train")
-    scored = model.predict(df.withColumn("split", split))
+    scored = model.predict(df)
+    if s.one_out:
+        both = regression_metrics(scored, q(model.response), F.col("prediction"))
+        return both.select(F.explode(F.array(F.lit("train"), F.lit("test"))).alias("split"), "*")
+    scored = scored.withColumn("split", F.when(is_test(dig, s.test_split), "test").otherwise("train"))
     return regression_metrics(scored, q(model.response), F.col("prediction"), by=["split"])

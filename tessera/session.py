@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | None = None, shuffle_partitions: int | None = None,
@@ -42,8 +42,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or an already set
-    SparkContext checkpoint dir).  Only when neither is set -- a local test
-    session -- a fresh folder under the system temp dir is created and set.
+    SparkContext checkpoint dir).  When neither is set, a local session gets a
+    fresh folder under the system temp dir; any other master is an error, as
+    its executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
@@ -64,3 +67,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique table path inside the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera-tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: a lineage cut.  The
+    folder belongs to the session's owner, who clears it with its other
+    checkpoints; a table must outlive the lazy frames that read it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -147,28 +147,35 @@ def test_csv_scan_types(spark, tmp_path):
     assert dict(back.dtypes) == {"ID": "bigint", "Response": "double"}
 
 
-def test_profile_plan_one_scan_no_python(spark, sf_tiny):
-    import re
-    df = profile(table(spark, sf_tiny, "lineitem"), ["l_quantity", "l_extendedprice"])
+def test_profile_reads_its_input_once(spark, sf_tiny):
+    calls = spark.sparkContext.accumulator(0)
+    from pyspark.sql import types as T
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    li = table(spark, sf_tiny, "lineitem").select("l_quantity", "l_extendedprice")
+    df = profile(li.mapInArrow(counted, T.StructType(li.schema.fields)))
     df.collect()
+    assert calls.value == li.count()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("Initial Plan")[0]          # the adaptive plan prints both
-    assert len(re.findall(r"Scan parquet|FileScan parquet", final)) == 1
-    assert "Python" not in plan and "ArrowEval" not in plan
-
-
-def test_materialized_profile_equals_direct(spark, sf_tiny):
-    from tessera.sources import fixtures as fx
-    df = fx.order_features(spark, sf_tiny)
-    cols = ["id", "sum_ext", "avg_disc"]
-    a = {r["variable"]: r.asDict() for r in profile(df, cols).collect()}
-    b = {r["variable"]: r.asDict() for r in profile(df, cols, materialize=True).collect()}
-    for c in cols:
-        for k, v in a[c].items():
-            if isinstance(v, str):
-                assert b[c][k] == v
-            else:
-                assert b[c][k] == pytest.approx(v, rel=1e-12, abs=1e-12), (c, k)
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hard_columns_at_any_partitioning(spark):
+    rows = [(None, 1.0 if i else 0.0, 0.1, float("-inf") if i % 7 == 0 else float(i), 0.0 if i % 2 else -0.0, float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "empty double, most double, same double, logged double, zeros double, ties double")
+    one = {r["variable"]: r for r in profile(df).collect()}
+    many = {r["variable"]: r for r in profile(df, rows_per_bucket=5).collect()}
+    assert set(one) == set(many) == set(df.columns)
+    for c in df.columns:
+        for a, b in zip(one[c], many[c]):
+            assert a == b or a == pytest.approx(b, rel=1e-9, nan_ok=True), c
+    assert one["empty"]["row_count"] == one["empty"]["null_count"] == 300 and one["empty"]["average"] is None
+    assert (one["same"]["kurtosis"], one["same"]["skewness"], one["same"]["variance"], one["same"]["ad_stat"]) == (-3.0, 0.0, 0.0, 0.0)
+    assert one["logged"]["minimum"] == float("-inf") and one["logged"]["ad_stat"] == 0.0
+    assert one["zeros"]["unique_values"] == 1 and one["zeros"]["zero_count"] == 300
 
 
 def test_approx_profile_close_to_exact(spark, sf_tiny):
