@@ -178,6 +178,23 @@ def q_column_profile(spark, sf):
                     sig_col("mean"), sig_col("std_dev"), sig_col("variance"))
 
 
+_ALL_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *PROFILE_COLS, "ln_tax", "nothing"]
+_ALL_SQL = "select *, case when l_tax > 0 then ln(l_tax) else '-infinity'::double end as ln_tax, null::double as nothing from lineitem"
+
+
+@register("column_profile_all", with_cte(_per_variable_sql(_ALL_COLS, (
+    "count(*) as row_count, count(*) - count({x}) as null_count, cast(max({x}) as double) as maximum, cast(min({x}) as double) as minimum, "
+    "count(distinct {x}) as unique_values, count(*) filter (where {x} = 0) as zero_count, " + sig_sql("cast(median({x}) as double)", 12) + " as median"),
+    "v"), v=_ALL_SQL))
+def q_column_profile_all(spark, sf):
+    """T1-T9 of every numeric line-item column, of a logarithm that is -inf for
+    zeros and of a column of nulls, over many small range partitions."""
+    li = table(spark, sf, "lineitem").withColumns({
+        "ln_tax": F.when(F.col("l_tax") > 0, F.log("l_tax")).otherwise(F.lit(float("-inf"))), "nothing": F.lit(None).cast("double")})
+    p = profile(li, _ALL_COLS, rows_per_bucket=500)
+    return p.select("variable", "row_count", "null_count", "maximum", "minimum", "unique_values", "zero_count", sig_col("median", 12))
+
+
 @register("column_profile_approx")
 def q_column_profile_approx(spark, sf):
     """T1-T9, T12-T16 with the approximate options (HyperLogLog distinct
@@ -465,9 +482,9 @@ _OLS_X = ["sum_qty", "n_lines"]
 
 
 @register("ols_fit", with_cte(
-    "select 'intercept' as term, " + sig_sql("my - b1 * m1 - b2 * m2", 7) + " as coef from b union all "
-    "select 'sum_qty', " + sig_sql("b1", 7) + " from b union all "
-    "select 'n_lines', " + sig_sql("b2", 7) + " from b",
+    "select 'intercept' as term, " + sig_sql("my - b1 * m1 - b2 * m2", 9) + " as coef from b union all "
+    "select 'sum_qty', " + sig_sql("b1", 9) + " from b union all "
+    "select 'n_lines', " + sig_sql("b2", 9) + " from b",
     order_features=fx.ORDER_FEATURES_SQL,
     s="select var_pop(sum_qty) as s11, var_pop(n_lines) as s22, covar_pop(sum_qty, n_lines) as s12, "
       "covar_pop(sum_qty, sum_ext) as s1y, covar_pop(n_lines, sum_ext) as s2y, avg(sum_ext) as my, "
@@ -479,7 +496,19 @@ def q_ols_fit(spark, sf):
     m = SEL.fit_ols(fx.order_features(spark, sf), _LABEL, _OLS_X)
     rows = [("intercept", m.intercept), *zip(m.features, m.coef)]
     df = spark.createDataFrame(rows, "term string, coef double")
-    return df.select("term", sig("coef", 7).alias("coef"))
+    return df.select("term", sig("coef", 9).alias("coef"))
+
+
+@register("ols_fit_offset", "select " + sig_sql("regr_slope(value, epoch(ts))", 8) + " as slope, "
+          + sig_sql("regr_intercept(value, epoch(ts) - 1704067200)", 8) + " as value_at_start from events")
+def q_ols_fit_offset(spark, sf):
+    """M8 on a predictor far from zero: epoch seconds, whose squares have no
+    digits left for its spread."""
+    ev = table(spark, sf, "events").select("value", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
+    m = SEL.fit_ols(ev.select("value", (F.col("us") / 1e6).alias("t")), "value", ["t"])
+    start = SEL.fit_ols(ev.select("value", (F.col("us") / 1e6 - 1704067200).alias("t")), "value", ["t"])
+    df = spark.createDataFrame([(m.coef[0], start.intercept)], "slope double, value_at_start double")
+    return df.select(sig_col("slope", 8), sig_col("value_at_start", 8))
 
 
 _SPLIT_SQL = ("select *, case when " + H.is_test_sql(_DIG, 0.2) + " then 'test' else 'train' end as split "
@@ -570,6 +599,52 @@ def q_lars_select(spark, sf):
     return spark.createDataFrame(rows, "feature string, coef double, selected boolean")
 
 
+_PAIR_SQL = " union all ".join(f"select '{a}' as f, '{b}' as g, corr({a}, {b}) as r from order_features" for a in _SEL_X for b in _SEL_X)
+_LABEL_SQL = " union all ".join(f"select '{a}' as f, corr({a}, {_LABEL}) as c, stddev_pop({_LABEL}) / stddev_pop({a}) as scale from order_features"
+                                for a in _SEL_X)
+
+
+@register("lars_one_step", with_cte(
+    "select c.f as feature, " + sig_sql("case when c.f = t.f then sign(t.c) * s.step * t.scale else 0.0 end", 8) + " as coef, "
+    "c.f = t.f and t.c > 0 as selected from c, t, s",
+    order_features=fx.ORDER_FEATURES_SQL, c=_LABEL_SQL, r=_PAIR_SQL,
+    t="select * from c order by abs(c) desc limit 1",
+    w="select abs(t.c) as level, c.c, r.r * sign(t.c) as a from c join t on c.f <> t.f join r on r.f = c.f and r.g = t.f",
+    j="select (level - c) / (1 - a) as x, level from w union all select (level + c) / (1 + a), level from w",
+    s="select min(x) as step from j where x > 0 and x < level"))
+def q_lars_one_step(spark, sf):
+    """M5: the first LAR step: the column of the largest correlation moves until
+    another one ties."""
+    chosen, coef = SEL.select_features(fx.order_features(spark, sf), _LABEL, _SEL_X, "lars", 1)
+    rows = [(f, c, f in chosen) for f, c in zip(_SEL_X, coef)]
+    return spark.createDataFrame(rows, "feature string, coef double, selected boolean").select("feature", sig_col("coef", 8), "selected")
+
+
+_EN_MOMENTS = ("count(*) as n, avg(sum_qty) as mx, avg(sum_ext) as my, var_pop(sum_qty) as vx, var_pop(sum_ext) as vy, "
+               "covar_pop(sum_qty, sum_ext) as cxy")
+_SOFT = "sign({m}.cxy) * greatest(abs({m}.cxy) - a.alpha * 0.5, 0) / ({m}.vx + a.alpha * 0.5)"
+
+
+@register("elastic_net_one", with_cte(
+    "select 'sum_qty' as feature, " + sig_sql(_SOFT.format(m="m"), 8) + " as coef, " + _SOFT.format(m="m") + " > 0 as selected "
+    "from m, (select alpha from e order by mse, alpha desc limit 1) a",
+    order_features=fx.ORDER_FEATURES_SQL,
+    d="select *, " + H.fold_sql(_DIG, H.LEVEL_EN, 5) + " as fold from order_features",
+    m=f"select {_EN_MOMENTS} from d",
+    tr=f"select k, {_EN_MOMENTS} from d, range(5) t(k) where fold <> k group by k",
+    te=f"select fold as k, {_EN_MOMENTS} from d group by fold",
+    a="select pow(10, log10(2 * abs(cxy) * 1e-3) + i * 3.0 / 99) as alpha from m, range(100) t(i)",
+    w="select tr.k, a.alpha, tr.mx, tr.my, " + _SOFT.format(m="tr") + " as w from tr, a",
+    e="select alpha, avg(vy + w * w * vx - 2 * w * cxy + pow(te.my - w.my - w * (te.mx - w.mx), 2)) as mse "
+      "from w join te on te.k = w.k group by alpha"))
+def q_elastic_net_one(spark, sf):
+    """M6 with one predictor, where each penalty's fit is a soft threshold: five
+    hash folds, 100 penalties, the best one's coefficient."""
+    chosen, coef = SEL.select_features(fx.order_features(spark, sf), _LABEL, ["sum_qty"], "elastic-net")
+    df = spark.createDataFrame([("sum_qty", coef[0], bool(chosen))], "feature string, coef double, selected boolean")
+    return df.select("feature", sig_col("coef", 8), "selected")
+
+
 @register("elastic_net_select")
 def q_elastic_net_select(spark, sf):
     """M6: cross-validated elastic net keeps the positive coefficients."""
@@ -903,6 +978,36 @@ def q_versioned_update(spark, sf):
     return R.versioned_update(locs, upd, hf, "location_id")
 
 
+_FAR = 2 ** 53
+
+
+@register("versioned_update_far", with_cte(
+    f"select location_id + {_FAR} as location_id, owner_id, name, null::bigint as replaces from locations "
+    f"union all select (select max(location_id) from locations) + {_FAR} + row_number() over (order by l.location_id), "
+    f"l.owner_id, n.name, l.location_id + {_FAR} from locations l join n on n.location_id = l.location_id",
+    locations=fx.LOCATIONS_SQL, n="select location_id, max(name || suffix) as name from locations, (values ('-a'), ('-b')) t(suffix) group by location_id"))
+def q_versioned_update_far(spark, sf):
+    """R9 on ids above 2^53 and with two updates of every row, of which the
+    later counts."""
+    locs = fx.locations(spark, sf).withColumn("location_id", F.col("location_id") + F.lit(_FAR))
+    upd = locs.select("location_id", "owner_id", F.col("name").alias("old"), F.explode(F.array(F.lit("-a"), F.lit("-b"))).alias("seq"))
+    upd = upd.select("location_id", "owner_id", F.concat("old", "seq").alias("name"), "seq")
+    return R.versioned_update(locs, upd, locs.select("location_id", F.lit(True).alias("has_fitted_model")), "location_id", order="seq")
+
+
+@register("metadata_upsert_null", with_cte(
+    "select m.base_id, m.name, case when u.base_id is null then m.value end as value, coalesce(u.seq, m.seq) as seq "
+    "from m left join u on u.base_id = m.base_id and u.name = m.name",
+    m=fx.METADATA_LOG_SQL.join(["select base_id, name, arg_max(value, seq) as value, max(seq) as seq from (", ") group by base_id, name"]),
+    u="select base_id, name, seq + 1000000 as seq from m where base_id % 3 = 0"))
+def q_metadata_upsert_null(spark, sf):
+    """Writes of null replace what was there."""
+    cur = R.metadata_latest(fx.metadata_log(spark, sf))
+    upd = cur.where("base_id % 3 = 0").select("base_id", "name", F.lit(None).cast(cur.schema["value"].dataType).alias("value"),
+                                              (F.col("seq") + 1000000).alias("seq"))
+    return R.metadata_upsert(cur, upd)
+
+
 @register("cascade_delete", with_cte(
     "select m.model_id, m.workflow_id from models m where not exists (select 1 from workflows w "
     "join locations l on w.location_id = l.location_id join owners o on l.owner_id = o.owner_id "
