@@ -35,7 +35,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of linked documents the one with the smallest doc_id stays.  Rows that
     share a doc_id are one document."""
     gone = near_duplicates(spark, docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # sorted merge at every size, as in the operator
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
