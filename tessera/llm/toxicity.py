@@ -156,17 +156,19 @@ class WordReader:
     def __init__(self, lm: np.ndarray):
         self.lm, self.memo = lm, {}
 
-    def token(self, raw: str) -> tuple[str, ...]:
+    def readings(self, raw: str) -> list[str]:
+        """The words that a token may stand for."""
         low = raw.lower()
         word = low if low.isalpha() else _strip.sub("", low)
-        out = features_of(word) if len(word) > 1 else []
+        out = [word] if len(word) > 1 else []
         if len(word) > 1 and disguised(word):
-            for reading in restore(word, self.lm):
-                out += features_of(reading)
+            out += restore(word, self.lm)
         if word is not low and (m := _edges.fullmatch(low)) and m[1] + m[3]:
-            for reading in restore(m[1] + m[2] + m[3], self.lm):
-                out += features_of(reading)
-        return tuple(dict.fromkeys(out))
+            out += restore(m[1] + m[2] + m[3], self.lm)
+        return out
+
+    def token(self, raw: str) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(f for word in self.readings(raw) for f in features_of(word)))
 
     def spaced(self, tokens: list[str]) -> Iterator[tuple[str, ...]]:
         """Readings of letters that stand alone, four or more in a row: the
@@ -248,6 +250,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: str
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["f", "n"])
         return run
 
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(feature, the token before its first place) of each document."""
+        read = reader()
+        for batch in batches:
+            pairs: dict[tuple[str, str], None] = {}
+            for body in batch.column(0):
+                seen: set[str] = set()
+                before = ""
+                for t in body.as_py().split():
+                    got = read.memo.get(t)
+                    if got is None:
+                        if len(read.memo) >= MEMO // 4:
+                            read.memo.clear()
+                        got = read.memo[t] = tuple(f for f in read.token(t) if f in marked.value)
+                    for f in got:
+                        if f not in seen:
+                            seen.add(f)
+                            pairs[f, before] = None
+                    before = t
+            f, before = zip(*pairs) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(before, pa.string())], names=["f", "before"])
+
     weights: dict[str, float] = {}
     if n_toxic and n_clean:
         tox = (train.where("toxic = 1").select("body").mapInArrow(counted(), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
@@ -258,26 +282,34 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: str
                  .groupBy("f").agg(F.sum("n").alias("n")).toArrow())
         clean = dict(zip(clean["f"].to_pylist(), clean["n"].to_pylist()))
         chance = math.log(max(2, len(tox))) + 0.5
-        for f, t in tox.items():
-            c = clean.get(f, 0)
+
+        def gain(t: int, c: int) -> float:
+            """How far t toxic of t + c documents are from chance (log-likelihood)."""
             r = t / (t + c)
-            gain = (t + c) * (r * math.log(r / base) + ((1 - r) * math.log((1 - r) / (1 - base)) if r < 1 else 0.0))
-            if r > base and gain >= chance:
+            return 0.0 if r <= base else t * math.log(r / base) + (c * math.log((1 - r) / (1 - base)) if c else 0.0)
+
+        # copies repeat a word in one context, so contexts are what must beat chance
+        marked = spark.sparkContext.broadcast(frozenset(f for f, t in tox.items() if gain(t, clean.get(f, 0)) >= chance))
+        places = (train.where("toxic = 1").select("body").mapInArrow(contexts, "f string, before string")
+                  .groupBy("f").agg(F.count_distinct("before").alias("n")).toArrow())
+        for f, places_of in zip(places["f"].to_pylist(), places["n"].to_pylist()):
+            t, c = tox[f], clean.get(f, 0)
+            if gain(min(t, places_of), c) >= chance:
                 weights[f] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
         weights = {f: w for f, w in weights.items() if w > 1}
-    lexicon = spark.sparkContext.broadcast(weights)
+    lexicon = spark.sparkContext.broadcast((weights, frozenset(f[:4] for f in weights)))
 
     def evidence(read: WordReader, text: str) -> list[tuple[float, str]]:
         """The strongest feature of each word, strongest words first."""
         tokens = text.split()
         out: dict[str, float] = {}
-        memo, lex = read.memo, lexicon.value
+        memo, (lex, heads) = read.memo, lexicon.value
         for t in set(tokens):
             got = memo.get(t)
             if got is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                hits = [(lex[f], f) for f in read.token(t) if f in lex]
+                hits = [(lex[f], f) for word in read.readings(t) if (word + " ")[:4] in heads for f in features_of(word) if f in lex]
                 got = memo[t] = max(hits) if hits else ()
             if got:
                 out[got[1]] = got[0]
