@@ -76,3 +76,10 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes every table that this library wrote below the shared folder; for
+    the end of a session, when no lazy frame reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/tessera-tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

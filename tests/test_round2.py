@@ -121,3 +121,12 @@ def test_run_log_writer(spark):
     log = R.run_log_rows(spark, 5, [(t, 1, "Running", "1/6", "loading"), (t, 2, "Complete", "6/6", None)])
     r = R.run_status(log).first()
     assert (r.status, r.stage, r.message, r.completed) == ("Complete", "6/6", None, True)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from tessera.session import clear_scratch, scratch_table
+    t = scratch_table(spark.range(3), "clear")
+    assert t.count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception):
+        t.count()
