@@ -694,6 +694,47 @@ def q_cv_results(spark, sf):
     return AR.cv_results(fit)
 
 
+_T_SQL = {"None_T": ("sum_ext", "{p}"), "LogP1_T": ("ln(1 + sum_ext)", "exp({p}) - 1")}
+# with one predictor the selectors keep it (its slope is positive) and each fit is a line
+_ONE_CTES = dict(
+    order_features=fx.ORDER_FEATURES_SQL,
+    d="select *, " + H.fold_sql(_DIG, H.LEVEL_OUTER, 5) + " as k0, " + H.is_test_sql(_DIG, 0.2) + " as held from order_features",
+    fits=" union all ".join(
+        f"select k, '{t}' as transform, regr_slope({f}, sum_qty) as b, regr_intercept({f}, sum_qty) as a "
+        "from d, (select unnest([0, 1, 2, 3, 4, -1]) as k) where not held and k0 <> k group by k" for t, (f, _) in _T_SQL.items()),
+    scored="select transform, k, 1 - sum(power(sum_ext - p, 2)) / (var_pop(sum_ext) * count(*)) as r2 from ("
+           "select f.transform, f.k, sum_ext, case when f.transform = 'None_T' then a + b * sum_qty else exp(a + b * sum_qty) - 1 end as p "
+           "from d join fits f on d.k0 = f.k where not held) group by transform, k",
+    cv="select transform, " + ", ".join(f"max(r2) filter (where k = {i}) as s{i}" for i in range(5))
+       + ", avg(r2) as m, stddev_pop(r2) as sd, rank() over (order by avg(r2) desc, transform desc) as r from scored group by transform")
+
+
+@register("cv_results_one", with_cte(
+    "select transform, " + ", ".join(sig_sql(f"s{i}", 8) + f" as split{i}_test_score" for i in range(5)) + ", "
+    + sig_sql("m", 8) + " as mean_test_score, " + sig_sql("sd", 7) + " as std_test_score, cast(r as integer) as rank_test_score from cv", **_ONE_CTES))
+def q_cv_results_one(spark, sf):
+    """M9-M12 with one predictor, where the whole grid has a closed form: both
+    transforms, five outer folds, mean, deviation and rank."""
+    out = AR.cv_results(auto_fit(spark, sf, _LABEL, ("sum_qty",))[0])
+    return out.select("transform", *[sig_col(f"split{i}_test_score", 8) for i in range(5)], sig_col("mean_test_score", 8),
+                      sig_col("std_test_score", 7), "rank_test_score")
+
+
+@register("auto_regression_one", with_cte(
+    "select split, count(*) as n, " + sig_sql("1 - sum(power(sum_ext - p, 2)) / (var_pop(sum_ext) * count(*))", 8) + " as r2, any_value(transform) as transform "
+    "from (select case when held then 'test' else 'train' end as split, sum_ext, best.transform, "
+    "case when best.transform = 'None_T' then a + b * sum_qty else exp(a + b * sum_qty) - 1 end as p "
+    "from d, fits f, best where f.k = -1 and f.transform = best.transform) group by split",
+    **_ONE_CTES, best="select transform from cv where r = 1"))
+def q_auto_regression_one(spark, sf):
+    """M17 and S4 with one predictor: the model of the whole fit is saved, read
+    back and scored on train and test."""
+    from .sources.artifacts import load_model, save_model
+    fit, df = auto_fit(spark, sf, _LABEL, ("sum_qty",))
+    sc = AR.split_scores(load_model(spark, save_model(spark, fit.model)), df)
+    return sc.select("split", "n", sig_col("r2", 8), F.lit(fit.model.transform).alias("transform"))
+
+
 @register("grid_search_outer")
 def q_grid_search_outer(spark, sf):
     """Per transform and outer fold, the chosen max_k and its R^2."""
