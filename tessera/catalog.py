@@ -90,12 +90,12 @@ def q_training_frame(spark, sf):
 
 EXAMPLE_DAG = {
     "nodes": {
-        "1": {"function": "add", "args": {"c1": "x1", "c2": "x3"}},
-        "2": {"function": "square", "args": {"c": "x3"}},
-        "3": {"function": "square", "args": {"c": "x1+x3"}},
-        "4": {"function": "normalize", "args": {"c": "x5"}},
+        "10": {"function": "subtract", "args": {"c1": "x2", "c2": "x4"}},
+        "11": {"function": "log10", "args": {"c": "x1"}},
+        "12": {"function": "square", "args": {"c": "x2-x4"}},
+        "13": {"function": "normalize", "args": {"c": "(x2-x4)^2"}},
     },
-    "edges": [[1, 3]],
+    "edges": [[10, 12], [12, 13]],
 }
 
 
@@ -118,9 +118,9 @@ _dag_single("log", {"c": "x3"}, "ln(x3)", "ln(x3)")
 _dag_single("log10", {"c": "x1"}, "log10(x1)", "log10(x1)")
 _dag_single("normalize", {"c": "x5"}, "x5n", "x5 / (select sqrt(sum(x5 * x5)) from dag_frame)")
 
-_CHAIN_SQL_COLS = ("x5 / (select sqrt(sum(x5 * x5)) from dag_frame)", "x3 * x3", "x1 + x3",
-                   "(x1 + x3) * (x1 + x3)")
-_CHAIN_NAMES = ("x5n", "(x3)^2", "x1+x3", "(x1+x3)^2")
+_CHAIN = {"log10(x1)": "log10(x1)", "x2-x4": "x2 - x4", "(x2-x4)^2": "(x2 - x4) * (x2 - x4)",
+          "(x2-x4)^2n": "(x2 - x4) * (x2 - x4) / (select sqrt(sum(power(x2 - x4, 4))) from dag_frame)"}
+_CHAIN_NAMES, _CHAIN_SQL_COLS = tuple(_CHAIN), tuple(_CHAIN.values())
 
 
 @register("dag_chain", with_cte(

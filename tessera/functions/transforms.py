@@ -33,12 +33,6 @@ class TargetTransform:
     def inverse(self, z: Column) -> Column:
         return z
 
-    def forward_py(self, y):
-        return y
-
-    def inverse_py(self, z):
-        return z
-
 
 def _min(df: DataFrame, col: str) -> float | None:
     return df.agg(F.min(F.col(col).cast("double"))).first()[0]
@@ -73,14 +67,6 @@ class LogP1(TargetTransform):
     def inverse(self, z):
         return F.expm1(z) - F.lit(self.shift)
 
-    def forward_py(self, y):
-        import numpy as np
-        return np.log1p(y + self.shift)
-
-    def inverse_py(self, z):
-        import numpy as np
-        return np.expm1(z) - self.shift
-
 
 @dataclass(frozen=True)
 class LogMinPlus1(TargetTransform):

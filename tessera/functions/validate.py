@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
 
 
 def valid_point(lat: Column, lon: Column) -> Column:
@@ -13,11 +12,6 @@ def valid_point(lat: Column, lon: Column) -> Column:
                        & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False)))
 
 
-def is_float_type(dtype) -> bool:
-    """The reference accepts only float values; integral columns are rejected."""
-    return isinstance(dtype, (DoubleType, FloatType))
-
-
 # The three point messages of the location check.
 POINT_MESSAGES = {
     "start_point": "Start point coordinates, start_latitude/start_longitude, are invalid",

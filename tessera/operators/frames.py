@@ -55,13 +55,7 @@ def training_frame(df: DataFrame, response: str | None = None, attributes=None,
     return df.select(q(response).cast("double").alias(label), *[q(c) for c in feats])
 
 
-def new_columns(result: DataFrame, raw_columns: list[str]) -> DataFrame:
-    """P5: keep the columns of ``result`` that were not in the raw input
-    (ordered as in ``result``)."""
-    raw = set(raw_columns)
-    return result.select(*[q(c) for c in result.columns if c not in raw])
-
-
+# Fixed value: the start of the message for missing parameters.
 MISSING_PREFIX = "The following required parameters were not found: "
 
 
@@ -75,9 +69,3 @@ def missing_inputs_column(required: list[str], keys: Column) -> Column:
     """P9 per row: message for the required names absent from ``keys``."""
     gaps = F.array_except(F.array(*[F.lit(r) for r in required]), keys)
     return F.when(F.size(gaps) > 0, F.concat(F.lit(MISSING_PREFIX), F.array_join(gaps, ",")))
-
-
-def require_columns(df: DataFrame, required: list[str]) -> None:
-    msg = missing_inputs(required, df.columns)
-    if msg:
-        raise KeyError(msg)

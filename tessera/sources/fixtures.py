@@ -183,10 +183,10 @@ def grant_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # event_id mod 7, '-1/6' for error events (the failure form).
 RUN_LOG_SQL = """
 select user_id as model_id, ts,
-       case when event_type = 'error' then 'Failed to complete'
-            when event_id % 7 = 6 then 'Complete' else 'Running' end as status,
+       case when event_type = 'error' then 'failed'
+            when event_id % 7 = 6 then 'done' else 'active' end as status,
        case when event_type = 'error' then '-1/6' else cast(event_id % 7 as varchar) || '/6' end as stage,
-       case when event_type = 'error' then 'Error setting the pipeline.' else null end as message,
+       case when event_type = 'error' then 'no usable rows' else null end as message,
        event_id
 from events
 """
@@ -198,7 +198,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.pmod("event_id", F.lit(7))
     return ev.select(
         F.col("user_id").alias("model_id"), "ts",
-        F.when(err, "Failed to complete").when(step == 6, "Complete").otherwise("Running").alias("status"),
+        F.when(err, "failed").when(step == 6, "done").otherwise("active").alias("status"),
         F.when(err, "-1/6").otherwise(F.concat(step.cast("string"), F.lit("/6"))).alias("stage"),
-        F.when(err, F.lit("Error setting the pipeline.")).otherwise(F.lit(None).cast("string")).alias("message"),
+        F.when(err, F.lit("no usable rows")).otherwise(F.lit(None).cast("string")).alias("message"),
         "event_id")

@@ -104,3 +104,17 @@ def test_plan_is_native(frame):
 def test_new_only(frame):
     out = apply_dag(frame, EXAMPLE, new_only=True)
     assert out.columns == ["x5n", "(x3)^2", "x1+x3", "(x1+x3)^2"]
+
+
+def test_registered_operation_joins_the_graph(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions import columns as C
+    from tessera.plans.dag import apply_dag
+    C.register_operation(C.Operation("halve", ("c",), lambda c: f"half {c}", lambda c: F.col(c) / 2))
+    try:
+        out = apply_dag(spark.createDataFrame([(4.0,)], "x double"), {"nodes": {"1": {"function": "halve", "args": {"c": "x"}}}, "edges": []})
+        assert out.first()["half x"] == 2.0
+        with pytest.raises(ValueError):
+            C.register_operation(C.OPERATIONS["halve"])
+    finally:
+        del C.OPERATIONS["halve"]
