@@ -109,11 +109,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _single(arr: pa.Array) -> np.ndarray:
+    """Unit vectors in single precision; the norms are taken in double precision,
+    as the squares of very small or large components leave the range of singles."""
+    return _unit(_matrix(arr, np.float64)).astype(np.float32)
+
+
 def _near(threshold: float):
     """In a unit: pairs that connect what is near, from single precision."""
 
     def fn(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, side, x = t["id"].to_numpy(), t["side"].to_numpy(), _unit(_matrix(t["vec"], np.float32))
+        ids, side, x = t["id"].to_numpy(), t["side"].to_numpy(), _single(t["vec"])
         link = x @ x.T >= threshold - 1e-5
         if (side != side[0]).any():
             link &= side[:, None] != side[None]
@@ -165,14 +171,14 @@ def embedding_near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: s
     for size, n in classes.groupBy("len").count().orderBy("len").collect():
         own = classes.where(F.col("len") == size)
         picked = own.orderBy("h1", "h2").limit(sample).select("vec").toArrow()["vec"]
-        fit = _unit(_matrix(picked, np.float32))
+        fit = _single(picked)
         depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
         forest = spark.sparkContext.broadcast([ProjectionTree(fit, depth, spill, seed) for seed in range(trees)])
 
         def route(batches: Iterator[pa.RecordBatch], forest=forest) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    x = _unit(_matrix(batch.column(1), np.float32))
+                    x = _single(batch.column(1))
                     for i, tree in enumerate(forest.value):
                         row, node = tree.leaves(x)
                         yield pa.RecordBatch.from_arrays([pa.array((np.int64(i) << 48) + node), batch.column(0).take(pa.array(row))],

@@ -213,6 +213,19 @@ def test_embeddings_match_brute_force(spark):
         assert key(got) == key(brute_vectors(as_float))
 
 
+def test_tiny_and_huge_embeddings_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    far = rng.standard_normal((150, 16))
+    rows = [(i, x.tolist()) for i, x in enumerate(far)]
+    rows += [(1000 + i, (x + rng.standard_normal(16) * 0.02).tolist()) for i, x in enumerate(far)]
+    rows += [(2000 + i, (x * (1e-30, 1e30, 1e-160, 1e200)[i % 4]).tolist()) for i, x in enumerate(far[:40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_vectors([(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows])
+    for block, leaf in ((2048, 256), (16, 32)):
+        out = embedding_forest.embedding_near_duplicates(spark, df, block=block, leaf=leaf)
+        assert key((r.vec_id, r.n_links, r.component_id, r.kept) for r in out.collect()) == key(want)
+
+
 def test_embeddings_recall_of_small_leaves():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((4000, 64))
