@@ -126,6 +126,41 @@ def test_leaks_across_parts_of_a_long_text(monkeypatch):
         assert [x["item_id"] for x in found] == [9] and found[0]["edits"] == 0
 
 
+def test_excerpts_at_every_offset_are_found():
+    item = decontaminate.normalised(rnd(80, 60))
+    index = decontaminate.SegmentIndex([(9, item), (3, rnd(81, 60))], decontaminate.Q, decontaminate.SEGMENT, decontaminate.STRIDE, decontaminate.RATE)
+    before, after = rnd(82, 20), rnd(83, 20)
+    for o in range(len(item) - 80 + 1):
+        for size, edits in ((80, 0), (74, 6), (80, 6)):
+            part = list(item[o:o + size])
+            if size == 80:
+                for p in range(edits):
+                    part[6 + 13 * p] = "#"
+            found = index.leaks(f"{before}|{''.join(part)}|{after}")
+            assert [x["item_id"] for x in found] == [9] and found[0]["edits"] <= edits
+    assert not any(index.leaks(before + item[o:o + 60] + after) for o in range(0, len(item) - 60, 7))
+
+
+def test_best_segment_matches_brute_force():
+    items = [(1, decontaminate.normalised(rnd(90, 30))), (2, decontaminate.normalised(rnd(91, 9))), (3, "short one item")]
+    index = decontaminate.SegmentIndex(items, 8, 80, 1, 0.08)
+    rng = random.Random(4)
+    for n in range(6):
+        text = rnd(200 + n, 10)
+        for _, t in items:
+            t = list(t)
+            for p in rng.sample(range(len(t)), len(t) * n // 60):
+                t[p] = rng.choice(["", "#", t[p] + "x"])
+            text += " " + "".join(t) + " " + rnd(300 + n, 5)
+        text = decontaminate.normalised(text)
+        want = {}
+        for i, seg, k in zip(index.item, index.text, index.edits):
+            e = levenshtein_in([chr(c) for c in seg], text)
+            if e <= k:
+                want[i] = min(e, want.get(i, k))
+        assert {x["item_id"]: x["edits"] for x in index.leaks(text)} == want
+
+
 def test_leaks_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(spark, docs, bench).count() == 0
