@@ -19,6 +19,10 @@ from tessera.llm.packing import pack_documents, tokenizer_path
 from tessera.llm.quality import score_quality
 
 
+#: Near copies share this many hundredths of their five-word shingles.
+NEAR_PERCENT = 80
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     scored = score_quality(spark, docs, table(spark, sf_dir, "labels"))
@@ -34,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest doc_id stays.  Rows that
     share a doc_id are one document."""
-    gone = near_duplicates(spark, docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(spark, docs.select("doc_id", "text"), percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     # sorted merge at every size, as in the operator
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,6 +1,7 @@
 """The pipeline: each stage works on what the one before kept."""
 import corpus_pipeline
 from tessera.llm import decontaminate, line_dedup, minhash_forest
+from tests.llm.test_dedup import brute_near, words_of
 
 
 def test_stages_take_effect(spark, sf_tiny):
@@ -28,3 +29,14 @@ def test_stages_on_an_empty_table(spark, sf_tiny):
         out = stage(spark, docs, sf_tiny)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_tiny).count() == 0
+
+
+def test_near_copies_from_four_fifths_on_are_dropped(spark, sf_tiny):
+    docs = []
+    for n in range(24):  # pairs that differ in a run of n words
+        base = words_of(100, n)
+        docs += [(10 * n, " ".join(base)), (10 * n + 1, " ".join(base[:40] + [f"new{i}" for i in range(n)] + base[40 + n:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, df, sf_tiny).collect())
+    assert kept == sorted(i for i, _, _, stays in brute_near(docs, 80) if stays)
+    assert kept != sorted(i for i, _, _, stays in brute_near(docs, 85) if stays)
