@@ -33,6 +33,8 @@ THRESHOLD = 0.3
 BEAM = 12
 BEST = 4
 MEMO = 300_000
+#: Characters decoded at once, and of them the last ones that are decoded again.
+WINDOW, AGAIN = 64, 32
 
 #: Letters of the model; every other character is one class, and 0 is the space.
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿß0123456789"
@@ -99,9 +101,14 @@ def language_model(spark: SparkSession, texts: DataFrame) -> np.ndarray:
 
 
 _repeat = re.compile(r"(.)\1\1", re.S)
+_long_repeat = re.compile(r"(.)\1{3,}", re.S)
+#: Signs between the parts of a token: all, and those that imitate no letter.
+_signs, _joints = re.compile(r"[\W_]+"), re.compile(r"[^\w$@!|+€£(<#%*?¡×]+|_+")
+#: Letters that stand alone between signs.
+_lone = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){3,}")
 _strip = re.compile(r"^[\W_]+|[\W_]+$")
 #: One sign at a word's edge that may stand for its first or last letter.
-_edges = re.compile(r"[\"'(\[]*([$@!|+€£(<]?)(\w(?:.{0,60}\w)?)([$@+]?)[.,;:!?\"')\]]*", re.S)
+_edges = re.compile(r"[\"'(\[]*([$@!|+€£(<]?)(\w(?:.*\w)?)([$@+]?)[.,;:!?\"')\]]*", re.S)
 
 
 def disguised(word: str) -> bool:
@@ -109,14 +116,15 @@ def disguised(word: str) -> bool:
     or a character three times in a row."""
     if word.isalpha():
         return _repeat.search(word) is not None
-    return len(word) <= 64 and any(map(str.isalpha, word))
+    return any(map(str.isalpha, word))
 
 
 def restore(word: str, lm: np.ndarray, beam: int = BEAM, best: int = BEST) -> list[str]:
-    """The likeliest readings of a disguised lower-case word."""
+    """The likeliest readings of a disguised lower-case word of WINDOW characters
+    at most; windows() cuts longer ones."""
     states = {"": 0.0}
     prev = ""
-    for c in word[:64]:
+    for c in word[:WINDOW]:
         options = []
         if c in _INDEX and c != " ":
             options.append((c, _COST["self"] if not c.isdigit() else _COST["keep"]))
@@ -145,6 +153,15 @@ def restore(word: str, lm: np.ndarray, beam: int = BEAM, best: int = BEST) -> li
     return [t for t, _ in ends[:best] if t]
 
 
+def windows(word: str) -> list[str]:
+    """A word in overlapping parts of WINDOW characters at most.  In a longer word
+    a character repeated in a row counts three times, which reads the same."""
+    if len(word) <= WINDOW:
+        return [word]
+    word = _long_repeat.sub(r"\1\1\1", word)
+    return [word[i:i + WINDOW] for i in range(0, max(1, len(word) - AGAIN), WINDOW - AGAIN)]
+
+
 def features_of(word: str) -> list[str]:
     """The whole word and its beginnings."""
     return [word + " "] + [word[:k] for k in PREFIXES if len(word) >= k]
@@ -162,13 +179,31 @@ class WordReader:
         word = low if low.isalpha() else _strip.sub("", low)
         out = [word] if len(word) > 1 else []
         if len(word) > 1 and disguised(word):
-            out += restore(word, self.lm)
+            out += [r for w in windows(word) for r in restore(w, self.lm)]
         if word is not low and (m := _edges.fullmatch(low)) and m[1] + m[3]:
-            out += restore(m[1] + m[2] + m[3], self.lm)
+            out += [r for w in windows(m[1] + m[2] + m[3]) for r in restore(w, self.lm)]
+        if not word.isalpha():  # the words between signs
+            for part in dict.fromkeys([*_joints.split(word), *_signs.split(word)]):
+                if len(part) > 1 and part != word:
+                    out.append(part)
+                    if disguised(part):
+                        out += [r for w in windows(part) for r in restore(w, self.lm)]
         return out
 
+    def inner(self, raw: str) -> Iterator[list[str]]:
+        """The beginnings of what a token spells from each letter on: of letters
+        that stand alone between signs, and of windows of a long token."""
+        word = _strip.sub("", raw.lower())
+        parts = [w for run in _lone.finditer(word) for w in windows(run[0])] if not word.isalpha() else []
+        if len(word) > WINDOW:
+            parts += windows(word)
+        for part in dict.fromkeys(parts):
+            for reading in (restore(part, self.lm, best=2) if disguised(part) else [part]):
+                for j in range(len(reading) - 3):
+                    yield features_of(reading[j:j + 24])[1:]
+
     def token(self, raw: str) -> tuple[str, ...]:
-        return tuple(dict.fromkeys(f for word in self.readings(raw) for f in features_of(word)))
+        return tuple(dict.fromkeys([f for word in self.readings(raw) for f in features_of(word)] + [f for fs in self.inner(raw) for f in fs]))
 
     def spaced(self, tokens: list[str]) -> Iterator[tuple[str, ...]]:
         """Readings of letters that stand alone, four or more in a row: the
@@ -310,6 +345,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: str
                 if len(memo) >= MEMO:
                     memo.clear()
                 hits = [(lex[f], f) for word in read.readings(t) if (word + " ")[:4] in heads for f in features_of(word) if f in lex]
+                hits += [(lex[f], f) for fs in read.inner(t) for f in fs if f in lex]
                 got = memo[t] = max(hits) if hits else ()
             if got:
                 out[got[1]] = got[0]

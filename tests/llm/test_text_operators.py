@@ -249,6 +249,20 @@ def test_toxicity_finds_disguised_words(spark):
     assert not any(by[2000 + j] for j in range(30)) and not by[3000] and not by[3001]
 
 
+def test_toxic_words_inside_long_and_glued_tokens():
+    text = " ".join(rnd(i, 40) for i in range(50)) + " snarkle" * 200
+    c = toxicity.text_codes(text).astype(np.int64)
+    tri = np.zeros(toxicity._N ** 3)
+    np.add.at(tri, (c[:-2] * toxicity._N + c[1:-1]) * toxicity._N + c[2:], 1)
+    tri = tri.reshape((toxicity._N,) * 3) + 0.01
+    read = toxicity.WordReader(np.log(tri / tri.sum(axis=2, keepdims=True)))
+    clean = "-".join(rnd(7, 14).split())
+    assert len(clean) > 64 and "snark" not in read.token(clean)
+    for t in (f"{clean}-snarkle", f"{clean}.s.n.a.r.k.l.e", ".".join(rnd(8, 20).replace(" ", "") + "snarkle"), "s" * 70 + "narkle",
+              "sn" + "a" * 90 + "rkle", "mer-snarkle-ton", "mer-snarkl3", "lo.s.n.a.r.k.l.e"):
+        assert "snark" in read.token(t), t
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
