@@ -620,6 +620,45 @@ def q_lars_one_step(spark, sf):
     return spark.createDataFrame(rows, "feature string, coef double, selected boolean").select("feature", sig_col("coef", 8), "selected")
 
 
+@register("lars_two_steps", with_cte(
+    "select c.f as feature, " + sig_sql("(case when c.f = f1 then s1 * step1 + step2 * d1 when c.f = f2 then step2 * d2 else 0.0 end) * c.scale", 8)
+    + " as coef, (case when c.f = f1 then s1 * step1 + step2 * d1 when c.f = f2 then step2 * d2 else 0.0 end) > 0 as selected from c, e",
+    order_features=fx.ORDER_FEATURES_SQL, c=_LABEL_SQL, r=_PAIR_SQL,
+    t="select f as f1, abs(c) as l1, sign(c) as s1 from c order by abs(c) desc limit 1",
+    w="select c.f, c.c, r.r * s1 as a, t.* from c join t on c.f <> f1 join r on r.f = c.f and r.g = f1",
+    j="select *, (l1 - c) / (1 - a) as x, 1 as side from w union all select *, (l1 + c) / (1 + a), -1 from w",
+    k="select f as f2, f1, s1, side as s2, x as step1, l1 - x as l2 from j where x > 0 and x < l1 order by x limit 1",
+    v="select k.*, (s1 - r.r * s2) / (1 - r.r * r.r) as d1, (s2 - r.r * s1) / (1 - r.r * r.r) as d2 from k join r on r.f = f1 and r.g = f2",
+    u="select v.*, c.c - step1 * ra.r * s1 as c2, ra.r * d1 + rb.r * d2 as a2 from v, c join r ra on ra.f = c.f join r rb on rb.f = c.f "
+      "where c.f not in (f1, f2) and ra.g = f1 and rb.g = f2",
+    z="select *, (l2 - c2) / (1 - a2) as y from u where a2 < 1 union all select *, (l2 + c2) / (1 + a2) from u where a2 > -1",
+    e="select f1, f2, s1, step1, d1, d2, least(min(y) filter (where y > 0), l2) as step2 from z group by f1, f2, s1, step1, d1, d2, l2"))
+def q_lars_two_steps(spark, sf):
+    """M5: two LAR steps; the second moves both columns along their joint direction."""
+    chosen, coef = SEL.select_features(fx.order_features(spark, sf), _LABEL, _SEL_X, "lars", 2)
+    rows = [(f, c, f in chosen) for f, c in zip(_SEL_X, coef)]
+    return spark.createDataFrame(rows, "feature string, coef double, selected boolean").select("feature", sig_col("coef", 8), "selected")
+
+
+@register("lars_tied", with_cte(
+    "select unnest(['a', 'b', 'c']) as feature, unnest([" + ", ".join(sig_sql(x, 8) for x in ("ba", "ba", "bc")) + "]) as coef from m",
+    order_features=fx.ORDER_FEATURES_SQL,
+    # a and b have equal coefficients, so the fit is one on a + b and c
+    p="select sum_qty + max_size as a, n_lines as c, sum_ext as y from order_features",
+    v="select var_pop(a) as aa, var_pop(c) as cc, covar_pop(a, c) as ac, covar_pop(a, y) as ay, covar_pop(c, y) as cy, "
+      "(select var_pop(sum_qty - max_size) + power(avg(sum_qty - max_size), 2) from order_features) as dd from p",
+    m="select (ay * cc - cy * ac) / (aa * cc - ac * ac) as ba, (cy * aa - ay * ac) / (aa * cc - ac * ac) as bc from v"))
+def q_lars_tied(spark, sf):
+    """M5 on columns that tie: every order appears twice, with its quantity and
+    its size in columns a and b and the other way round; the full path ends at
+    least squares, with one coefficient for both."""
+    o = fx.order_features(spark, sf)
+    both = o.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in
+                                        (("sum_qty", "max_size"), ("max_size", "sum_qty"))])).alias("ab"), "n_lines", _LABEL)
+    _, coef = SEL.select_features(both.select("ab.a", "ab.b", F.col("n_lines").alias("c"), _LABEL), _LABEL, ["a", "b", "c"], "lars")
+    return spark.createDataFrame(list(zip("abc", coef)), "feature string, coef double").select("feature", sig_col("coef", 8))
+
+
 _EN_MOMENTS = ("count(*) as n, avg(sum_qty) as mx, avg(sum_ext) as my, var_pop(sum_qty) as vx, var_pop(sum_ext) as vy, "
                "covar_pop(sum_qty, sum_ext) as cxy")
 _SOFT = "sign({m}.cxy) * greatest(abs({m}.cxy) - a.alpha * 0.5, 0) / ({m}.vx + a.alpha * 0.5)"

@@ -103,49 +103,82 @@ def r2(m: Moments, intercept: float, beta: np.ndarray) -> float:
 
 #: A column whose unit-norm residual on the active ones is below this adds nothing.
 DEPENDENT = 1e-7
+#: Correlations this close to the level (relative) have met it.
+TIE = 1e-9
+
+
+class _ActiveColumns:
+    """The columns on the path, and W with W R W' = 1 for their correlations R:
+    the inverse of R's Cholesky factor, which a join extends by one row."""
+
+    def __init__(self, R: np.ndarray):
+        self.R, self.columns, self.W = R, [], np.zeros((0, 0))
+
+    def join(self, j: int) -> bool:
+        """False for a column that depends on the active ones; it stays out."""
+        part = self.W @ self.R[self.columns, j]
+        rest = self.R[j, j] - part @ part
+        if rest < DEPENDENT ** 2:
+            return False
+        n, size = len(self.columns), np.sqrt(rest)
+        grown = np.zeros((n + 1, n + 1))
+        grown[:n, :n] = self.W
+        grown[n, :n], grown[n, n] = -(part @ self.W) / size, 1.0 / size
+        self.W = grown
+        self.columns.append(j)
+        return True
+
+    def direction(self, signs: np.ndarray) -> np.ndarray:
+        """d with R_AA d = signs."""
+        return self.W.T @ (self.W @ signs)
 
 
 def lars(m: Moments, max_steps: int) -> np.ndarray:
     """Least-angle regression (Efron, Hastie, Johnstone and Tibshirani 2004)
-    with intercept on unit-norm columns, ``max_steps`` steps; returns the
-    coefficients on the original column scale.
+    with intercept on unit-norm columns, until ``max_steps`` columns have joined;
+    returns the coefficients on the original column scale.
 
     Written with the direction d that solves R_AA d = s (R: correlations, s: the
     signs of the active columns' correlations with the residual).  Moving by t
     along d takes t off every active correlation and t * a_j, a = R_jA d, off
-    column j's, so the next column to join is the one whose correlation meets
+    column j's, so the next to join are the columns whose correlation meets
     the shrinking level C - t first; without one the step ends at least squares
-    (t = C).  Constant columns and columns that depend on the active ones stay
-    out."""
-    Q, q_, _ = m.centered()
+    (t = C).  Columns that meet the level together (TIE) join together, beyond
+    ``max_steps`` too, so the path does not depend on the columns' order.
+    Constant columns and columns that depend on the active ones stay out."""
+    Q, q_, yy = m.centered()
     k = len(q_)
     size = np.sqrt(np.clip(np.diag(Q), 0, None)) if k else np.zeros(0)
     usable = size > 0
     unit = np.where(usable, size, 1.0)
     R, corr = Q / np.outer(unit, unit), q_ / unit
     beta = np.zeros(k)
-    active: list[int] = []
-    outside = [j for j in range(k) if usable[j]]
-    while outside and len(active) < max_steps:
-        j = max(outside, key=lambda i: abs(corr[i]))
-        if abs(corr[j]) <= EPS * m.n:
-            break
-        outside.remove(j)
-        if active:
-            project = np.linalg.lstsq(R[np.ix_(active, active)], R[active, j], rcond=None)[0]
-            if R[j, j] - R[active, j] @ project < DEPENDENT ** 2:
-                continue
-        level = abs(corr[j])
-        active.append(j)
-        d = np.linalg.lstsq(R[np.ix_(active, active)], np.sign(corr[active]), rcond=None)[0]
-        a = R[:, active] @ d
-        step = level
-        for i in outside:
-            for gap, speed in ((level - corr[i], 1 - a[i]), (level + corr[i], 1 + a[i])):
-                if speed > 0 and 0 < gap / speed < step:
-                    step = gap / speed
-        beta[active] += step * d
+    outside = np.flatnonzero(usable)
+    if not len(outside) or max_steps < 1:
+        return beta
+    active = _ActiveColumns(R)
+    level = first = np.abs(corr[outside]).max()
+    noise = 64 * EPS * max(first, np.sqrt(max(yy, 0.0)))
+    due = np.zeros(0, int)  # columns that the last step brought to the level
+    while level > noise and len(active.columns) < max_steps:
+        meets = np.abs(corr[outside]) >= level - TIE * level - noise
+        joining = np.union1d(outside[meets], due)
+        outside = np.setdiff1d(outside, joining)
+        for j in joining:
+            active.join(j)
+        on = active.columns
+        d = active.direction(np.sign(corr[on]))
+        a = R[:, on] @ d
+        step, due = level, np.zeros(0, int)
+        if len(outside):
+            gaps = np.stack([level - corr[outside], level + corr[outside]])
+            speeds = np.stack([1 - a[outside], 1 + a[outside]])
+            at = np.min(np.divide(np.maximum(gaps, 0), speeds, out=np.full(gaps.shape, np.inf), where=speeds > EPS), axis=0)
+            if at.min() < level:
+                step, due = at.min(), outside[at <= at.min()]
+        beta[on] += step * d
         corr = corr - step * a
+        level -= step
     return beta / unit
 
 

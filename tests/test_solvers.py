@@ -176,3 +176,40 @@ def test_cell_grams_sum_to_total(spark):
     X = np.array([[r[1], r[2]] for r in rows]); y = np.array([r[3] for r in rows])
     Z = np.column_stack([np.ones(500), X, X[:, 0] * X[:, 1], y])
     assert np.allclose(total, Z.T @ Z, rtol=1e-12, atol=1e-9)
+
+
+def tied_designs():
+    """Integer data whose columns tie: exchangeable pairs and factorial designs."""
+    from itertools import product
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        a, y = rng.integers(-5, 6, (30, 3)), rng.integers(-9, 10, 30)
+        yield np.vstack([a, a[:, [1, 0, 2]]]).astype(float), np.tile(y, 2).astype(float)
+    design = np.array(list(product([-1.0, 1.0], repeat=4)) * 2)
+    for _ in range(300):
+        yield design, rng.integers(-3, 4, len(design)).astype(float)
+
+
+def test_lars_full_path_equals_least_squares_on_tied_columns():
+    for X, y in tied_designs():
+        full = np.linalg.lstsq(np.column_stack([np.ones(len(y)), X]), y, rcond=None)[0][1:]
+        assert np.allclose(S.lars(moments(X, y), 500), full, atol=1e-9)
+
+
+def test_lars_does_not_depend_on_the_order_of_tied_columns():
+    rng = np.random.default_rng(3)
+    for n, (X, y) in enumerate(tied_designs()):
+        if n % 10 == 0:
+            order = rng.permutation(X.shape[1])
+            for steps in (1, 2, 3):
+                assert np.allclose(S.lars(moments(X[:, order], y), steps), S.lars(moments(X, y), steps)[order], atol=1e-12)
+
+
+def test_lars_with_a_repeated_column_still_ends_at_least_squares():
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(60, 6))
+    X[:, 4] = X[:, 1]
+    y = X @ rng.normal(size=6) + rng.normal(size=60)
+    Xc, yc = X - X.mean(0), y - y.mean()
+    best = ((yc - Xc @ np.linalg.lstsq(Xc, yc, rcond=None)[0]) ** 2).sum()
+    assert ((yc - Xc @ S.lars(moments(X, y), 500)) ** 2).sum() == pytest.approx(best, rel=1e-9)
