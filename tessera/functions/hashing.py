@@ -21,6 +21,11 @@ def key_digest(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")))
 
 
+def repeat_digest(digest: Column, repeat: int) -> Column:
+    """Digest of a further repeat of the folds (the first repeat is 0)."""
+    return digest if repeat == 0 else F.md5(F.concat(digest, F.lit(f":{repeat}")))
+
+
 def word(digest: Column, level: int) -> Column:
     """32-bit word ``level`` (0..3) of an md5 hex digest, as bigint."""
     return F.conv(F.substring(digest, 1 + 8 * level, 8), 16, 10).cast("bigint")
@@ -40,6 +45,10 @@ def digest_sql(key: str, seed: int) -> str:
     return f"md5(cast({key} as varchar) || ':{seed}')"
 
 
+def repeat_digest_sql(digest: str, repeat: int) -> str:
+    return digest if repeat == 0 else f"md5({digest} || ':{repeat}')"
+
+
 def word_sql(digest: str, level: int) -> str:
     return f"cast(('0x' || substr({digest}, {1 + 8 * level}, 8)) as bigint)"
 

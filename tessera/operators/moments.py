@@ -128,6 +128,76 @@ def cell_grams(df: DataFrame, xs: list[Column], targets: list[Column], cell: Col
     return out
 
 
+#: Bytes of Grams that a task holds before it hands them on.
+HOLD = 256 << 20
+
+
+def array_cell_grams(rows: DataFrame, columns: list[int], pairs: Pairs, mean: np.ndarray, sd: np.ndarray,
+                     n_targets: int) -> DataFrame:
+    """(cell, tri) from rows (cells array<int>, x array<double>, t array<double>): a
+    row counts in each of its cells.  The basis is 1, the standardised ``columns``
+    of x, the products of ``pairs`` (column numbers) and the targets t.  A task
+    holds at most ``HOLD`` bytes of Grams."""
+    import pyarrow as pa
+    cols = np.array(columns, dtype=int)
+    place = {c: n for n, c in enumerate(columns)}
+    pi = np.array([place[a] for a, _ in pairs], dtype=int)
+    pj = np.array([place[b] for _, b in pairs], dtype=int)
+    p = 1 + len(cols) + len(pairs) + n_targets
+    iu = np.triu_indices(p)
+    at, unit = np.asarray(mean)[cols], np.asarray(sd)[cols]
+
+    def out(acc):
+        for c, g in acc.items():  # a Gram a batch
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([g], pa.list_(pa.float64()))], names=["cell", "tri"])
+
+    def partial(batches):
+        acc: dict[int, np.ndarray] = {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = np.asarray(batch.column(1).flatten(), float).reshape(n, -1)[:, cols]
+            z = np.empty((n, p))
+            z[:, 0] = 1.0
+            z[:, 1:1 + len(cols)] = (x - at) / unit
+            z[:, 1 + len(cols):p - n_targets] = z[:, 1 + pi] * z[:, 1 + pj]
+            z[:, p - n_targets:] = np.asarray(batch.column(2).flatten(), float).reshape(n, n_targets)
+            counts = np.diff(batch.column(0).offsets.to_numpy())
+            cells, row = np.asarray(batch.column(0).flatten()), np.repeat(np.arange(n), counts)
+            order = np.argsort(cells, kind="stable")
+            for block in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+                if not len(block):
+                    continue
+                c, zc = int(cells[block[0]]), z[row[block]]
+                g = (zc.T @ zc)[iu]
+                acc[c] = acc[c] + g if c in acc else g
+                if len(acc) * len(iu[0]) * 8 > HOLD:
+                    yield from out(acc)
+                    acc = {}
+        yield from out(acc)
+
+    def reduce_cells(batches):
+        place, total = None, None
+        for batch in batches:
+            for c, tri in zip(batch.column(0), batch.column(1)):
+                if c.as_py() != place:
+                    if place is not None:
+                        yield from out({place: total})
+                    place, total = c.as_py(), np.array(tri.values, float)
+                else:
+                    total += np.asarray(tri.values, float)
+        if place is not None:
+            yield from out({place: total})
+
+    schema = StructType([StructField("cell", IntegerType()), StructField("tri", ArrayType(DoubleType()))])
+    fan = max(2, math.isqrt(4 * rows.sparkSession.sparkContext.defaultParallelism))
+    parts = rows.select("cells", "x", "t").mapInArrow(partial, schema)
+    salted = (parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan))).repartition("cell", "salt")
+              .sortWithinPartitions("cell", "salt").select("cell", "tri").mapInArrow(reduce_cells, schema))
+    return salted.repartition("cell").sortWithinPartitions("cell").mapInArrow(reduce_cells, schema)
+
+
 def gram_long(df: DataFrame, xs: list[Column], targets: list[Column], names: list[str]) -> DataFrame:
     """One-cell Gram as a lazy long table (i, j, term_i, term_j, value), i <= j."""
     p = 1 + len(xs) + len(all_pairs(len(xs))) + len(targets)

@@ -19,6 +19,7 @@ from ..functions.hashing import LEVEL_EN, fold, key_digest
 from . import solvers as S
 from .moments import cell_grams
 from .split import row_key
+from .wide import wide_ols
 
 
 @dataclass
@@ -84,10 +85,9 @@ def _x_y_moments(G: np.ndarray, k: int) -> S.Moments:
 
 
 def fit_ols(df: DataFrame, label: str, features: list[str]) -> LinearModel:
-    """M8: OLS with intercept over the complete rows: one aggregate for the
-    scales, one Gram pass."""
-    scaled = _scaled(df, label, features)
-    b0, beta = scaled.raw(*S.ols(_x_y_moments(scaled.grams(F.lit(0), 1)[0], len(features))))
+    """M8: OLS with intercept over the complete rows, for any number of
+    predictors (see ``wide``): one pass for the scales, one Gram pass."""
+    b0, beta = wide_ols(df, label, features)
     return LinearModel(list(features), b0, [float(b) for b in beta])
 
 

@@ -134,9 +134,14 @@ class _ActiveColumns:
 
 
 def lars(m: Moments, max_steps: int) -> np.ndarray:
+    """Coefficients after ``max_steps`` joins of the path."""
+    return lars_path(m, [max_steps])[max_steps]
+
+
+def lars_path(m: Moments, budgets: list[int]) -> dict[int, np.ndarray]:
     """Least-angle regression (Efron, Hastie, Johnstone and Tibshirani 2004)
-    with intercept on unit-norm columns, until ``max_steps`` columns have joined;
-    returns the coefficients on the original column scale.
+    with intercept on unit-norm columns; for each budget the coefficients, on the
+    original column scale, once so many columns have joined.
 
     Written with the direction d that solves R_AA d = s (R: correlations, s: the
     signs of the active columns' correlations with the residual).  Moving by t
@@ -153,14 +158,13 @@ def lars(m: Moments, max_steps: int) -> np.ndarray:
     unit = np.where(usable, size, 1.0)
     R, corr = Q / np.outer(unit, unit), q_ / unit
     beta = np.zeros(k)
+    out = {b: beta.copy() for b in budgets if b < 1}
     outside = np.flatnonzero(usable)
-    if not len(outside) or max_steps < 1:
-        return beta
     active = _ActiveColumns(R)
-    level = first = np.abs(corr[outside]).max()
+    level = first = np.abs(corr[outside]).max(initial=0.0)
     noise = 64 * EPS * max(first, np.sqrt(max(yy, 0.0)))
     due = np.zeros(0, int)  # columns that the last step brought to the level
-    while level > noise and len(active.columns) < max_steps:
+    while level > noise and len(active.columns) < max(budgets):
         meets = np.abs(corr[outside]) >= level - TIE * level - noise
         joining = np.union1d(outside[meets], due)
         outside = np.setdiff1d(outside, joining)
@@ -179,20 +183,70 @@ def lars(m: Moments, max_steps: int) -> np.ndarray:
         beta[on] += step * d
         corr = corr - step * a
         level -= step
-    return beta / unit
+        for b in budgets:
+            if b not in out and b <= len(on):
+                out[b] = beta / unit
+    return {b: out.get(b, beta / unit) for b in budgets}
 
 
 # ---------------------------------------------------------- elastic net
 
-def elastic_net(Q: np.ndarray, q_: np.ndarray, l1: float, l2: float, w0: np.ndarray | None = None,
-                tol: float = 1e-9) -> np.ndarray:
-    """Minimises 0.5 w'Qw - q'w + l1 |w|_1 + 0.5 l2 w'w by an active set with
-    signs (feature-sign search, Lee, Battle, Raina and Ng 2006): with the signs
-    fixed the active coefficients solve a linear system; where that would turn
-    a sign, the best point on the way, a coefficient at zero, is taken instead.
-    Ends when the optimality conditions hold for every coefficient."""
+#: Largest duality gap of an elastic-net fit, relative to y'y.
+GAP = 1e-8
+
+
+class NotConverged(ArithmeticError):
+    """An elastic-net fit whose duality gap is not proved small."""
+
+
+def duality_gap(Q: np.ndarray, q_: np.ndarray, yy: float, l1: float, l2: float, w: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """(gap, pull, scale): how far w's cost can be above the least one.  The ridge
+    part counts as more rows of a lasso; the residual times ``scale`` is a point of
+    its dual, and ``pull`` the columns' products with the residual."""
+    Qw = Q @ w
+    pull = q_ - Qw - l2 * w
+    rest = max(yy - 2 * (q_ @ w) + w @ Qw + l2 * (w @ w), 0.0)
+    steepest = np.abs(pull).max(initial=0.0)
+    scale = 1.0 if steepest <= l1 else l1 / steepest
+    cost = 0.5 * rest + l1 * np.abs(w).sum()
+    bound = scale * (yy - q_ @ w) - 0.5 * scale * scale * rest
+    return max(float(cost - bound), 0.0), pull, scale
+
+
+def elastic_net(Q: np.ndarray, q_: np.ndarray, yy: float, l1: float, l2: float, w0: np.ndarray | None = None,
+                tol: float = GAP) -> tuple[np.ndarray, float, int]:
+    """Minimises 0.5 |y - Xw|^2 + l1 |w|_1 + 0.5 l2 w'w from Q = X'X, q = X'y and
+    yy = y'y; returns (w, duality gap, columns left out by screening).
+
+    Columns are screened first (gap-safe sphere, Ndiaye, Fercoq, Gramfort and
+    Salmon 2017): the dual solution is within sqrt(2 gap) of the point at hand, so
+    a column whose product cannot reach l1 there has coefficient zero.  What is
+    left is solved by an active set with signs.  The gap of the result proves it:
+    one above ``tol`` yy raises NotConverged."""
     p = len(q_)
     w = np.zeros(p) if w0 is None else w0.copy()
+    if p == 0:
+        return w, 0.0, 0
+    gap, pull, scale = duality_gap(Q, q_, yy, l1, l2, w)
+    reach = scale * np.abs(pull) + np.sqrt(2 * gap) * np.sqrt(np.clip(np.diag(Q), 0, None) + l2)
+    on = np.flatnonzero(reach >= l1 * (1 - 1e-12))
+    for columns in (on, np.arange(p)):
+        w = np.zeros(p) if w0 is None else w0.copy()
+        start = w[columns]
+        w[:] = 0.0
+        w[columns] = _signed_search(Q[np.ix_(columns, columns)], q_[columns], l1, l2, start)
+        gap, _, _ = duality_gap(Q, q_, yy, l1, l2, w)
+        if gap <= tol * max(yy, 1e-300):
+            return w, gap, p - len(columns)
+    raise NotConverged(f"elastic net: duality gap {gap:.3g} of y'y = {yy:.3g} with {p} columns")
+
+
+def _signed_search(Q: np.ndarray, q_: np.ndarray, l1: float, l2: float, w: np.ndarray, tol: float = 1e-9) -> np.ndarray:
+    """Active set with signs (feature-sign search, Lee, Battle, Raina and Ng 2006):
+    with the signs fixed the active coefficients solve a linear system; where that
+    would turn a sign, the best point on the way, a coefficient at zero, is taken
+    instead.  Ends when the optimality conditions hold for every coefficient."""
+    p = len(q_)
     if p == 0:
         return w
     slack = tol * max(1e-300, np.abs(q_).max())
@@ -242,29 +296,57 @@ def alpha_grid(m: Moments, l1_ratio: float = 0.5, eps: float = 1e-3, n_alphas: i
 
 
 def enet_fit(m: Moments, alpha: float, l1_ratio: float = 0.5, w0=None) -> tuple[float, np.ndarray]:
-    Q, q_, _ = m.centered()
-    w = elastic_net(Q, q_, alpha * l1_ratio * m.n, alpha * (1 - l1_ratio) * m.n, w0)
+    Q, q_, yy = m.centered()
+    w, _, _ = elastic_net(Q, q_, yy, alpha * l1_ratio * m.n, alpha * (1 - l1_ratio) * m.n, w0)
     return m.my - m.mx @ w, w
 
 
+@dataclass
+class PathPoint:
+    """One penalty of a cross-validated path."""
+    alpha: float
+    mse: float        # mean over the held-out folds
+    gap: float        # largest duality gap of the folds' fits, relative to y'y
+    screened: int     # columns left out by screening, all folds together
+
+
+@dataclass
+class EnetCV:
+    alpha: float
+    intercept: float
+    coef: np.ndarray
+    gap: float        # of the final fit, relative to y'y
+    path: list[PathPoint]
+
+
 def enet_cv(folds: list[tuple[Moments, Moments]], full: Moments, l1_ratio: float = 0.5,
             eps: float = 1e-3, n_alphas: int = 100) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(alpha, intercept, coef, mean MSE per penalty) of :func:`enet_cv_path`."""
+    out = enet_cv_path(folds, full, l1_ratio, eps, n_alphas)
+    return out.alpha, out.intercept, out.coef, np.array([x.mse for x in out.path])
+
+
+def enet_cv_path(folds: list[tuple[Moments, Moments]], full: Moments, l1_ratio: float = 0.5,
+                 eps: float = 1e-3, n_alphas: int = 100) -> EnetCV:
     """Elastic net with the penalty chosen by K-fold CV on mean squared error.
 
     ``folds`` holds (train, held-out) moments per fold; the alpha grid comes
     from the full data (log-spaced, ``eps`` ratio); each fold follows the
     path with warm starts; the alpha with the least mean MSE (first on ties)
-    is refit on ``full``.  Returns (alpha, intercept, coef, mean_mse_path).
-    """
+    is refit on ``full``.  Every fit carries its duality gap."""
     alphas = alpha_grid(full, l1_ratio, eps, n_alphas)
-    mse = np.zeros((len(folds), n_alphas))
+    mse, gaps, screened = np.zeros((len(folds), n_alphas)), np.zeros((len(folds), n_alphas)), np.zeros(n_alphas, int)
     for f, (tr, te) in enumerate(folds):
-        Q, q_, _ = tr.centered()
+        Q, q_, yy = tr.centered()
         w = np.zeros(len(q_))
-        for a_i, alpha in enumerate(alphas):
-            w = elastic_net(Q, q_, alpha * l1_ratio * tr.n, alpha * (1 - l1_ratio) * tr.n, w)
-            mse[f, a_i] = sse(te, tr.my - tr.mx @ w, w) / te.n if te.n else 0.0
+        for i, alpha in enumerate(alphas):
+            w, gap, out = elastic_net(Q, q_, yy, alpha * l1_ratio * tr.n, alpha * (1 - l1_ratio) * tr.n, w)
+            mse[f, i] = sse(te, tr.my - tr.mx @ w, w) / te.n if te.n else 0.0
+            gaps[f, i] = gap / yy if yy > 0 else 0.0
+            screened[i] += out
     mean = mse.mean(axis=0)
-    best = alphas[int(np.argmin(mean))]
-    b0, w = enet_fit(full, best, l1_ratio)
-    return float(best), float(b0), w, mean
+    best = float(alphas[int(np.argmin(mean))])
+    Q, q_, yy = full.centered()
+    w, gap, _ = elastic_net(Q, q_, yy, best * l1_ratio * full.n, best * (1 - l1_ratio) * full.n)
+    path = [PathPoint(float(a), float(m), float(g), int(n)) for a, m, g, n in zip(alphas, mean, gaps.max(axis=0), screened)]
+    return EnetCV(best, float(full.my - full.mx @ w), w, gap / yy if yy > 0 else 0.0, path)

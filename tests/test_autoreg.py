@@ -94,10 +94,17 @@ def test_final_model_matches_numpy_grid(spark, fitted):
     layout = AR.Layout(len(FEATS), 5, 2)
     G, cells = brute_force_grams(pdf, FEATS, "sum_ext", layout, shifts, mu, sd, mu_y, offsets, s)
     t_idx = layout.px if m.transform == "None_T" else layout.px + 1
-    task = {"task_id": 0, "transform": m.transform, "outer": AR.ALL, "max_k": m.max_k,
-            "inner": AR.REFIT, "t_idx": t_idx}
-    res = AR.run_task(G, layout, task)
-    assert np.allclose(res["coef"], m.coef, rtol=1e-6, atol=1e-6 * max(1.0, np.abs(m.coef).max()))
+    K = s.cv_folds
+    G_en = G[:K ** 3].reshape(K, K, K, *G.shape[1:]).sum(axis=(0, 1))
+    sel = AR.lars_selection(G_en.sum(axis=0), len(FEATS), t_idx, [m.max_k])[m.max_k]
+    want, terms, _, gap = AR.fit_selected(G_en.sum(axis=0), G_en, layout, t_idx, sel)
+    assert gap <= 1e-8 and m.selected_terms == [AR._term_name(x, FEATS) for x in terms]
+    at = {pair: 1 + len(FEATS) + i for i, pair in enumerate(layout.products)}
+    got = np.zeros(layout.px)
+    got[:1 + len(FEATS)] = m.coef[:1 + len(FEATS)]
+    for (i, j), c in zip(m.pairs, m.coef[1 + len(FEATS):]):
+        got[at[i, j]] = c
+    assert np.allclose(want, got, rtol=1e-6, atol=1e-6 * max(1.0, np.abs(m.coef).max()))
 
 
 def test_outer_scores_none_t_match_direct_r2(spark, fitted):

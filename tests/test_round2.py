@@ -50,8 +50,8 @@ X = [f"x{i}" for i in range(6)]
 
 def test_fit_without_unused_products_equals_full_fit(spark):
     df = frame(spark)
-    full = AR.fit_auto_regression(df, "y", X)
-    lean = AR.fit_auto_regression(df, "y", X, all_products=2)
+    full = AR.fit_auto_regression(df, "y", X, products="all")
+    lean = AR.fit_auto_regression(df, "y", X)
     assert lean.model.pairs is not None and lean.model.selected_terms == full.model.selected_terms
     a = full.model.predict(df).select("prediction").toPandas()["prediction"]
     b = lean.model.predict(df).select("prediction").toPandas()["prediction"]
@@ -59,11 +59,11 @@ def test_fit_without_unused_products_equals_full_fit(spark):
 
 
 def test_published_settings_and_graph(spark):
-    s = AR.ModelSettings.from_metadata({"cv_folds": "3", "cv_reps": "10"})
+    s = AR.ModelSettings.from_metadata({"cv_folds": "3", "cv_reps": "2"})
     dag = {"nodes": {"1": {"function": "add", "args": {"c1": "x0", "c2": "x1"}}}, "edges": []}
     df = frame(spark, 200)
     fit = AR.fit_auto_regression(df, "y", ["x0", "x0+x1"], settings=s, dag=dag)
-    assert fit.model.settings["cv_reps"] == 10
+    assert fit.model.settings["cv_reps"] == 2
     again = AR.RegressionModel.from_json(fit.model.to_json())
     assert "prediction" in again.predict(df).columns and again.predict(df).where("prediction is null").count() == 0
 

@@ -213,3 +213,36 @@ def test_lars_with_a_repeated_column_still_ends_at_least_squares():
     Xc, yc = X - X.mean(0), y - y.mean()
     best = ((yc - Xc @ np.linalg.lstsq(Xc, yc, rcond=None)[0]) ** 2).sum()
     assert ((yc - Xc @ S.lars(moments(X, y), 500)) ** 2).sum() == pytest.approx(best, rel=1e-9)
+
+
+def test_elastic_net_certificates_and_screening(data):
+    """Screened fits equal unscreened ones; every gap is proved small; a wrong
+    point has a gap at least as large as its excess cost."""
+    X, y = data
+    m = moments(X, y)
+    Q, q_, yy = m.centered()
+    out = 0
+    for alpha in S.alpha_grid(m)[::7]:
+        l1 = l2 = alpha * 0.5 * m.n
+        w, gap, screened = S.elastic_net(Q, q_, yy, l1, l2)
+        assert gap <= S.GAP * yy
+        assert np.allclose(w, S._signed_search(Q, q_, l1, l2, np.zeros(6)), atol=1e-7)
+        cost = lambda v: 0.5 * (yy - 2 * q_ @ v + v @ Q @ v) + l1 * np.abs(v).sum() + 0.5 * l2 * v @ v  # noqa: E731, B023
+        off = w + 0.1
+        assert S.duality_gap(Q, q_, yy, l1, l2, off)[0] >= cost(off) - cost(w) - 1e-9 * yy
+        out += screened
+    assert out > 0  # large penalties leave columns out from the start
+
+
+def test_elastic_net_that_does_not_converge_raises(data, monkeypatch):
+    X, y = data
+    Q, q_, yy = moments(X, y).centered()
+    monkeypatch.setattr(S, "_signed_search", lambda Q, q_, l1, l2, w, tol=0: w)
+    with pytest.raises(S.NotConverged):
+        S.elastic_net(Q, q_, yy, 1.0, 1.0)
+
+
+def test_lars_path_holds_every_budget(data):
+    m = moments(*data)
+    path = S.lars_path(m, [0, 1, 3, 6, 500])
+    assert not path[0].any() and all(np.allclose(path[b], S.lars(m, b)) for b in (1, 3, 6, 500))
