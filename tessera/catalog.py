@@ -24,12 +24,12 @@ from .operators.crossval import fold_r2
 from .operators.features import interactions, standardize
 from .operators.frames import missing_inputs_column, parse_attribute_column
 from .operators.profile import profile, rank_summary, simple_ols
-from .operators.split import with_folds, with_split
+from .operators.split import both_splits, with_folds, with_repeated_folds, with_split
 from .plans import autoreg as AR
 from .plans.dag import apply_dag, apply_node
 from .session import scratch_path
 from .sources import fixtures as fx
-from .sources.tables import read_dataset, table, write_dataset
+from .sources.tables import read_dataset, table, write_dataset, write_results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +142,24 @@ def q_dag_new_columns(spark, sf):
     return out.select(*[sig_col(n, 12) for n in _CHAIN_NAMES])
 
 
+_HYPOT_DAG = {"nodes": {"1": {"function": "hypot", "args": {"c1": "x1", "c2": "x3"}}, "2": {"function": "log", "args": {"c": "|x1,x3|"}}},
+              "edges": [[1, 2]]}
+
+
+@register("dag_vectorised", with_cte(
+    "select l_orderkey, l_linenumber, " + sig_sql("sqrt(x1 * x1 + x3 * x3)") + ' as "|x1,x3|", '
+    + sig_sql("ln(sqrt(x1 * x1 + x3 * x3))") + ' as "ln(|x1,x3|)" from dag_frame', dag_frame=fx.DAG_FRAME_SQL))
+def q_dag_vectorised(spark, sf):
+    """A graph with a node from a function of numpy arrays, run on Arrow
+    batches, whose output a native node uses."""
+    import numpy as np
+    from .functions.columns import OPERATIONS, register_operation, vectorised
+    if "hypot" not in OPERATIONS:
+        register_operation(vectorised("hypot", ("c1", "c2"), lambda c1, c2: f"|{c1},{c2}|", lambda a, b: np.sqrt(a * a + b * b)))
+    out = apply_dag(fx.dag_frame(spark, sf), _HYPOT_DAG)
+    return out.select("l_orderkey", "l_linenumber", sig_col("|x1,x3|"), sig_col("ln(|x1,x3|)"))
+
+
 @register("derived_roundtrip", with_cte(
     "select " + ", ".join(f"{sig_sql(e, 12)} as \"{n}\"" for e, n in zip(_CHAIN_SQL_COLS, _CHAIN_NAMES))
     + " from dag_frame", dag_frame=fx.DAG_FRAME_SQL))
@@ -360,6 +378,30 @@ def q_fold_assignment(spark, sf):
         "id", "outer_fold", "inner_fold", "en_fold")
 
 
+@register("fold_assignment_repeated", with_cte(
+    "select id, " + ", ".join(f"{H.fold_sql(H.repeat_digest_sql(_DIG, r), H.LEVEL_OUTER, 5)} as fold_{r}" for r in range(3))
+    + " from order_features", **OF))
+def q_fold_assignment_repeated(spark, sf):
+    """M3: the folds of three repeats of five."""
+    out = with_repeated_folds(fx.order_features(spark, sf), "id", 42, 5, repeats=3)
+    return out.select("id", *[F.col("folds")[r].alias(f"fold_{r}") for r in range(3)])
+
+
+@register("both_splits", with_cte(
+    "select 'held out' as mode, split, count(*) as n, " + sig_sql("sum(response)", 8) + " as total from "
+    "(select *, case when " + H.is_test_sql(_DIG, 0.2) + " then 'test' else 'train' end as split from order_features) group by split union all "
+    "select 'one_out', unnest(['train', 'test']), count(*), " + sig_sql("sum(response)", 8) + " from order_features", **OF))
+def q_both_splits(spark, sf):
+    """M1, M2: train and test as rows; under one_out every row is in both."""
+    df = fx.order_features(spark, sf)
+    out = None
+    for mode, one_out in (("held out", False), ("one_out", True)):
+        part = both_splits(df, "id", 0.2, 42, one_out).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("response").alias("total"))
+        part = part.select(F.lit(mode).alias("mode"), "split", "n", sig_col("total", 8))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _STD_COLS = ["n_lines", "sum_qty", "avg_disc", "avg_tax"]
 
 
@@ -499,6 +541,25 @@ def q_ols_fit(spark, sf):
     return df.select("term", sig("coef", 9).alias("coef"))
 
 
+@register("ols_tiled", with_cte(
+    "select 'intercept' as term, " + sig_sql("my - b1 * m1 - b2 * m2", 9) + " as coef from b union all "
+    "select 'sum_qty', " + sig_sql("b1", 9) + " from b union all "
+    "select 'n_lines', " + sig_sql("b2", 9) + " from b",
+    order_features=fx.ORDER_FEATURES_SQL,
+    s="select var_pop(sum_qty) as s11, var_pop(n_lines) as s22, covar_pop(sum_qty, n_lines) as s12, "
+      "covar_pop(sum_qty, sum_ext) as s1y, covar_pop(n_lines, sum_ext) as s2y, avg(sum_ext) as my, "
+      "avg(sum_qty) as m1, avg(n_lines) as m2 from order_features",
+    b="select (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as b1, "
+      "(s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) as b2, my, m1, m2 from s"))
+def q_ols_tiled(spark, sf):
+    """M8 through Gram tiles and a block Cholesky factor, tiles of one column: the
+    form that thousands of predictors take."""
+    from .operators.wide import wide_ols
+    b0, beta = wide_ols(fx.order_features(spark, sf), _LABEL, _OLS_X, block=1, hold=1 << 20)
+    df = spark.createDataFrame([("intercept", b0), *zip(_OLS_X, map(float, beta))], "term string, coef double")
+    return df.select("term", sig("coef", 9).alias("coef"))
+
+
 @register("ols_fit_offset", "select " + sig_sql("regr_slope(value, epoch(ts))", 8) + " as slope, "
           + sig_sql("regr_intercept(value, epoch(ts) - 1704067200)", 8) + " as value_at_start from events")
 def q_ols_fit_offset(spark, sf):
@@ -684,6 +745,65 @@ def q_elastic_net_one(spark, sf):
     return df.select("feature", sig_col("coef", 8), "selected")
 
 
+_EN2 = ("sum_qty", "n_lines")
+_EN2_MOMENTS = ("count(*) as n, avg(sum_qty) as m1, avg(n_lines) as m2, avg(sum_ext) as my, var_pop(sum_qty) as v1, var_pop(n_lines) as v2, "
+                "covar_pop(sum_qty, n_lines) as v12, covar_pop(sum_qty, sum_ext) as c1, covar_pop(n_lines, sum_ext) as c2, var_pop(sum_ext) as vy")
+
+
+def _en2_best(source: str, key: str) -> str:
+    """Of every sign pattern the stationary point, if its signs agree; of those the
+    one of least cost (all per row: the penalty is alpha / 2 on both parts)."""
+    h = "alpha * 0.5"
+    grid = f"(select * from {source}), (select unnest([-1, 0, 1]) as s1), (select unnest([-1, 0, 1]) as s2)"
+    det = f"((v1 + {h}) * (v2 + {h}) - v12 * v12)"
+    w1 = (f"case when s1 = 0 then 0 when s2 = 0 then (c1 - {h} * s1) / (v1 + {h}) "
+          f"else ((c1 - {h} * s1) * (v2 + {h}) - (c2 - {h} * s2) * v12) / {det} end")
+    w2 = (f"case when s2 = 0 then 0 when s1 = 0 then (c2 - {h} * s2) / (v2 + {h}) "
+          f"else ((c2 - {h} * s2) * (v1 + {h}) - (c1 - {h} * s1) * v12) / {det} end")
+    cost = (f"0.5 * (w1 * w1 * v1 + 2 * w1 * w2 * v12 + w2 * w2 * v2) - c1 * w1 - c2 * w2 + {h} * (abs(w1) + abs(w2)) "
+            f"+ 0.5 * {h} * (w1 * w1 + w2 * w2)")
+    return (f"select {key}, alpha, i, arg_min(struct_pack(w1, w2, m1, m2, my), {cost}) as b from "
+            f"(select *, {w1} as w1, {w2} as w2 from {grid}) where sign(w1) = s1 and sign(w2) = s2 group by {key}, alpha, i")
+
+
+_EN2_CTES = dict(
+    order_features=fx.ORDER_FEATURES_SQL,
+    d="select *, " + H.fold_sql(_DIG, H.LEVEL_EN, 5) + " as fold from order_features",
+    m=f"select {_EN2_MOMENTS} from d",
+    a="select i, pow(10, log10(2 * greatest(abs(c1), abs(c2)) * 1e-3) + (99 - i) * 3.0 / 99) as alpha from m, range(100) t(i)",
+    tr=f"select k, {_EN2_MOMENTS} from d, range(5) t(k) where fold <> k group by k",
+    te=f"select fold as k, {_EN2_MOMENTS} from d group by fold",
+    tra="select tr.*, a.alpha, a.i from tr, a",
+    w=_en2_best("tra", "k"),
+    e="select i, alpha, avg(vy + b.w1 * b.w1 * v1 + b.w2 * b.w2 * v2 + 2 * b.w1 * b.w2 * v12 - 2 * b.w1 * c1 - 2 * b.w2 * c2 "
+      "+ pow(te.my - b.my - b.w1 * (te.m1 - b.m1) - b.w2 * (te.m2 - b.m2), 2)) as mse from w join te using (k) group by i, alpha",
+    top="select i, alpha from e order by mse, i limit 1",
+    fulla="select 0 as k, m.*, top.alpha, top.i from m, top",
+    f=_en2_best("fulla", "k"))
+
+
+@register("elastic_net_two", with_cte(
+    "select 'sum_qty' as feature, " + sig_sql("b.w1", 7) + " as coef, b.w1 > 0 as selected from f union all "
+    "select 'n_lines', " + sig_sql("b.w2", 7) + ", b.w2 > 0 from f", **_EN2_CTES))
+def q_elastic_net_two(spark, sf):
+    """M6 with two correlated predictors, where each penalty's fit is the best
+    stationary point of nine sign patterns."""
+    chosen, coef = SEL.select_features(fx.order_features(spark, sf), _LABEL, list(_EN2), "elastic-net")
+    rows = [(f, c, f in chosen) for f, c in zip(_EN2, coef)]
+    return spark.createDataFrame(rows, "feature string, coef double, selected boolean").select("feature", sig_col("coef", 7), "selected")
+
+
+@register("elastic_net_path", with_cte(
+    "select cast(e.i as integer) as step, " + sig_sql("e.alpha", 8) + " as alpha, " + sig_sql("mse", 7) + " as mse, true as certified, "
+    "e.i = top.i as best from e, top", **_EN2_CTES))
+def q_elastic_net_path(spark, sf):
+    """M6: the cross-validated path, each penalty with its certificate (the duality
+    gap proves the fits of all folds)."""
+    from .operators.solvers import GAP
+    out = SEL.elastic_net_path(fx.order_features(spark, sf), _LABEL, list(_EN2))
+    return out.select("step", sig_col("alpha", 8), sig_col("mse", 7), (F.col("gap") <= GAP).alias("certified"), "best")
+
+
 @register("elastic_net_select")
 def q_elastic_net_select(spark, sf):
     """M6: cross-validated elastic net keeps the positive coefficients."""
@@ -774,6 +894,74 @@ def q_auto_regression_one(spark, sf):
     return sc.select("split", "n", sig_col("r2", 8), F.lit(fit.model.transform).alias("transform"))
 
 
+_REP = 3
+_REP_CTES = dict(
+    order_features=fx.ORDER_FEATURES_SQL,
+    d="select *, " + H.is_test_sql(_DIG, 0.2) + " as held, [" + ", ".join(
+        f"{r} * 5 + {H.fold_sql(H.repeat_digest_sql(_DIG, r), H.LEVEL_OUTER, 5)}" for r in range(_REP)) + "] as ks from order_features",
+    fits=" union all ".join(
+        f"select k, '{t}' as transform, regr_slope({f}, sum_qty) as b, regr_intercept({f}, sum_qty) as a "
+        f"from d, (select unnest(range({5 * _REP})) as k) where not held and not list_contains(ks, k) group by k" for t, (f, _) in _T_SQL.items()),
+    scored="select transform, f.k, 1 - sum(power(sum_ext - case when f.transform = 'None_T' then a + b * sum_qty else exp(a + b * sum_qty) - 1 end, 2)) "
+           "/ (var_pop(sum_ext) * count(*)) as r2 from d join fits f on list_contains(ks, f.k) where not held group by transform, f.k")
+
+
+@register("cv_results_repeats", with_cte(
+    "select transform, " + ", ".join(sig_sql(f"max(r2) filter (where k = {i})", 8) + f" as split{i}_test_score" for i in range(5 * _REP))
+    + ", " + sig_sql("avg(r2)", 8) + " as mean_test_score, " + sig_sql("stddev_pop(r2)", 7) + " as std_test_score, "
+    "cast(rank() over (order by avg(r2) desc, transform desc) as integer) as rank_test_score from scored group by transform", **_REP_CTES))
+def q_cv_results_repeats(spark, sf):
+    """Five folds repeated three times give fifteen scores."""
+    fit = AR.fit_auto_regression(fx.order_features(spark, sf), _LABEL, ["sum_qty"], settings=AR.ModelSettings(cv_reps=_REP))
+    out = AR.cv_results(fit)
+    return out.select("transform", *[sig_col(f"split{i}_test_score", 8) for i in range(5 * _REP)], sig_col("mean_test_score", 8),
+                      sig_col("std_test_score", 7), "rank_test_score")
+
+
+# forward and inverse of each target transform for y = sum_ext / 100000; m: least y of the training rows
+_ALL_T = {"None_T": ("y", "{z}"), "LogP1_T": ("ln(1 + y)", "exp({z}) - 1"), "LogMinPlus1_T": ("ln(y - m + 1)", "exp({z}) - 1 + m"),
+          "LogMinus_T": ("sign(y) * ln(abs(y))", "exp({z})"), "Exp_T": ("exp(y)", "case when {z} > 0 then ln({z}) else 0 end")}
+_ALL_T_CTES = dict(
+    order_features=fx.ORDER_FEATURES_SQL,
+    d="select id, sum_qty as x, sum_ext / 100000 as y, " + H.fold_sql(_DIG, H.LEVEL_OUTER, 5) + " as k0 from order_features where not " + H.is_test_sql(_DIG, 0.2),
+    lows="select k, min(y) as m from d, (select unnest([0, 1, 2, 3, 4]) as k) where k0 <> k group by k",
+    fits=" union all ".join(f"select k, '{t}' as transform, any_value(m) as m, regr_slope({f}, x) as b, regr_intercept({f}, x) as a "
+                            "from d join lows on k0 <> k group by k" for t, (f, _) in _ALL_T.items()),
+    scored="select transform, k, 1 - sum(power(y - case " + " ".join(
+        f"when transform = '{t}' then {back.format(z='(a + b * x)')}" for t, (_, back) in _ALL_T.items())
+    + " end, 2)) / (var_pop(y) * count(*)) as r2 from d join fits on k0 = k group by transform, k")
+
+
+@register("cv_results_transforms", with_cte(
+    "select transform, " + ", ".join(sig_sql(f"max(r2) filter (where k = {i})", 7) + f" as split{i}_test_score" for i in range(5))
+    + ", " + sig_sql("avg(r2)", 7) + " as mean_test_score, cast(rank() over (order by avg(r2) desc) as integer) as rank_test_score "
+    "from scored group by transform", **_ALL_T_CTES))
+def q_cv_results_transforms(spark, sf):
+    """M9a-M9e in the outer grid: five target transforms through their protocol,
+    each scored on the response's own scale."""
+    df = fx.order_features(spark, sf).select("id", "sum_qty", (F.col(_LABEL) / 100000).alias("y"))
+    out = AR.cv_results(AR.fit_auto_regression(df, "y", ["sum_qty"], transforms=tuple(_ALL_T)))
+    return out.select("transform", *[sig_col(f"split{i}_test_score", 7) for i in range(5)], sig_col("mean_test_score", 7), "rank_test_score")
+
+
+@register("fit_run_log", with_cte(
+    "select 7 as model_id, 'Complete' as status, '6/6' as stage, 6 as step, 6 as steps, true as completed, count(*) as n, 6 as stages "
+    "from order_features", **OF))
+def q_fit_run_log(spark, sf):
+    """The fit logs its stages; the latest status is read back, and the
+    model that the run kept predicts every order."""
+    from .plans.run import FitRun
+    from .sources.artifacts import load_model
+    df = fx.order_features(spark, sf)
+    run = FitRun(spark, scratch_path(spark, "run"), 7)
+    AR.fit_auto_regression(df, _LABEL, ["sum_qty"], run=run)
+    log = run.log()
+    rows = load_model(spark, f"{run.path}/model").predict(df).where(F.col("prediction").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    stages = log.agg(F.countDistinct("stage").cast("int").alias("stages"))
+    status = R.run_status(log).select(F.col("model_id").cast("int").alias("model_id"), "status", "stage", "step", "steps", "completed")
+    return status.join(F.broadcast(rows)).join(F.broadcast(stages))  # one row each
+
+
 @register("grid_search_outer")
 def q_grid_search_outer(spark, sf):
     """Per transform and outer fold, the chosen max_k and its R^2."""
@@ -828,6 +1016,27 @@ def q_score_table(spark, sf):
     return sc.select("model_id", "n", sig_col("mean_absolute_error"), sig_col("r2"))
 
 
+@register("score_table_rerun", with_cte(
+    "select model_id, " + _SCORE_COLS.replace("sum_qty", "x") + " from ("
+    "select 1 as model_id, sum_ext, a1 + b1 * sum_qty as p from sp, m union all "
+    "select 2 as model_id, sum_ext, a2 + b2 * n_lines as p from sp, m) group by model_id",
+    order_features=fx.ORDER_FEATURES_SQL, sp=_SPLIT_SQL,
+    m="select regr_slope(sum_ext, sum_qty) as b1, regr_intercept(sum_ext, sum_qty) as a1, "
+      "regr_slope(sum_ext, n_lines) as b2, regr_intercept(sum_ext, n_lines) as a2 from sp where split = 'train'"))
+def q_score_table_rerun(spark, sf):
+    """Two models' results are written one after the other, the first one's
+    twice; each model's partition holds one copy."""
+    df = with_split(fx.order_features(spark, sf), "id", 0.2, 42).select("id", "split", _LABEL, "sum_qty", "n_lines").persist()
+    path = scratch_path(spark, "results")
+    train = df.where(F.col("split") == "train")
+    models = {1: SEL.fit_ols(train, _LABEL, ["sum_qty"]), 2: SEL.fit_ols(train, _LABEL, ["n_lines"])}
+    for mid in (1, 2, 1):
+        write_results(models[mid].predict(df).select(F.lit(mid).alias("model_id"), "id", F.col(_LABEL).alias("actual"), "prediction"), path)
+    df.unpersist()
+    sc = M.regression_metrics(read_dataset(spark, path), F.col("actual"), F.col("prediction"), by=["model_id"])
+    return sc.select("model_id", "n", sig_col("mean_absolute_error"), sig_col("r2"))
+
+
 # ================================== projections, predicates, registry (2.2, 2.8)
 
 

@@ -15,8 +15,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 
 def q(name: str) -> Column:
@@ -86,6 +91,42 @@ def register_operation(op: Operation) -> None:
     OPERATIONS[op.name] = op
 
 
+def vectorised(name: str, args: tuple[str, ...], out_name: Callable[..., str], fn: Callable, returns: str = "double",
+               nulls: str = "propagate") -> Operation:
+    """A graph node from a function of numpy arrays, one per argument, which
+    returns an array of the declared type.  It runs on Arrow batches, and only in
+    graphs that use it.
+
+    ``nulls='propagate'``: a null in any argument gives null, and the function sees
+    only rows without one.  ``nulls='pass'``: nulls reach it as NaN (arguments are
+    doubles), and it gives null by returning NaN in a float type."""
+    if nulls not in ("propagate", "pass"):
+        raise ValueError(f"null rule {nulls!r}")
+
+    def expr(**columns: str) -> Column:
+        out_type = to_arrow_type(DataType.fromDDL(returns))
+
+        @arrow_udf(returns)
+        def run(*arrays: pa.Array) -> pa.Array:
+            whole = np.ones(len(arrays[0]), bool)
+            if nulls == "propagate":
+                for a in arrays:
+                    whole &= a.is_valid().to_numpy(zero_copy_only=False)
+            values = np.asarray(fn(*[a.to_numpy(zero_copy_only=False).astype(float)[whole] for a in arrays]))
+            if len(values) != whole.sum():
+                raise ValueError(f"{name} gave {len(values)} values for {whole.sum()} rows")
+            out = np.zeros(len(whole), values.dtype)
+            out[whole] = values
+            gone = ~whole
+            if nulls == "pass" and np.issubdtype(out.dtype, np.floating):
+                gone = np.isnan(out)
+            return pa.array(out, mask=gone).cast(out_type)
+
+        return run(*[d(columns[a]) for a in args])
+
+    return Operation(name, args, out_name, expr)
+
+
 def normalize_expr(c: str, norm: Column) -> Column:
     """``norm`` is NaN (never 0) for an all-zero column, so the division
     cannot raise and references the norm only once."""

@@ -91,6 +91,26 @@ def fit_ols(df: DataFrame, label: str, features: list[str]) -> LinearModel:
     return LinearModel(list(features), b0, [float(b) for b in beta])
 
 
+def _enet(scaled: _Scaled, k: int, folds: int) -> S.EnetCV:
+    Gs = scaled.grams(fold(F.col("key"), LEVEL_EN, folds), folds)
+    # the penalty acts on the columns as they are: their scales go back in
+    back = np.concatenate([[1.0], scaled.sd, [scaled.label_sd]])
+    Gs = Gs * np.outer(back, back)
+    full = Gs.sum(axis=0)
+    pairs = [(_x_y_moments(full - Gs[e], k), _x_y_moments(Gs[e], k)) for e in range(folds)]
+    return S.enet_cv_path(pairs, _x_y_moments(full, k))
+
+
+def elastic_net_path(df: DataFrame, label: str, features: list[str], key: str | None = "id", seed: int = 42,
+                     folds: int = 5) -> DataFrame:
+    """M6: the cross-validated path, one row per penalty: step, alpha, mse (mean over
+    the folds), gap (largest duality gap of the folds' fits over y'y), screened
+    (columns left out by safe screening, all folds together), best."""
+    net = _enet(_scaled(df, label, features, key_digest(row_key(df, key), seed)), len(features), folds)
+    rows = [(i, x.alpha, x.mse, x.gap, x.screened, x.alpha == net.alpha) for i, x in enumerate(net.path)]
+    return df.sparkSession.createDataFrame(rows, "step int, alpha double, mse double, gap double, screened long, best boolean")
+
+
 def select_features(df: DataFrame, label: str, features: list[str], method: str = "lars",
                     max_k: int = 500, key: str | None = "id", seed: int = 42,
                     folds: int = 5) -> tuple[list[str], list[float]]:
@@ -102,13 +122,7 @@ def select_features(df: DataFrame, label: str, features: list[str], method: str
         _, coef = scaled.raw(0.0, S.lars(_x_y_moments(G, k), max_k))
     elif method == "elastic-net":
         scaled = _scaled(df, label, features, key_digest(row_key(df, key), seed))
-        Gs = scaled.grams(fold(F.col("key"), LEVEL_EN, folds), folds)
-        # the penalty acts on the columns as they are: their scales go back in
-        back = np.concatenate([[1.0], scaled.sd, [scaled.label_sd]])
-        Gs = Gs * np.outer(back, back)
-        full = Gs.sum(axis=0)
-        pairs = [(_x_y_moments(full - Gs[e], k), _x_y_moments(Gs[e], k)) for e in range(folds)]
-        _, _, coef, _ = S.enet_cv(pairs, _x_y_moments(full, k))
+        coef = _enet(scaled, k, folds).coef
     else:
         raise ValueError(f"unknown selector {method!r}")
     chosen = [f for f, c in zip(features, coef) if c > 0]

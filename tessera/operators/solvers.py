@@ -199,18 +199,36 @@ class NotConverged(ArithmeticError):
     """An elastic-net fit whose duality gap is not proved small."""
 
 
+@dataclass
+class _Point:
+    """Coefficients with the products that the gap needs."""
+    w: np.ndarray
+    Qw: np.ndarray
+    qw: float
+    wQw: float
+
+    @classmethod
+    def at(cls, Q: np.ndarray, q_: np.ndarray, w: np.ndarray) -> "_Point":
+        Qw = Q @ w
+        return cls(w, Qw, float(q_ @ w), float(w @ Qw))
+
+    def gap(self, q_: np.ndarray, yy: float, l1: float, l2: float) -> tuple[float, np.ndarray, float]:
+        """(gap, pull, scale), see :func:`duality_gap`."""
+        ridge = l2 * float(self.w @ self.w)
+        pull = q_ - self.Qw - l2 * self.w
+        size = np.abs(pull)
+        rest = max(yy - 2 * self.qw + self.wQw + ridge, 0.0)
+        steepest = float(size.max())
+        scale = 1.0 if steepest <= l1 else l1 / steepest
+        cost = 0.5 * rest + l1 * float(np.abs(self.w).sum())
+        return max(cost - scale * (yy - self.qw) + 0.5 * scale * scale * rest, 0.0), size, scale
+
+
 def duality_gap(Q: np.ndarray, q_: np.ndarray, yy: float, l1: float, l2: float, w: np.ndarray) -> tuple[float, np.ndarray, float]:
-    """(gap, pull, scale): how far w's cost can be above the least one.  The ridge
+    """(gap, |pull|, scale): how far w's cost can be above the least one.  The ridge
     part counts as more rows of a lasso; the residual times ``scale`` is a point of
     its dual, and ``pull`` the columns' products with the residual."""
-    Qw = Q @ w
-    pull = q_ - Qw - l2 * w
-    rest = max(yy - 2 * (q_ @ w) + w @ Qw + l2 * (w @ w), 0.0)
-    steepest = np.abs(pull).max(initial=0.0)
-    scale = 1.0 if steepest <= l1 else l1 / steepest
-    cost = 0.5 * rest + l1 * np.abs(w).sum()
-    bound = scale * (yy - q_ @ w) - 0.5 * scale * scale * rest
-    return max(float(cost - bound), 0.0), pull, scale
+    return _Point.at(Q, q_, w).gap(q_, yy, l1, l2)
 
 
 def elastic_net(Q: np.ndarray, q_: np.ndarray, yy: float, l1: float, l2: float, w0: np.ndarray | None = None,
@@ -224,20 +242,27 @@ def elastic_net(Q: np.ndarray, q_: np.ndarray, yy: float, l1: float, l2: float,
     left is solved by an active set with signs.  The gap of the result proves it:
     one above ``tol`` yy raises NotConverged."""
     p = len(q_)
-    w = np.zeros(p) if w0 is None else w0.copy()
     if p == 0:
-        return w, 0.0, 0
-    gap, pull, scale = duality_gap(Q, q_, yy, l1, l2, w)
-    reach = scale * np.abs(pull) + np.sqrt(2 * gap) * np.sqrt(np.clip(np.diag(Q), 0, None) + l2)
-    on = np.flatnonzero(reach >= l1 * (1 - 1e-12))
+        return np.zeros(0), 0.0, 0
+    start = _Point.at(Q, q_, np.zeros(p) if w0 is None else w0)
+    point, gap, out = _elastic_net(Q, q_, yy, l1, l2, start, np.sqrt(np.clip(np.diag(Q), 0, None) + l2), tol)
+    return point.w, gap, out
+
+
+def _elastic_net(Q, q_, yy, l1, l2, start: _Point, size: np.ndarray, tol: float) -> tuple[_Point, float, int]:
+    p = len(q_)
+    gap, pull, scale = start.gap(q_, yy, l1, l2)
+    on = np.flatnonzero(scale * pull + np.sqrt(2 * gap) * size >= l1 * (1 - 1e-12))
     for columns in (on, np.arange(p)):
-        w = np.zeros(p) if w0 is None else w0.copy()
-        start = w[columns]
-        w[:] = 0.0
-        w[columns] = _signed_search(Q[np.ix_(columns, columns)], q_[columns], l1, l2, start)
-        gap, _, _ = duality_gap(Q, q_, yy, l1, l2, w)
+        w = np.zeros(p)
+        if len(columns) == p:
+            w = _signed_search(Q, q_, l1, l2, start.w.copy())
+        elif len(columns):
+            w[columns] = _signed_search(Q[np.ix_(columns, columns)], q_[columns], l1, l2, start.w[columns])
+        point = _Point.at(Q, q_, w)
+        gap = point.gap(q_, yy, l1, l2)[0]
         if gap <= tol * max(yy, 1e-300):
-            return w, gap, p - len(columns)
+            return point, gap, p - len(columns)
     raise NotConverged(f"elastic net: duality gap {gap:.3g} of y'y = {yy:.3g} with {p} columns")
 
 
@@ -338,12 +363,14 @@ def enet_cv_path(folds: list[tuple[Moments, Moments]], full: Moments, l1_ratio:
     mse, gaps, screened = np.zeros((len(folds), n_alphas)), np.zeros((len(folds), n_alphas)), np.zeros(n_alphas, int)
     for f, (tr, te) in enumerate(folds):
         Q, q_, yy = tr.centered()
-        w = np.zeros(len(q_))
+        point, own = _Point.at(Q, q_, np.zeros(len(q_))), np.clip(np.diag(Q), 0, None)
         for i, alpha in enumerate(alphas):
-            w, gap, out = elastic_net(Q, q_, yy, alpha * l1_ratio * tr.n, alpha * (1 - l1_ratio) * tr.n, w)
-            mse[f, i] = sse(te, tr.my - tr.mx @ w, w) / te.n if te.n else 0.0
-            gaps[f, i] = gap / yy if yy > 0 else 0.0
-            screened[i] += out
+            l2 = alpha * (1 - l1_ratio) * tr.n
+            if len(q_):
+                point, gap, out = _elastic_net(Q, q_, yy, alpha * l1_ratio * tr.n, l2, point, np.sqrt(own + l2), GAP)
+                gaps[f, i] = gap / yy if yy > 0 else 0.0
+                screened[i] += out
+            mse[f, i] = sse(te, tr.my - tr.mx @ point.w, point.w) / te.n if te.n else 0.0
     mean = mse.mean(axis=0)
     best = float(alphas[int(np.argmin(mean))])
     Q, q_, yy = full.centered()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import (LEVEL_EN, LEVEL_INNER, LEVEL_OUTER, fold, is_test,
-                                 key_digest)
+                                 key_digest, repeat_digest)
 
 
 def row_key(df: DataFrame, key: str | None) -> Column:
@@ -30,6 +30,15 @@ def with_split(df: DataFrame, key: str | None = "id", test_split: float = 0.2, s
     return df.withColumn(col, F.when(is_test(dig, test_split), "test").otherwise("train"))
 
 
+def both_splits(df: DataFrame, key: str | None = "id", test_split: float = 0.2, seed: int = 42,
+                one_out: bool = False, col: str = "split") -> DataFrame:
+    """Train and test as one frame: under ``one_out`` (M2) every row is in both,
+    otherwise as :func:`with_split`."""
+    if not one_out:
+        return with_split(df, key, test_split, seed, False, col)
+    return df.withColumn(col, F.explode(F.array(F.lit("train"), F.lit("test"))))
+
+
 def with_folds(df: DataFrame, key: str | None = "id", seed: int = 42, k: int = 5,
                levels=("outer", "inner", "en")) -> DataFrame:
     """Adds ``outer_fold``, ``inner_fold``, ``en_fold`` in [0, k) (M3)."""
@@ -38,3 +47,11 @@ def with_folds(df: DataFrame, key: str | None = "id", seed: int = 42, k: int = 5
     for name in levels:
         df = df.withColumn(f"{name}_fold", fold(dig, level_of[name], k))
     return df
+
+
+def with_repeated_folds(df: DataFrame, key: str | None = "id", seed: int = 42, k: int = 5, repeats: int = 1,
+                        level: int = LEVEL_OUTER, col: str = "folds") -> DataFrame:
+    """Adds an array with the row's fold in [0, k) of every repeat (M3); the first
+    repeat has the folds of :func:`with_folds`."""
+    dig = key_digest(row_key(df, key), seed)
+    return df.withColumn(col, F.array(*[fold(repeat_digest(dig, r), level, k) for r in range(repeats)]))

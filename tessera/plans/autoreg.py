@@ -339,8 +339,9 @@ class Grid:
     def solve(self, grams: DataFrame, p: int, run, schema: StructType) -> DataFrame:
         """run(grp, {part: Gram}) -> rows, for every group; a group's cells are added
         up as they arrive, so a task holds the parts of one group."""
+        n = min(self.size, 4 * grams.sparkSession.sparkContext.defaultParallelism)
         parts = (grams.select("tri", F.inline(group_parts(self.K, self.R, len(self.transforms))))
-                 .repartitionByRange(self.size, "grp").sortWithinPartitions("grp").select("grp", "part", "tri"))
+                 .repartitionById(n, F.col("grp") % n).sortWithinPartitions("grp").select("grp", "part", "tri"))
         iu = np.triu_indices(p)
         names = [f.name for f in schema.fields]
 
@@ -458,10 +459,10 @@ def _facts(base: DataFrame, s: ModelSettings, transforms: tuple[str, ...]) -> di
             if (t, params) not in targets:
                 targets.append((t, params))
             of[f"{t}:{outer}"] = targets.index((t, params))
-    # pandas-like totals: one aggregate for all targets
+    # one aggregate for all targets; what a held-out fold makes of a target does not matter
     y, mean = F.col("y"), F.lit(float(at.mean[-1]))
-    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    checks = [F.count_if(odd(fitted(t, p).forward(y))).alias(f"odd{n}") for n, (t, p) in enumerate(targets)]
+    checks = [F.count_if(_odd(fitted(*targets[n]).forward(y)) & ~F.array_contains("_folds", int(name.split(":")[1]))).alias(name)
+              for name, n in of.items()]
     centres = [F.max(fitted(t, p).forward(mean)).alias(f"at{n}") for n, (t, p) in enumerate(targets)]
     row = train.agg(F.count(F.lit(1)).alias("n"), *checks, *centres).first()
     if not row["n"]:
@@ -469,7 +470,11 @@ def _facts(base: DataFrame, s: ModelSettings, transforms: tuple[str, ...]) -> di
     centre = [row[f"at{n}"] for n in range(len(targets))]
     return {"mean": list(at.mean[:-1]), "sd": list(at.sd[:-1]), "targets": [list(t) for t in targets], "of": of,
             "offsets": [float(c) if c is not None and math.isfinite(c) else 0.0 for c in centre],
-            "usable": [row[f"odd{n}"] == 0 for n in range(len(targets))]}
+            "usable": {name: row[name] == 0 for name in of}}
+
+
+def _odd(value: Column) -> Column:
+    return value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
 
 
 def _fit(spark: SparkSession, base: DataFrame, response, features, key, s: ModelSettings, keep, products, transforms, budgets, run) -> FitResult:
@@ -480,7 +485,8 @@ def _fit(spark: SparkSession, base: DataFrame, response, features, key, s: Model
     mean, sd = np.array(facts["mean"]), np.array(facts["sd"])
     targets, offsets, usable, of = facts["targets"], facts["offsets"], facts["usable"], facts["of"]
     n_t = len(targets)
-    forward = [fitted(t, p).forward(F.col("y")) - F.lit(off) if ok else F.lit(0.0) for (t, p), off, ok in zip(targets, offsets, usable)]
+    forward = [fitted(t, p).forward(F.col("y")) - F.lit(off) for (t, p), off in zip(targets, offsets)]
+    forward = [F.when(_odd(f), F.lit(0.0)).otherwise(f) for f in forward]
     rows = base.where(F.size("cells") > 0).select("cells", "x", F.array(*forward).alias("t"))
     grid = Grid(K, R, transforms)
 
@@ -492,7 +498,7 @@ def _fit(spark: SparkSession, base: DataFrame, response, features, key, s: Model
     def paths(grp: int, parts: dict[int, np.ndarray]) -> list[dict]:
         outer, _, t = grid.key(grp)
         n = of[f"{t}:{outer}"]
-        if not usable[n] or 0 not in parts:
+        if not usable[f"{t}:{outer}"] or 0 not in parts:
             return []
         kept = lars_selection(parts[0], k, 1 + k + n, budgets, keep)
         return [{"grp": grp, "max_k": b, "columns": c} for b, c in kept.items()]

@@ -56,3 +56,12 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet",
     else:
         raise ValueError(f"unsupported format {fmt!r}")
     return path
+
+
+def write_results(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("model_id",)) -> str:
+    """A result table by model.  The partitions that df has rows for are replaced,
+    all others stay, so a run repeated after a failure leaves one copy.  A table read
+    from ``path`` must not feed df."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
+    return path
