@@ -23,7 +23,7 @@ from .operators import selection as SEL
 from .operators.crossval import fold_r2
 from .operators.features import interactions, standardize
 from .operators.frames import missing_inputs_column, parse_attribute_column
-from .operators.profile import profile, rank_summary, simple_ols
+from .operators.profile import median_unique, moment_summary, profile, rank_summary, simple_ols
 from .operators.split import both_splits, with_folds, with_repeated_folds, with_split
 from .plans import autoreg as AR
 from .plans.dag import apply_dag, apply_node
@@ -190,7 +190,7 @@ def _per_variable_sql(cols: list[str], select: str, source: str = "lineitem") ->
     + sig_sql("stddev_pop({x})") + " as std_dev, " + sig_sql("var_pop({x})") + " as variance")))
 def q_column_profile(spark, sf):
     """T1-T9, T12-T14 on four line-item measures."""
-    p = profile(table(spark, sf, "lineitem"), PROFILE_COLS)
+    p = profile(table(spark, sf, "lineitem"), PROFILE_COLS, normality=False)
     return p.select("variable", "row_count", "maximum", "minimum", sig_col("average"),
                     "unique_values", "zero_count", sig_col("median", 12), "data_range",
                     sig_col("mean"), sig_col("std_dev"), sig_col("variance"))
@@ -234,7 +234,7 @@ _MOMENTS_SQL = " union all ".join(
 @register("column_moments", _MOMENTS_SQL)
 def q_column_moments(spark, sf):
     """Biased excess kurtosis and biased skewness."""
-    r = rank_summary(table(spark, sf, "lineitem"), PROFILE_COLS)
+    r = moment_summary(table(spark, sf, "lineitem"), PROFILE_COLS)
     return r.select("variable", sig_col("kurtosis"), sig_col("skewness"))
 
 
@@ -242,7 +242,7 @@ def q_column_moments(spark, sf):
     "count(distinct {x}) as unique_values, " + sig_sql("median({x})", 12) + " as median")))
 def q_median_unique(spark, sf):
     """Exact distinct count and exact (midpoint) median."""
-    r = rank_summary(table(spark, sf, "lineitem"), PROFILE_COLS)
+    r = median_unique(table(spark, sf, "lineitem"), PROFILE_COLS)
     return r.select("variable", "unique_values", sig_col("median", 12))
 
 

@@ -197,3 +197,39 @@ def test_approx_profile_close_to_exact(spark, sf_tiny):
         assert a["kurtosis"] == pytest.approx(e["kurtosis"], rel=1e-6, abs=1e-9)
         assert abs(a["unique_values"] - e["unique_values"]) <= 0.1 * e["unique_values"] + 1
         assert a["ad_stat"] is None
+
+
+def test_moments_equal_the_rank_path_without_a_value_exchange(spark, sf_tiny):
+    from tessera.operators.profile import moment_summary
+    rows = [(None, 0.1, float("-inf") if i % 7 == 0 else float(i), float(i % 3), float(i) ** 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "empty double, same double, logged double, ties double, wide double")
+    fast = moment_summary(df, df.columns)
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_" in plan and "RangePartitioning" not in plan
+    ranks = {r["variable"]: r for r in rank_summary(df, df.columns).collect()}
+    for r in fast.collect():
+        for f in fast.columns:
+            a, b = r[f], ranks[r["variable"]][f]
+            assert a == b or a == pytest.approx(b, rel=1e-9, nan_ok=True), (r["variable"], f)
+
+
+@pytest.mark.parametrize("accuracy", [5, 100, 10000])
+def test_medians_from_sketches_and_counts(spark, accuracy):
+    """Small sketches need many rounds; ties, infinities, even and odd sizes, none."""
+    from tessera.operators.profile import exact_medians, median_unique
+    rng = np.random.default_rng(accuracy)
+    cols = {"normal": rng.normal(size=801), "ties": rng.integers(0, 4, 801), "even": [*rng.exponential(size=800), None],
+            "inf": [float("-inf")] * 300 + [float("inf")] * 501, "none": [None] * 801, "one": [None] * 800 + [7.0], "far": 1e15 + rng.integers(0, 3, 801),
+            "nan": [float("nan")] * 400 + [*range(401)], "two": [None] * 799 + [0.0, -0.0]}
+    rows = [tuple(None if v is None else float(v) for v in r) for r in zip(*cols.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(4)
+    want = {}
+    for c, v in cols.items():
+        known = [float(x) for x in v if x is not None and not math.isnan(x)]
+        want[c] = float(np.median(known)) if known else None
+    got = exact_medians(df, list(cols), accuracy)
+    assert got == want
+    if accuracy == 10000:
+        both = {r.variable: (r.unique_values, r.median) for r in median_unique(df, list(cols)).collect()}
+        assert both == {c: (len({float(x) + 0.0 for x in v if x is not None and not math.isnan(x)}), want[c]) for c, v in cols.items()}
+        assert exact_medians(df.limit(0), ["normal"]) == {"normal": None} and exact_medians(df, []) == {}
