@@ -17,6 +17,7 @@ from .functions import hashing as H
 from .functions.rounding import sig, sig_col, sig_sql
 from .functions.transforms import ExpT, LogMinPlus1, LogP1, LogSigned
 from .functions.validate import point_errors, valid_point
+from .operators import keys as K
 from .operators import metrics as M
 from .operators import registry as R
 from .operators import selection as SEL
@@ -1309,6 +1310,114 @@ def q_cascade_delete(spark, sf):
     return models.select("model_id", "workflow_id")
 
 
+_OBJECTS = {"Location": ("location", "location_id", "select location_id as id, owner_id from location"),
+            "Workflow": ("workflow", "workflow_id", "select w.workflow_id, l.owner_id from workflow w join location l using (location_id)"),
+            "Dataset": ("dataset", "dataset_id", "select d.dataset_id, l.owner_id from dataset d join workflow w using (workflow_id) "
+                        "join location l using (location_id)"),
+            "AnalyticalModel": ("analytical_model", "model_id", "select m.model_id, l.owner_id from analytical_model m join workflow w using (workflow_id) "
+                                "join location l using (location_id)")}
+_REG = {f'"{k}"' if k == "user" else k: v for k, v in fx.REGISTRY_SQL.items()}
+_OBJECT_OWNERS = " union all ".join(f"select '{kind}' as object_type, id as object_id, owner_id from ({q}) t(id, owner_id) "
+                                    "where owner_id in (select user_id from \"user\")" for kind, (_, _, q) in _OBJECTS.items())
+
+
+@register("list_by_parent", with_cte(
+    "select d.dataset_id, d.workflow_id, d.name from dataset d join workflow w using (workflow_id) where w.location_id < 5", **_REG))
+def q_list_by_parent(spark, sf):
+    """Datasets of the workflows of five locations, without their payload."""
+    reg = fx.registry(spark, sf)
+    return K.REGISTRY.children(reg, "workflow", "dataset", F.col("location_id") < 5).select("dataset_id", "workflow_id", "name")
+
+
+@register("object_owners", with_cte(_OBJECT_OWNERS, **_REG))
+def q_object_owners(spark, sf):
+    """Owners of locations, workflows, datasets and models along the keys."""
+    return K.object_owners(fx.registry(spark, sf))
+
+
+_OBJECT_ACL = dict(_REG, own=_OBJECT_OWNERS, req=fx.OBJECT_REQUESTS_SQL,
+                   acl="select grantor_id as owner_id, target_user_id, object_type, object_id, "
+                       "arg_max(ts + interval 7 day, (ts, request_id)) as expiration, arg_max(access_type, (ts, request_id)) as access_type "
+                       "from req r where exists (select 1 from own o where o.object_type = r.object_type and o.object_id = r.object_id "
+                       "and o.owner_id = r.grantor_id) group by 1, 2, 3, 4")
+
+
+def _object_acl(spark, sf):
+    req = fx.object_requests(spark, sf).withColumn("expiration", F.col("ts") + F.expr("INTERVAL 7 DAYS"))
+    own = K.object_owners(fx.registry(spark, sf))
+    empty = spark.createDataFrame([], "owner_id bigint, target_user_id bigint, object_type string, "
+                                      "object_id bigint, expiration timestamp_ntz, access_type string")
+    return R.acl_grant(empty, req, own), own, req
+
+
+@register("acl_grant_objects", with_cte("select * from acl", **_OBJECT_ACL))
+def q_acl_grant_objects(spark, sf):
+    """R6 on all four object types."""
+    return _object_acl(spark, sf)[0]
+
+
+@register("acl_access_objects", with_cte(
+    "select q.request_id, q.user_id, q.object_type, q.object_id, coalesce(o.owner_id = q.user_id, false) as is_owner, "
+    "coalesce(o.owner_id = q.user_id, false) or exists (select 1 from acl a where a.target_user_id = q.user_id "
+    "and a.object_type = q.object_type and a.object_id = q.object_id and a.expiration > q.as_of) as allowed "
+    "from q left join own o on o.object_type = q.object_type and o.object_id = q.object_id", **_OBJECT_ACL,
+    q="select request_id, target_user_id as user_id, object_type, object_id, ts as as_of from req"))
+def q_acl_access_objects(spark, sf):
+    """R7 on all four object types."""
+    acl, own, req = _object_acl(spark, sf)
+    q = req.select("request_id", F.col("target_user_id").alias("user_id"), "object_type", "object_id", F.col("ts").alias("as_of"))
+    return R.acl_access(q, own, acl)
+
+
+@register("integrity_objects", with_cte(
+    "select 'Location' as object_type, location_id as object_id, exists (select 1 from workflow w join analytical_model m using (workflow_id) "
+    "where w.location_id = l.location_id and m.fitted) as has_fitted_model from location l union all "
+    "select 'Workflow', workflow_id, exists (select 1 from analytical_model m where m.workflow_id = w.workflow_id and m.fitted) from workflow w union all "
+    "select 'Dataset', dataset_id, exists (select 1 from workflow w join analytical_model m using (workflow_id) "
+    "where w.workflow_id = d.workflow_id and m.fitted) from dataset d", **_REG))
+def q_integrity_objects(spark, sf):
+    """R8 for locations, workflows and datasets."""
+    return K.integrity(fx.registry(spark, sf), F.col("fitted"))
+
+
+_HANGS = {"workflow": "workflow_id", "workflow_results": "workflow_id", "preprocessing_config": "workflow_id", "analytical_model": "workflow_id",
+          "dataset": "workflow_id", "model_metadata": "base_id", "model_data": "model_id", "model_results": "model_id",
+          "dataset_metadata": "base_id", "location_metadata": "base_id", "location": "location_id", "access_control_list": "owner_id"}
+_GONE = {"location": "select location_id from location where owner_id = 0", "workflow": "select workflow_id from workflow where location_id in ({location})",
+         "analytical_model": "select model_id from analytical_model where workflow_id in ({workflow})",
+         "dataset": "select dataset_id from dataset where workflow_id in ({workflow})"}
+_GONE["workflow"] = _GONE["workflow"].format(location=_GONE["location"])
+_GONE["analytical_model"] = _GONE["analytical_model"].format(workflow=_GONE["workflow"])
+_GONE["dataset"] = _GONE["dataset"].format(workflow=_GONE["workflow"])
+_HANGS_ON = {"workflow": "location", "location_metadata": "location", "workflow_results": "workflow", "preprocessing_config": "workflow",
+             "analytical_model": "workflow", "dataset": "workflow", "model_metadata": "analytical_model", "model_data": "analytical_model",
+             "model_results": "analytical_model", "dataset_metadata": "dataset"}
+
+
+def _left_sql(t: str) -> str:
+    if t == "location":
+        where = "owner_id <> 0"
+    elif t == "access_control_list":
+        where = "owner_id <> 0 and target_user_id <> 0"
+    else:
+        fk = "location_id" if t == "workflow" else _HANGS[t]
+        where = f"{fk} not in ({_GONE[_HANGS_ON[t]]})"
+    return f"select '{t}' as table_name, count(*) as n, cast(coalesce(sum({_HANGS[t]}), 0) as bigint) as total from {t} where {where}"
+
+
+@register("cascade_all", with_cte(" union all ".join(_left_sql(t) for t in _HANGS), **_REG))
+def q_cascade_all(spark, sf):
+    """Deleting a user takes their locations, all that hangs on them along the
+    keys, and the grants from and to them; what is left of every table."""
+    reg = fx.registry(spark, sf)
+    left = K.REGISTRY.cascade(reg, "user", reg["user"].where(F.col("user_id") == 0))
+    out = None
+    for t, c in _HANGS.items():
+        part = left[t].agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("run_status", with_cte(
     "select model_id, arg_max(status, (ts, event_id)) as status, arg_max(stage, (ts, event_id)) as stage, "
     "arg_max_null(message, (ts, event_id)) as message, "

@@ -1,7 +1,7 @@
 """Registry operators (R1-R13): the model/dataset bookkeeping expressed as
 set-based DataFrame operations that answer for every id at once.
 
-Tables (plain DataFrames):
+Tables (plain DataFrames; keys: ``keys.REGISTRY``):
   owners(owner_id) <- locations(location_id, owner_id, name)
   <- workflows(workflow_id, location_id) <- models(model_id, workflow_id, fitted)
   metadata(base_id, name, value, seq); acl(owner_id, target_user_id,
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .histogram import global_rank
+from .keys import REGISTRY
 
 # -------------------------------------------------------------- listings
 
@@ -86,23 +87,6 @@ def location_owners(locations: DataFrame) -> DataFrame:
                             F.col("location_id").alias("object_id"), "owner_id")
 
 
-def object_owners(locations: DataFrame, workflows: DataFrame, datasets: DataFrame | None = None,
-                  models: DataFrame | None = None) -> DataFrame:
-    """Owners of all objects that can be granted: locations, and the workflows,
-    datasets and models below them."""
-    own = locations.select("location_id", "owner_id")
-    chain = workflows.select("workflow_id", "location_id").join(own, "location_id")
-    out = location_owners(locations)
-    parts = [("Workflow", "workflow_id", chain)]
-    if datasets is not None:
-        parts.append(("Dataset", "dataset_id", datasets.select("dataset_id", "location_id").join(own, "location_id")))
-    if models is not None:
-        parts.append(("AnalyticalModel", "model_id", models.select("model_id", "workflow_id").join(chain, "workflow_id")))
-    for kind, key, df in parts:
-        out = out.unionByName(df.select(F.lit(kind).alias("object_type"), F.col(key).alias("object_id"), "owner_id"))
-    return out
-
-
 ACL_KEY = ["owner_id", "target_user_id", "object_type", "object_id"]
 
 
@@ -125,15 +109,15 @@ def acl_access(requests: DataFrame, object_owners: DataFrame, acl: DataFrame) ->
     ``as_of``.  A grant is unexpired iff the latest expiry for (user, object)
     is later than ``as_of``, so the ACL is first reduced to one row per key
     (small, map-side combined) and joined once -- no row duplication."""
-    own = requests.join(object_owners, ["object_type", "object_id"], "left") \
-        .withColumn("is_owner", F.coalesce(F.col("owner_id") == F.col("user_id"), F.lit(False))) \
-        .drop("owner_id")
+    who = ["user_id", "object_type", "object_id"]
+    owns = object_owners.select(F.col("owner_id").alias("user_id"), "object_type", "object_id", F.lit(True).alias("owns"))
     latest = (acl.groupBy(F.col("target_user_id").alias("user_id"), "object_type", "object_id")
               .agg(F.max("expiration").alias("latest_expiry")))
-    j = own.join(latest, ["user_id", "object_type", "object_id"], "left")
+    # both joins are on the user as well, so a hot object is dealt by its users
+    j = requests.join(owns, who, "left").join(latest, who, "left")
+    is_owner = F.coalesce("owns", F.lit(False))
     granted = F.coalesce(F.col("latest_expiry") > F.col("as_of"), F.lit(False))
-    return j.select("request_id", "user_id", "object_type", "object_id", "is_owner",
-                    (F.col("is_owner") | granted).alias("allowed"))
+    return j.select("request_id", *who, is_owner.alias("is_owner"), (is_owner | granted).alias("allowed"))
 
 
 # -------------------------------------------------------------- integrity
@@ -148,14 +132,6 @@ def has_fitted_model(locations: DataFrame, workflows: DataFrame, models: DataFra
             .select("location_id", F.coalesce("has_fitted_model", F.lit(False)).alias("has_fitted_model")))
 
 
-def integrity(objects: DataFrame, key: str, models: DataFrame) -> DataFrame:
-    """R8 for workflows or datasets (``key``: workflow_id, dataset_id): does any
-    model of theirs have a fitted artifact?"""
-    fitted = models.where(F.col("fitted")).select(key).distinct().withColumn("has_fitted_model", F.lit(True))
-    return (objects.select(key).join(fitted, key, "left")
-            .select(key, F.coalesce("has_fitted_model", F.lit(False)).alias("has_fitted_model")))
-
-
 def versioned_update(table: DataFrame, updates: DataFrame, protected: DataFrame, key: str,
                      order: str | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """Apply updates (same columns as ``table``, and ``order`` if given);
@@ -186,29 +162,10 @@ def versioned_update(table: DataFrame, updates: DataFrame, protected: DataFrame,
 
 def cascade_delete(deleted_locations: DataFrame, workflows: DataFrame, models: DataFrame
                    ) -> tuple[DataFrame, DataFrame]:
-    """Removing locations removes their workflows and those models."""
-    out = cascade({"locations": deleted_locations, "workflows": workflows, "models": models}, deleted_locations)
-    return out["workflows"], out["models"]
-
-
-#: Child tables and the table and column they hang on.
-CHILDREN = (("workflows", "locations", "location_id"), ("datasets", "locations", "location_id"), ("models", "workflows", "workflow_id"),
-            ("configs", "workflows", "workflow_id"), ("location_metadata", "locations", "location_id"),
-            ("workflow_metadata", "workflows", "workflow_id"), ("dataset_metadata", "datasets", "dataset_id"),
-            ("model_data", "models", "model_id"), ("results", "models", "model_id"))
-
-
-def cascade(tables: dict[str, DataFrame], deleted_locations: DataFrame) -> dict[str, DataFrame]:
-    """R10 over all child tables given: what is left of each (locations
-    themselves are left alone).  A row goes when the row it hangs on goes."""
-    gone = {"locations": deleted_locations.select("location_id").distinct()}
-    left = dict(tables)
-    for name, parent, fk in CHILDREN:
-        if name in tables and parent in gone:
-            keys = gone[parent].select(fk)
-            left[name] = tables[name].join(keys, fk, "left_anti")
-            gone[name] = tables[name].join(keys, fk, "left_semi")
-    return left
+    """Removing locations removes their workflows and those models (all
+    tables: ``keys.REGISTRY.cascade``)."""
+    out = REGISTRY.cascade({"workflow": workflows, "analytical_model": models}, "location", deleted_locations)
+    return out["workflow"], out["analytical_model"]
 
 
 # -------------------------------------------------------------- run status

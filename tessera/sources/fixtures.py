@@ -7,6 +7,8 @@ grows with them, plus the same definition as SQL text that DuckDB can run
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +156,48 @@ OWNERS_SQL = """
 select cast(r_regionkey as bigint) as owner_id, r_name as name from region
 """
 
+# The other tables of the registry.  Datasets are parts, in the workflow of the
+# customer with key p_partkey mod 100; what hangs on models are line items, what
+# hangs on workflows and datasets are events, line items and suppliers.
+REGISTRY_SQL = {
+    "user": "select cast(r_regionkey as bigint) as user_id from region",
+    "location": LOCATIONS_SQL,
+    "workflow": WORKFLOWS_SQL,
+    "analytical_model": MODELS_SQL,
+    "dataset": "select p_partkey as dataset_id, p_partkey % 100 as workflow_id, p_name as name, p_type as data from part",
+    "location_metadata": "select cast(s_nationkey as bigint) as base_id, s_name as name, s_acctbal as value from supplier",
+    "workflow_results": "select l_suppkey as workflow_id, l_partkey as dataset_id, l_shipdate as timestamp from lineitem",
+    "preprocessing_config": "select user_id as workflow_id, event_type as name, props as config from events",
+    "model_metadata": "select l_orderkey as base_id, l_returnflag as name, l_tax as value from lineitem",
+    "model_data": "select l_orderkey as model_id, l_partkey as dataset, l_linestatus as name from lineitem",
+    "model_results": "select l_orderkey as model_id, l_partkey as dataset, l_extendedprice as result from lineitem",
+    "dataset_metadata": "select l_partkey as base_id, l_linestatus as name, l_quantity as value from lineitem",
+    "access_control_list": "select event_id % 7 as owner_id, user_id % 11 as target_user_id, event_id as object_id, event_type as object_type from events",
+}
+
+
+def registry(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All registry tables, from the same SQL as the oracles."""
+    names = ("region", "nation", "customer", "orders", "part", "supplier", "lineitem", "events")
+    return {t: spark.sql(re.sub(r"\bfrom (\w+)", lambda m: "from {" + m.group(1) + "}" if m.group(1) in names else m.group(0), q),
+                         **{n: table(spark, sf_dir, n) for n in names if re.search(rf"\bfrom {n}\b", q)})
+            for t, q in REGISTRY_SQL.items()}
+
+
+# Grant requests on objects of all four types, by event_id mod 4.
+OBJECT_REQUESTS_SQL = """
+select event_id as request_id, cast(event_id % 5 as bigint) as grantor_id, user_id as target_user_id,
+       case event_id % 4 when 0 then 'Location' when 1 then 'Workflow' when 2 then 'Dataset' else 'AnalyticalModel' end as object_type,
+       cast(case event_id % 4 when 0 then user_id % 25 when 1 then user_id % 40 when 2 then user_id % 60 else user_id % 80 end as bigint) as object_id,
+       ts, case when event_type = 'view' then 'READ' else 'WRITE' end as access_type
+from events
+"""
+
+
+def object_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(OBJECT_REQUESTS_SQL.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+
+
 # Grant requests: every event asks to grant its user access to one location.
 # Fixed derivation rules: grantor = event_id mod 5, location = user_id mod 25,
 # expiry = ts + 7 days, access 'READ' for view events else 'WRITE'.

@@ -97,20 +97,9 @@ def test_writes_of_null_replace(spark):
     assert got == {"message": (None, 5), "status": ("x", 2)}
 
 
-def test_four_object_types_and_cascade(spark):
+def test_list_children_of_a_parent(spark):
     locs = spark.createDataFrame([(1, 7), (2, 8)], "location_id long, owner_id long")
     wfs = spark.createDataFrame([(10, 1), (11, 2)], "workflow_id long, location_id long")
-    dss = spark.createDataFrame([(20, 1), (21, 2)], "dataset_id long, location_id long")
-    mods = spark.createDataFrame([(30, 10, 20, True), (31, 11, 21, False)], "model_id long, workflow_id long, dataset_id long, fitted boolean")
-    own = {(r.object_type, r.object_id): r.owner_id for r in R.object_owners(locs, wfs, dss, mods).collect()}
-    assert own == {("Location", 1): 7, ("Location", 2): 8, ("Workflow", 10): 7, ("Workflow", 11): 8, ("Dataset", 20): 7, ("Dataset", 21): 8,
-                   ("AnalyticalModel", 30): 7, ("AnalyticalModel", 31): 8}
-    assert {r.workflow_id: r.has_fitted_model for r in R.integrity(wfs, "workflow_id", mods).collect()} == {10: True, 11: False}
-    assert {r.dataset_id: r.has_fitted_model for r in R.integrity(dss, "dataset_id", mods).collect()} == {20: True, 21: False}
-    res = spark.createDataFrame([(30, 0.5), (31, 0.6)], "model_id long, score double")
-    meta = spark.createDataFrame([(20, "a"), (21, "b")], "dataset_id long, name string")
-    left = R.cascade({"workflows": wfs, "datasets": dss, "models": mods, "results": res, "dataset_metadata": meta}, locs.where("location_id = 1"))
-    assert {k: df.count() for k, df in left.items()} == {"workflows": 1, "datasets": 1, "models": 1, "results": 1, "dataset_metadata": 1}
     kids = R.list_children(wfs, locs.where("location_id = 2"), fk="location_id", pk="location_id")
     assert [r.workflow_id for r in kids.collect()] == [11]
 
