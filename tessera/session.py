@@ -63,10 +63,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's tables in the shared folder; other applications that share
+    it have folders of their own."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tessera-tables/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique table path inside the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tessera-tables/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
@@ -79,7 +84,7 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes every table that this library wrote below the shared folder; for
+    """Deletes every table that this application wrote below the shared folder; for
     the end of a session, when no lazy frame reads them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/tessera-tables")
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

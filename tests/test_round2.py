@@ -114,8 +114,12 @@ def test_run_log_writer(spark):
 
 def test_scratch_tables_can_be_cleared(spark):
     from tessera.session import clear_scratch, scratch_table
+    from tessera.session import checkpoint_dir
     t = scratch_table(spark.range(3), "clear")
+    other = f"{checkpoint_dir(spark).rstrip('/')}/tessera-tables/another-application/t"
+    spark.range(2).write.parquet(other)
     assert t.count() == 3
     clear_scratch(spark)
     with pytest.raises(Exception):
         t.count()
+    assert spark.read.parquet(other).count() == 2
