@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, table
-from tessera.llm.graph import block_pairs, blocked, components_of, connected_components, map_units
+from tessera.llm.graph import block_pairs, blocked, bridges, components_of, connected_components, map_units
 
 THRESHOLD = 0.95
 TREES = 10
@@ -132,10 +132,10 @@ def _near(threshold: float):
 
 
 def _verified(threshold: float):
-    """In a unit: (id, n, to): links of each class there, and a connecting pair."""
+    """In a unit: (id, sub, n, to): links of each class there, and a connecting pair."""
 
     def fn(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, side, weight = (t[c].to_numpy() for c in ("id", "side", "weight"))
+        ids, side, weight, sub = (t[c].to_numpy() for c in ("id", "side", "weight", "sub"))
         x = _unit(_matrix(t["vec"], np.float64))
         link = x @ x.T >= threshold
         if (side != side[0]).any():
@@ -144,7 +144,7 @@ def _verified(threshold: float):
         n = link @ weight.astype(np.int64)
         some = np.flatnonzero(n)
         if len(some):
-            yield pa.RecordBatch.from_arrays([ids[some], n[some], ids[components_of(link)[some]]], names=["id", "n", "to"])
+            yield pa.RecordBatch.from_arrays([ids[some], sub[some], n[some], ids[components_of(link)[some]]], names=["id", "sub", "n", "to"])
 
     return fn
 
@@ -158,15 +158,17 @@ def embedding_near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: s
     columns are ignored).  Null, empty or zero vectors, and those with null or
     non-finite components, link with nothing; so do vectors of different
     lengths with each other.  A null id has a null component and is kept.
-    Repeated rows link with each other.  An empty table gives no rows."""
+    Repeated rows link with each other.  Rows that share an id but not the vector
+    count their own links, and are one node of the graph.  An empty table gives no
+    rows."""
     scratch = Scratch(spark, "embeddings")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     usable = scratch.write(
         usable_vectors(rows).select("id", "vec", F.length("vec").alias("len"), F.xxhash64("vec").alias("h1"),
                                     F.xxhash64("vec", F.lit(1)).alias("h2")), "vectors")
     classes = scratch.write(
-        usable.groupBy("len", "h1", "h2").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.count("*").alias("weight")),
-        "classes")
+        usable.groupBy("len", "h1", "h2").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.count("*").alias("weight"))
+        .withColumn("sub", F.col("h1")), "classes")
     found = None
     for size, n in classes.groupBy("len").count().orderBy("len").collect():
         own = classes.where(F.col("len") == size)
@@ -181,12 +183,12 @@ def embedding_near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: s
                     x = _single(batch.column(1))
                     for i, tree in enumerate(forest.value):
                         row, node = tree.leaves(x)
-                        yield pa.RecordBatch.from_arrays([pa.array((np.int64(i) << 48) + node), batch.column(0).take(pa.array(row))],
-                                                         names=["grp", "id"])
+                        yield pa.RecordBatch.from_arrays([pa.array((np.int64(i) << 48) + node), *(batch.column(c).take(pa.array(row)) for c in (0, 2))],
+                                                         names=["grp", "id", "sub"])
 
-        leaves = own.select("id", "vec").mapInArrow(route, "grp long, id long")
+        leaves = own.select("id", "vec", "sub").mapInArrow(route, "grp long, id long, sub long")
         units = block_pairs(blocked(leaves.withColumn("one", F.lit(1)), 4 * block, 1 << 40, "one").drop("one"))
-        near = scratch.write(map_units(units.join(own.select("id", "vec"), "id").select("grp", "bi", "bj", "side", "id", "vec"),
+        near = scratch.write(map_units(units.join(own.select("id", "sub", "vec"), ["id", "sub"]).select("grp", "bi", "bj", "side", "id", "sub", "vec"),
                                        _near(threshold), "u long, v long"), f"near{size}")
         found = near if found is None else found.unionByName(near)
     if found is None:
@@ -194,10 +196,12 @@ def embedding_near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: s
     region = connected_components(spark, found, scratch)
     members = blocked(region.select(F.col("component").alias("grp"), "id").withColumn("one", F.lit(1)), block, 1 << 40, "one").drop("one")
     links = scratch.write(map_units(
-        block_pairs(members).join(classes.select("id", "vec", "weight"), "id").select("grp", "bi", "bj", "side", "id", "vec", "weight"),
-        _verified(threshold), "id long, n long, to long"), "links")
-    comp = connected_components(spark, links.select(F.col("to").alias("u"), F.col("id").alias("v")), scratch)
-    held = (classes.drop("vec").join(links.groupBy("id").agg(F.sum("n").alias("n")), "id", "left")
+        block_pairs(members).join(classes.select("id", "sub", "vec", "weight"), "id").select("grp", "bi", "bj", "side", "id", "sub", "vec", "weight"),
+        _verified(threshold), "id long, sub long, n long, to long"), "links")
+    own_class = usable.select(F.col("id").alias("did"), "len", "h1", "h2").join(
+        classes.select("len", "h1", "h2", F.col("id").alias("class_id")), ["len", "h1", "h2"]).select("did", "class_id")
+    comp = connected_components(spark, links.select(F.col("to").alias("u"), F.col("id").alias("v")).unionByName(bridges(own_class)), scratch)
+    held = (classes.drop("vec").join(links.groupBy("id", "sub").agg(F.sum("n").alias("n")), ["id", "sub"], "left")
             .join(comp, "id", "left")
             .select("len", "h1", "h2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
                     F.coalesce("component", "id").alias("component_id")))

@@ -45,6 +45,13 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     return out
 
 
+def bridges(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) that hold the classes of one id together.  rows: did, class_id;
+    only ids that lie in several classes give edges."""
+    spread = rows.groupBy("did").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most").select("did")
+    return rows.join(spread, "did").select(F.col("class_id").alias("u"), F.col("did").alias("v")).where("u <> v").distinct()
+
+
 def components_of(link: np.ndarray) -> np.ndarray:
     """Smallest reachable index for each row of a symmetric boolean matrix."""
     n = len(link)
@@ -82,9 +89,10 @@ def block_pairs(members: DataFrame) -> DataFrame:
 
 def map_units(units: DataFrame, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Calls fn once for each (grp, bi, bj); a unit's size is bounded by blocked().
-    Of rows repeating an id on one side of a unit, one is passed on."""
+    Of rows repeating an (id, sub) on one side of a unit, one is passed on: sub tells
+    apart what shares an id."""
     keys = ["grp", "bi", "bj"]
-    order = [*keys, "side", "id"]
+    order = [*keys, "side", "id", "sub"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, keyed_texts, table
-from tessera.llm.graph import block_pairs, blocked, components_of, connected_components, map_units
+from tessera.llm.graph import block_pairs, blocked, bridges, components_of, connected_components, map_units
 from tessera.llm.hashing import chunks, grams, mix, signed, word_hashes
 
 SHINGLE = 5
@@ -228,7 +228,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     class_id (smallest doc_id of the same set), component_id, kept.  A null or
     wordless text has an empty set and links with nothing.  A null doc_id links
     with nothing, has a null component and is kept.  Rows that share a doc_id are
-    one node of the graph.  An empty table gives no rows."""
+    one node of the graph, whatever their texts: what is linked with any of them is
+    linked through it.  An empty table gives no rows."""
     scratch = Scratch(spark, "minhash")
     seen = scratch.write(sketch(docs, k, trees, values), "sketch")
     usable = seen.where("n_shingles > 0 and did is not null")
@@ -245,7 +246,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
 
     def links(units: DataFrame, step: str) -> DataFrame:
         # sorted merge at every size, so that small inputs shuffle as large ones do
-        full = units.hint("merge").join(texts, ["id", "tkey"]).select("grp", "bi", "bj", "side", "id", "body")
+        full = units.hint("merge").join(texts, ["id", "tkey"]).select("grp", "bi", "bj", "side", "id", F.col("tkey").alias("sub"), "body")
         return scratch.write(map_units(full, _links(percent, k), "u long, v long"), step)
 
     # every block with itself and with block 0, the hub
@@ -258,7 +259,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
         large = scratch.write(large.join(own, "id", "left").withColumn("component", F.coalesce("component", "id")), "large")
         giant = (large.groupBy("grp", "component").agg(F.count("*").alias("n"))
                  .groupBy("grp").agg(F.max_by("component", "n").alias("giant")))
-        rest = large.join(giant, "grp").where("component <> giant").drop("n_blocks", "block")
+        # an id of several classes stands in one component though only some of them were linked there
+        shared = large.groupBy("grp", "id").agg(F.count("*").alias("same")).where("same > 1")
+        rest = (large.join(giant, "grp").join(shared, ["grp", "id"], "left").where("component <> giant or same > 1")
+                .drop("n_blocks", "block", "same"))
         rest = scratch.write(blocked(rest, block, BLOCK_SHINGLES, "n_shingles"), "rest")
         n_rest = rest.groupBy("grp").agg(F.max("n_blocks").alias("n_rest"))
         n_all = large.groupBy("grp").agg(F.max("n_blocks").alias("n_all"))
@@ -267,10 +271,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
         b = (large.join(n_rest, "grp").withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)))
              .select("grp", "bi", F.col("block").alias("bj"), F.lit(1).alias("side"), "id", "tkey"))
         edges = edges.unionByName(links(a.unionByName(b), "links2"))
-    joined = connected_components(spark, edges, scratch).select(F.col("id").alias("class_id"), "component")
-    held = classes.select("h1", "h2", "n_shingles", F.col("rid").alias("class_id")).join(joined, "class_id", "left").select(
-        "h1", "h2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    linked = usable.select("did", "n_shingles", "h1", "h2").join(held, ["h1", "h2", "n_shingles"])
+    rows = scratch.write(usable.select("did", "n_shingles", "h1", "h2").join(
+        classes.select("h1", "h2", "n_shingles", F.col("rid").alias("class_id")), ["h1", "h2", "n_shingles"])
+        .select("did", "n_shingles", "class_id"), "rows")
+    joined = connected_components(spark, edges.unionByName(bridges(rows)), scratch).select(F.col("id").alias("class_id"), "component")
+    linked = rows.join(joined, "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     alone = seen.where("n_shingles = 0 or did is null").withColumns({"class_id": F.col("did"), "component_id": F.col("did")})
     cols = [F.col("did").alias("doc_id"), "n_shingles", "class_id", "component_id",
             F.coalesce(F.col("did") == F.col("component_id"), F.lit(True)).alias("kept")]

@@ -269,3 +269,61 @@ def test_query_digest(spark, tmp_path):
     got = {r.doc_id: r for r in substring_dedup.op1_substring_dedup(spark, str(tmp_path)).collect()}
     assert got[1].kept_sha256 == hashlib.sha256(b"A b c").hexdigest() and got[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert df.select(F.sha2("text", 256)).first()[0] == hashlib.sha256(b"A b  c").hexdigest()
+
+
+def linked_components(rows, near):
+    """Smallest id reachable per id; rows that share an id are one node."""
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, (i, x) in enumerate(rows):
+        for j, y in rows[:a]:
+            if near(x, y):
+                u, v = find(i), find(j)
+                parent[max(u, v)] = min(u, v)
+    return {i: find(i) for i in parent}
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_reused_ids_keep_the_links_of_all_their_texts(spark, block):
+    rng = random.Random(block)
+    rows, base = [], 0
+    for group in range(12):
+        texts_ = [[f"g{group}t{t}w{rng.randrange(10**6)}" for _ in range(120)] for t in range(4)]
+        for _ in range(10):
+            t = list(rng.choice(texts_))
+            if rng.random() < 0.7:
+                t[rng.randrange(120)] = f"new{rng.randrange(10**6)}"
+            rows.append((base + rng.randrange(6), " ".join(t)))
+        base += 10
+    rows += [(1000, "a b c d e f g " * 20), (1000, "p q r s t u v " * 20), (1001, "a b c d e f g " * 20), (1002, "p q r s t u v " * 20)]
+    shingles = [(i, {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)}) for i, t in rows]
+    want = linked_components(shingles, lambda x, y: 100 * len(x & y) >= 85 * len(x | y))
+    got = minhash_forest.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+    assert want[1001] == want[1002] == 1000 and len(set(want.values())) < len(want)
+
+
+def test_reused_ids_keep_the_links_of_all_their_vectors(spark):
+    at = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))]
+    rows = [(1, at(0)), (1, at(86)), (2, at(2.9)), (3, at(88.8))]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embedding_forest.embedding_near_duplicates(
+        spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 1)}
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 16))
+    rows = [(int(rng.integers(0, 60)), (centers[rng.integers(0, 30)] + rng.normal(size=16) * 0.12).tolist()) for _ in range(150)]
+    rows += [(70, rows[0][1]), (70, rows[1][1]), (71, rows[2][1]), (71, rows[2][1])]
+
+    def near(x, y):
+        return np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95
+
+    comp = linked_components(rows, near)
+    want = sorted((i, sum(near(x, y) for k, (_, y) in enumerate(rows) if k != n), comp[i]) for n, (i, x) in enumerate(rows))
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_forest.embedding_near_duplicates(
+        spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect())
+    assert got == want
