@@ -1,10 +1,15 @@
 """Hierarchical multi-length packing.
 
 A document's tokens are cut into full windows and one rest.  Rests are routed to
-context-size tiers (512, 1024, 2048, 4096 tokens), tiers are packed from the
-longest: the longest tier opens windows, shorter tiers fill their gaps by best
-fit before they open windows of their own.  Sequences are then dealt to step
-groups so that groups cost about the same.
+context-size tiers (512, 1024, 2048, 4096 tokens) and each tier is packed into
+windows of its own size.  Longest pieces go first: a piece takes the open window
+that it leaves the least gap in, of its own or a longer tier, so gaps of longer
+windows are filled from shorter tiers, and opens a window of its own tier only
+where none has room.  A window that ends up full is a sequence of its tier's
+length.  The others are put together, again the longest first and where the
+least gap is left, into sequences of the longest tier, which are the only ones
+with padding.  Sequences of a tier are dealt to step groups so that groups cost
+about the same.
 
 Tokens are counted and checked where the text is read; what is shuffled is a
 narrow row per piece.  Pieces are dealt to bins of about ``bin_pieces`` by a
@@ -121,27 +126,74 @@ def token_ids(path: str, texts: list[bytes]) -> Iterator[bytes]:
         yield b"".join((*parts, END_ID.to_bytes(4, "little")))
 
 
-def pack_lengths(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset for each length (1 to window)."""
-    seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    tier = np.searchsorted(np.array(tiers), lengths)
-    open_by_gap: list[list[int]] = [[] for _ in range(window + 1)]
-    mask, n = 0, 0  # bit g of mask: some open window has a gap of g
-    for i in np.lexsort((np.arange(len(lengths)), -lengths, -tier)):
+class _Gaps:
+    """Open windows by gap; the one with the least gap that has room comes first."""
+
+    def __init__(self, most: int):
+        self.by_gap: list[list[int]] = [[] for _ in range(most + 1)]
+        self.mask = 0  # bit g: some open window has a gap of g
+
+    def take(self, size: int) -> tuple[int, int] | None:
+        """(window, its gap) of the tightest fit, taken out; None without one."""
+        fit = self.mask >> size
+        if not fit:
+            return None
+        gap = size + (fit & -fit).bit_length() - 1
+        w = self.by_gap[gap].pop()
+        if not self.by_gap[gap]:
+            self.mask &= ~(1 << gap)
+        return w, gap
+
+    def put(self, w: int, gap: int) -> None:
+        if gap:
+            self.by_gap[gap].append(w)
+            self.mask |= 1 << gap
+
+
+def tier_windows(lengths: np.ndarray, tiers: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window, offset) of each length, and (size, tokens) of each window.  Windows
+    have the size of the tier of their first, longest length."""
+    sizes = np.array(tiers)[np.searchsorted(np.array(tiers), lengths)]
+    at, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    gaps, window = _Gaps(tiers[-1]), []
+    for i in np.argsort(-lengths, kind="stable"):
         size = int(lengths[i])
-        fit = mask >> size
-        if fit:
-            gap = size + (fit & -fit).bit_length() - 1
-            s = open_by_gap[gap].pop()
-            if not open_by_gap[gap]:
-                mask &= ~(1 << gap)
-        else:
-            gap, s, n = window, n, n + 1
-        seq[i], off[i] = s, window - gap
-        if gap > size:
-            open_by_gap[gap - size].append(s)
-            mask |= 1 << (gap - size)
-    return seq, off
+        got = gaps.take(size)
+        if got is None:
+            got = len(window), int(sizes[i])
+            window.append(got[1])
+        w, gap = got
+        at[i], off[i] = w, window[w] - gap
+        gaps.put(w, gap - size)
+    window = np.array(window, np.int64)
+    return at, off, window, np.bincount(at, weights=lengths, minlength=len(window)).astype(np.int64)
+
+
+def pack_lengths(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence and offset for each length (1 to window), and the padded length of
+    each sequence: its tier's where it is full, else the window.  The window is a
+    tier whether or not it is given as one."""
+    lengths = np.asarray(lengths, np.int64)
+    tiers = tuple(sorted({t for t in tiers if 0 < t < window} | {window}))
+    at, off, size, used = tier_windows(lengths, tiers)
+    seq, shift = np.empty(len(size), np.int64), np.zeros(len(size), np.int64)
+    padded: list[int] = []
+    gaps = _Gaps(window)
+    alone = (used == size) | (size == window)
+    for w in np.flatnonzero(alone):
+        seq[w] = len(padded)
+        padded.append(int(size[w]))
+        gaps.put(int(seq[w]), int(size[w] - used[w]))
+    rest = np.flatnonzero(~alone)
+    for w in rest[np.argsort(-used[rest], kind="stable")]:
+        got = gaps.take(int(used[w]))
+        if got is None:
+            got = len(padded), window
+            padded.append(window)
+        s, gap = got
+        seq[w], shift[w] = s, window - gap
+        gaps.put(s, gap - int(used[w]))
+    return seq[at], off + shift[at], np.array(padded, np.int64)
 
 
 def step_groups(cost: np.ndarray, size: int) -> np.ndarray:
@@ -159,8 +211,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, window:
     """Pack documents into sequences of at most ``window`` tokens.
 
     docs: doc_id, text (other columns are ignored).  One row per piece: doc_id,
-    start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group
-    (and ids as little-endian 32-bit bytes, if asked for).  A null or empty text
+    start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the length its
+    sequence is padded to), step_group, of sequences of one tier (and ids as
+    little-endian 32-bit bytes, if asked for).  A null or empty text
     is the end token alone.  Repeated rows are documents of their own; a null id
     stays null.  An empty table gives no rows."""
     scratch = Scratch(spark, "packing")
@@ -188,13 +241,16 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, window:
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("piece")
         lengths = t["length"].to_numpy()
-        seq, off = pack_lengths(lengths, window, tiers)
+        seq, off, padded = pack_lengths(lengths, window, tiers)
         base = key[0].as_py() << 32
         cost = np.bincount(seq, weights=lengths.astype(float) ** 2)
+        group, begun = np.empty(len(padded), np.int64), 0
+        for tier in np.unique(padded):
+            own = np.flatnonzero(padded == tier)
+            group[own] = begun + step_groups(cost[own], step)
+            begun = int(group[own].max()) + 1
         cols = {c: t[c] for c in names if c in t.column_names} | {
-            "sequence_id": pa.array(base + seq), "offset": pa.array(off),
-            "tier": pa.array(np.array(tiers, np.int64)[np.searchsorted(np.array(tiers), lengths)]),
-            "step_group": pa.array(base + step_groups(cost, step)[seq])}
+            "sequence_id": pa.array(base + seq), "offset": pa.array(off), "tier": pa.array(padded[seq]), "step_group": pa.array(base + group[seq])}
         return pa.table({c: cols[c] for c in names})
 
     schema = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names)
@@ -202,6 +258,13 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, window:
             .drop(*[] if with_ids else ["ids"]).groupBy("bin").applyInArrow(pack, schema))
 
 
+def padding_by_tier(packed: DataFrame) -> DataFrame:
+    """(tier, sequences, tokens, padding) of packed pieces."""
+    per = packed.groupBy("sequence_id").agg(F.max("tier").alias("tier"), F.sum("length").alias("tokens"))
+    return per.groupBy("tier").agg(F.count(F.lit(1)).alias("sequences"), F.sum("tokens").alias("tokens"),
+                                   F.sum(F.col("tier") - F.col("tokens")).alias("padding"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")

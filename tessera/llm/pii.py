@@ -61,6 +61,16 @@ BEFORE = 24
 ACCEPT = 0.5
 
 
+#: Hits whose positions are summed up together.
+CHUNK = 128
+
+
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with value computed once a row: as a lambda's variable it is not
+    written out at every use."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -90,23 +100,47 @@ def found(text: Column, kind: str) -> Column:
     non-overlapping matches.  Starts (code points) are summed up from the text
     between the matches."""
     rule = (RULES | PROPOSED)[kind]
-    parts = F.arrays_zip(F.split(text, rule, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule), F.lit(0)).alias("hit"))
-    spot = "struct<start:int,text:string>"
-    empty = F.from_json(F.lit("[]"), f"array<{spot}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["gap"])
-        one = F.struct(at.alias("start"), x["hit"].alias("text"))
-        return F.struct((at + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("pos"),
-                        F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
-
-    spots = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+    # A hit starts behind the gaps and hits before it.  Sums, and the text around hits,
+    # are taken in slices of CHUNK hits, so the work grows in proportion to the hits
+    # and the text; a slice's own text has the ends of its gaps only.
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+    part = lambda x, k: F.slice(x, k * CHUNK + 1, F.lit(CHUNK))
+    tail = lambda x: F.right(x, F.lit(BEFORE))
+
+    def pieces(x: Column) -> Column:
+        """Slice by slice: hits, gaps, the widths of both, the ends of gaps, their text."""
+        count = F.greatest(F.ceil(F.size(x["hits"]) / CHUNK).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: bound(
+            F.struct(part(x["hits"], k).alias("hits"), part(x["gaps"], k).alias("gaps")),
+            lambda y: bound(F.transform(y["hits"], lambda h, i: F.struct(F.get(y["gaps"], i).alias("gap"), h.alias("hit"))),
+                            lambda z: F.struct(
+                                z.alias("z"),
+                                F.transform(z, lambda v: F.length(v["gap"]) + F.length(v["hit"])).alias("wide"),
+                                F.transform(z, lambda v: F.length(tail(v["gap"])) + F.length(v["hit"])).alias("near"),
+                                F.array_join(F.transform(z, lambda v: F.concat(tail(v["gap"]), v["hit"])), "").alias("text")))))
+
+    def spots_of(x: Column) -> Column:
+        """x: gaps, hits, slices and the slices' widths."""
+        return F.flatten(F.transform(x["slices"], lambda y, k: bound(
+            F.struct(total(F.slice(x["sums"], F.lit(1), k)).alias("at"), tail(F.coalesce(F.get(x["slices"], k - 1)["text"], F.lit(""))).alias("lead"), y.alias("y")),
+            lambda w: bound(F.concat(w["lead"], w["y"]["text"]), lambda around: F.transform(w["y"]["z"], lambda v, i: bound(
+                F.struct((total(F.slice(w["y"]["wide"], F.lit(1), i)) + F.length(v["gap"])).alias("wide"),
+                         (F.length(w["lead"]) + total(F.slice(w["y"]["near"], F.lit(1), i)) + F.length(tail(v["gap"]))).alias("near"),
+                         (k * CHUNK + i + 1).alias("next")),
+                lambda n: F.struct(
+                    (w["at"] + n["wide"]).alias("start"), v["hit"].alias("text"),
+                    around.substr(F.greatest(n["near"] - BEFORE, F.lit(0)) + 1, F.least(n["near"], F.lit(BEFORE))).alias("before"),
+                    F.left(F.concat(F.coalesce(F.get(x["gaps"], n["next"]), F.lit("")), F.coalesce(F.get(x["hits"], n["next"]), F.lit(""))),
+                           F.lit(1)).alias("after"))))))))
+
+    read = F.struct(F.split(text, rule, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(rule), F.lit(0)).alias("hits"))
+    spots = bound(read, lambda x: bound(pieces(x), lambda p: bound(
+        F.struct(x["gaps"].alias("gaps"), x["hits"].alias("hits"), p.alias("slices"), F.transform(p, lambda y: total(y["wide"])).alias("sums")), spots_of)))
     if kind in VALID:
         spots = F.filter(spots, lambda s: VALID[kind](s["text"]))
     full = F.transform(spots, lambda s: F.struct(
         F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text"),
-        text.substr(F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE))).alias("before"),
-        text.substr(s["start"] + F.length(s["text"]) + 1, F.lit(1)).alias("after")))
+        s["before"].alias("before"), s["after"].alias("after")))
     none = F.from_json(F.lit("[]"), "array<struct<kind:string,start:int,end:int,text:string,before:string,after:string>>")
     return F.when(_GUARD[kind](text), full).otherwise(none)
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, decontaminate, packing, pii, quality, toxicity
 
@@ -52,16 +53,51 @@ def test_packing_empty_table(spark):
     assert packing.pack_documents(spark, spark.createDataFrame([], "doc_id long, text string"), packing.tokenizer_path()).count() == 0
 
 
-def test_pack_lengths_little_padding_and_balance():
+@pytest.mark.parametrize("tiers", [packing.TIERS, (4096,), (512, 4096), (7, 99, 1234)])
+def test_pack_lengths_little_padding_and_balance(tiers):
     rng = np.random.default_rng(1)
     lengths = np.concatenate([np.full(50, 4096), rng.integers(1, 4096, 3000), rng.integers(1, 300, 3000)])
-    seq, off = packing.pack_lengths(lengths)
+    seq, off, padded = packing.pack_lengths(lengths, 4096, tiers)
     total = np.bincount(seq, lengths)
-    assert total.max() <= 4096 and total.sum() / (4096 * len(total)) > 0.99
-    cost = np.bincount(seq, lengths.astype(float) ** 2)
-    g = packing.step_groups(cost, 32)
-    load = np.bincount(g, cost) / np.bincount(g)
-    assert load.max() / load.min() < 1.1
+    assert (total <= padded).all() and set(padded) <= {*tiers, 4096}
+    assert (total == padded)[padded < 4096].all()  # only the longest sequences have padding
+    assert total.sum() / padded.sum() > 0.99
+    order = np.lexsort((off, seq))
+    follows = np.append(0, (off + lengths)[order][:-1]) * np.append(False, np.diff(seq[order]) == 0)
+    assert (off[order] == follows).all()  # gapless from 0
+    for tier in set(padded):
+        cost = np.bincount(seq, lengths.astype(float) ** 2)[padded == tier]
+        g = packing.step_groups(cost, 32)
+        load = np.bincount(g, cost) / np.bincount(g)
+        assert load.max() / load.min() < 1.5 and (tier < 4096 or load.max() / load.min() < 1.1)
+
+
+def test_tiers_are_packed_by_themselves():
+    """Each tier opens windows of its size, gaps of longer windows take shorter
+    pieces, windows that stay open are put together."""
+    at, off, size, used = packing.tier_windows(np.array([3000, 1000, 96, 400, 112, 900, 30]), (512, 1024, 2048, 4096))
+    assert size.tolist() == [4096, 1024, 512] and used.tolist() == [3000 + 1000 + 96, 900 + 30, 400 + 112]
+    assert at.tolist() == [0, 0, 0, 2, 2, 1, 1] and off.tolist() == [0, 3000, 4000, 0, 400, 0, 900]
+    several = {t: packing.pack_lengths(np.random.default_rng(2).integers(1, 4096, 500), 4096, t)[0].tolist()
+               for t in ((4096,), (512, 4096), (512, 1024, 2048, 4096))}
+    assert len({tuple(v) for v in several.values()}) == 3
+    empty = packing.pack_lengths(np.array([], int))
+    assert [len(x) for x in empty] == [0, 0, 0]
+
+
+def test_packed_tiers_and_groups(spark):
+    docs = [(i, rnd(i, 20 + 37 * (i % 60))) for i in range(200)]
+    out = packing.pack_documents(spark, spark.createDataFrame(docs, "doc_id long, text string"), packing.tokenizer_path(), step=4)
+    rows = out.collect()
+    tier, group, used = {}, {}, {}
+    for r in rows:
+        assert tier.setdefault(r.sequence_id, r.tier) == r.tier
+        assert group.setdefault(r.step_group, r.tier) == r.tier  # groups have sequences of one tier
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert len(set(tier.values())) > 1
+    want = {t: (sum(1 for v in tier.values() if v == t), sum(n for s, n in used.items() if tier[s] == t)) for t in set(tier.values())}
+    assert {r.tier: (r.sequences, r.tokens) for r in packing.padding_by_tier(out).collect()} == want
+    assert all(r.padding == r.tier * r.sequences - r.tokens for r in packing.padding_by_tier(out).collect())
 
 
 def test_memo_may_be_emptied(monkeypatch):
@@ -382,3 +418,30 @@ def test_native_plans_have_no_python(spark, sf_tiny, capsys):
     for name in ("op2_chat_fingerprint", "op10_pii_weak_supervision"):
         C.QUERIES[name](spark, sf_tiny).explain()
         assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_many_hits_in_one_text(spark):
+    """Positions and surroundings across slices of hits, beyond the BMP too, against
+    Python's re; fifty thousand hits take time in proportion."""
+    import time
+    rng = random.Random(3)
+    gaps = [" ", " 😀 ", "ü,", "; write to: ", " " * 40, "\n"]
+    small = "".join(f"u{i}@h{i % 7}.org" + rng.choice(gaps) for i in range(400)) + "1.2.3.4 5.6.7.8"
+    docs = spark.createDataFrame([(1, small)], "doc_id long, body string")
+    for kind in ("email", "ip"):
+        got = docs.select(pii.found(F.col("body"), kind).alias("s")).first().s
+        want = [m for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+" if kind == "email" else r"[0-9]+(?:\.[0-9]+){3}", small)]
+        assert [(s.start, s.end, s.text, s.before, s.after) for s in got] == [
+            (m.start(), m.end(), m.group(), small[max(0, m.start() - pii.BEFORE):m.start()], small[m.end():m.end() + 1]) for m in want]
+
+    def took(n):
+        text = " ".join(f"mail{i} user{i}@host{i % 7}.example.org ü" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, body string")
+        began = time.time()
+        last = df.select(F.element_at(pii.found(F.col("body"), "email"), -1).alias("s")).first().s
+        assert text[last.start:last.end] == f"user{n - 1}@host{(n - 1) % 7}.example.org"
+        return time.time() - began
+
+    took(50)
+    few, many = took(5000), took(50_000)
+    assert many < 10 * max(few, 1.0)
