@@ -82,15 +82,20 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _system() -> Column:
+    """A system column's text as the first turn, where there is one."""
+    return F.when(_col("system").isNotNull(), F.array(_turn("system", _col("system")))).otherwise(F.array().cast(TURNS))
+
+
 LAYOUTS = (
     Layout("message_row", (), ("role", "text"), lambda: F.array(_turn(_col("role"), _col("text")))),
-    Layout("messages", ("messages[].content", "messages[].role"), (),
-           lambda: F.transform(_col("messages"), lambda m: _turn(_canonical(m["role"]), m["content"]))),
+    Layout("messages", ("messages[].content", "messages[].role"), ("system",),
+           lambda: F.concat(_system(), F.transform(_col("messages"), lambda m: _turn(_canonical(m["role"]), m["content"])))),
     Layout("from_value", ("conversations[].from", "conversations[].value"), ("system",),
-           lambda: F.concat(F.when(_col("system").isNotNull(), F.array(_turn("system", _col("system")))).otherwise(F.array().cast(TURNS)),
+           lambda: F.concat(_system(),
                             F.transform(_col("conversations"), lambda m: _turn(_canonical(m["from"]), m["value"])))),
     Layout("instruction", ("instruction", "output"), ("input", "system"),
-           lambda: F.concat(F.when(_col("system").isNotNull(), F.array(_turn("system", _col("system")))).otherwise(F.array().cast(TURNS)),
+           lambda: F.concat(_system(),
                             F.array(_turn("user", F.concat_ws("\n", _col("instruction"), F.nullif(_col("input"), F.lit("")))),
                                     _turn("assistant", _col("output"))))),
     Layout("prompt_response", ("prompt", "response"), (),
@@ -135,26 +140,29 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
 
 def render(records: DataFrame, id_col: str, order_col: str | None = None, learn: tuple[str, ...] = ("assistant",),
            layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """One row per conversation: id, segments array<struct<text, loss>>, formatted.
+    """One row per conversation: id, layouts array<string>, segments
+    array<struct<text, loss>>, formatted.
 
     A record is a conversation, or one turn of it (rows of one id, in the order
     of order_col, then role and text).  ``formatted`` is all segments' text; loss
     marks the segments that are learned, texts of the ``learn`` roles.  Null
     roles and texts are empty; rows with a null id are one conversation with a
     null id; repeated rows are repeated turns; records of unknown layout have no
-    turns.  An empty table gives no rows."""
+    turns, and their conversation's ``layouts`` (the names met, sorted) holds
+    ``unknown``.  An empty table gives no rows."""
     order = _col(order_col) if order_col else F.lit(0)
     turn = canonical_turns(records, layouts).select(
-        _col(id_col).alias("id"), order.alias("ord"), F.posexplode("turns").alias("pos", "turn"))
-    sorted_turns = F.array_sort(F.collect_list(F.struct("ord", "pos", F.col("turn.role").alias("role"), F.col("turn.text").alias("text"))))
-    convs = turn.groupBy("id").agg(sorted_turns.alias("turns"))
+        _col(id_col).alias("id"), order.alias("ord"), F.coalesce("layout", F.lit("unknown")).alias("layout"), F.posexplode_outer("turns").alias("pos", "turn"))
+    one = F.struct("ord", "pos", F.col("turn.role").alias("role"), F.col("turn.text").alias("text"))
+    sorted_turns = F.array_sort(F.collect_list(F.when(F.col("turn").isNotNull(), one)))
+    convs = turn.groupBy("id").agg(sorted_turns.alias("turns"), F.array_sort(F.collect_set("layout")).alias("layouts"))
     part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     segments = F.flatten(F.transform("turns", lambda t: F.array(
         part(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")), F.lit(False)),
         part(escape(t["text"]), t["role"].isin(*learn)),
         part(F.lit(END + "\n"), F.lit(False)))))
-    return (convs.select("id", segments.alias("segments"))
-            .select(F.col("id").alias(id_col), "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted")))
+    return (convs.select("id", "layouts", segments.alias("segments"))
+            .select(F.col("id").alias(id_col), "layouts", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted")))
 
 
 def parse(formatted: Column) -> Column:

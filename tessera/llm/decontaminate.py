@@ -222,7 +222,8 @@ class SegmentIndex:
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, segment: int = SEGMENT,
                stride: int = STRIDE, rate: float = RATE, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """docs with ``leaks`` array<struct<item_id, edits, start, length>>: for each
+    """docs with ``leaks`` (a column of that name is replaced)
+    array<struct<item_id, edits, start, length>>: for each
     benchmark item of which a segment occurs in the text, the best occurrence
     (start in the normalised text).  An occurrence has at most rate * length
     edits (insertions, deletions, substitutions).

@@ -97,7 +97,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST, batches
     """Drop lines whose key (at least ``least`` code points) a smaller doc_id holds.
 
     docs: doc_id, text and any other columns.  Returns all of them with ``text``
-    deduplicated, plus line_stats struct<n_lines, n_dropped>.  A null text counts
+    deduplicated, plus line_stats struct<n_lines, n_dropped>, which replaces a
+    column of that name.  A null text counts
     as empty (one empty line); a null doc_id counts as smaller than all others;
     rows that share a doc_id are one holder, and keep the line together.  An
     empty table gives no rows."""
@@ -151,7 +152,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, least: int = LEAST, batches
     schema = T.StructType([joined.schema["row"], T.StructField("kept", T.StringType()),
                            T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(cut, schema).select(
-        *[F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns],
+        *[F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "line_stats"],
         F.struct("n_lines", "n_dropped").alias("line_stats"))
 
 

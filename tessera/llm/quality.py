@@ -2,11 +2,11 @@
 
 A logistic model on counts of the text gives each document's own evidence.
 Sites (``site`` column, e.g. a host) and sections of a site (``section``, e.g. a
-path or language) add what their other documents say: a site's rate is a beta
-posterior around the global rate, a section's one around its site's, with prior
-strengths estimated from the spread between groups (method of moments).  Sparse
-groups shrink to their parents.  A document's own evidence is left out of its
-group's rates.  All rates come from grouped sums; one site may hold any share of
+path or language) add what their other documents and their labels say: a site's
+rate is a posterior around the global rate, a section's one around its site's,
+with prior strengths estimated from the variance inside groups against the one
+between them (method of moments).  Sparse groups shrink to their parents.  A
+document's own evidence is left out of its group's rates.  All rates come from grouped sums; one site may hold any share of
 the rows.
 """
 
@@ -31,6 +31,8 @@ THRESHOLD = 0.5
 BROADCAST_GROUPS = 20_000
 #: Prior strength at most, and where groups do not differ.
 STRONGEST = 1e6
+#: Prior strength at least: a group is never taken at its word alone.
+WEAKEST = 1.0
 
 FEATURES = ("words", "distinct", "repeated", "word_bytes", "symbols", "digits", "capitals", "bars", "shouted", "marked", "line_words")
 #: Byte classes: 1 symbols, 2 digits, 3 capitals, 4 bars, 5 line ends.
@@ -113,20 +115,24 @@ def _with_features(docs: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, schema)
 
 
-def prior_strength(total: float, count: float, spread: float, groups: float, rate: float) -> float:
-    """Strength of a beta prior at ``rate`` for groups whose weighted squared
-    distances from it sum to ``spread``: what sampling alone would give is taken
-    off, the rest is the variance between groups."""
-    if groups < 2 or count <= groups or not 0 < rate < 1:
+def prior_strength(count: float, squares: float, groups: tuple[float, float, float]) -> float:
+    """Strength of a prior for group means, by the method of moments: the variance of
+    values inside groups over the variance between them (one-way analysis of
+    variance).  count: values; squares: their squared distances from their group's
+    mean; groups: number of groups, n-weighted squared distances of group means from
+    their prior's mean, sum of squared group sizes."""
+    number, spread, sizes = groups
+    if number < 2 or count <= number:
         return STRONGEST
-    noise = rate * (1 - rate)
-    between = (spread - groups * noise) / max(count - groups, 1.0)
-    return STRONGEST if between <= 0 else min(STRONGEST, max(1.0, noise / between - 1))
+    inside = squares / (count - number)
+    between = (spread - (number - 1) * inside) / max(count - sizes / count, 1e-9)
+    return STRONGEST if between <= 0 else min(STRONGEST, max(WEAKEST, inside / between))
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, site: str = "source", section: str = "lang",
                   sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with quality struct<evidence, site_rate, section_rate, score, kept>.
+    """docs with quality struct<evidence, site_rate, section_rate, score, kept>; a
+    column of docs of that name is replaced.
 
     docs: doc_id, text, the site and section columns and any others; labels:
     doc_id, quality (0, 1 or null: unlabelled).  A null site or section is a group
@@ -149,25 +155,42 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, site:
             z = z + F.lit(float(v)) * F.col("features")[i]
         return 1 / (1 + F.exp(-z))
 
-    sections = scratch.write(
-        narrow.select("site", "section", evidence().alias("p")).groupBy("site", "section")
-        .agg(F.count("*").alias("n"), F.sum("p").alias("s")), "sections")
-    sites = sections.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s"))
+    # What a group says: its labels, and its documents' evidence by how much that tells:
+    # evidence at the labels' own rate tells nothing and counts for nothing.
+    base = float(y.mean()) if len(y) and y.min() < y.max() else None
+
+    def weight(p: Column) -> Column:
+        if base is None:
+            return F.lit(1.0)
+        return F.greatest(F.lit(0.0), 1 - p * (1 - p) / F.lit(base * (1 - base)))
+
+    labelled = narrow.join(labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("did"), "quality"), "did")
+    values = narrow.select("site", "section", evidence().alias("v")).withColumn("w", weight(F.col("v"))).unionByName(
+        labelled.select("site", "section", F.col("quality").cast("double").alias("v"), F.lit(1.0).alias("w")))
+    sections = scratch.write(values.groupBy("site", "section").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("q")), "sections")
+    sites = sections.groupBy("site").agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s"), F.sum("q").alias("site_q"))
     n, s = sections.agg(F.sum("n"), F.sum("s")).first()
     rate = (s / n) if n else 0.5
     rate = min(1 - 1e-6, max(1e-6, rate))
-    g, spread = sites.agg(F.count("*"), F.sum(F.col("site_n") * F.pow(F.col("site_s") / F.col("site_n") - F.lit(rate), 2))).first()
-    strong = prior_strength(s, n or 0, spread or 0.0, g, rate)
+
+    def strength(of: DataFrame, size: str, total: str, square: str, prior: Column) -> float:
+        mean = F.col(total) / F.col(size)
+        got = of.where(F.col(size) > 0).agg(F.sum(size), F.sum(F.greatest(F.col(square) - F.col(total) * mean, F.lit(0.0))), F.count("*"),
+                     F.sum(F.col(size) * F.pow(mean - prior, 2)), F.sum(F.col(size).cast("double") * F.col(size))).first()
+        return prior_strength(got[0] or 0, got[1] or 0.0, (got[2], got[3] or 0.0, got[4] or 0.0))
+
+    strong = strength(sites, "site_n", "site_s", "site_q", F.lit(rate))
     both = sections.join(sites, "site").withColumn("site_rate", (F.col("site_s") + strong * rate) / (F.col("site_n") + strong))
-    g2, spread2 = both.agg(F.count("*"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("site_rate"), 2))).first()
-    strong2 = prior_strength(s, n or 0, spread2 or 0.0, g2, rate)
+    strong2 = strength(both, "n", "s", "q", F.col("site_rate"))
     rates = scratch.write(both.select("site", "section", "n", "s", "site_n", "site_s"), "rates")
     if rates.count() <= BROADCAST_GROUPS:
         rates = F.broadcast(rates)
     out = rows.select("row", *key, evidence().alias("p")).join(rates, ["site", "section"])
     # without the document's own evidence
-    out = out.withColumn("site_rate", (F.col("site_s") - F.col("p") + strong * rate) / (F.col("site_n") - 1 + strong))
-    out = out.withColumn("section_rate", (F.col("s") - F.col("p") + strong2 * F.col("site_rate")) / (F.col("n") - 1 + strong2))
+    own, told = weight(F.col("p")), weight(F.col("p")) * F.col("p")
+    out = out.withColumn("site_rate", (F.col("site_s") - told + strong * rate) / (F.col("site_n") - own + strong))
+    out = out.withColumn("section_rate", (F.col("s") - told + strong2 * F.col("site_rate")) / (F.col("n") - own + strong2))
     out = out.withColumn("score", 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("section_rate")) - _logit(F.lit(rate))))))
     learned = bool(len(y)) and y.min() < y.max()
     kept = (F.col("score") >= threshold) if learned else F.lit(True)

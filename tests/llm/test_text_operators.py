@@ -239,14 +239,46 @@ def test_quality_rates_match_brute_force(spark):
     lab = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(60)], "doc_id long, quality int")
     rows = {r.doc_id: r.quality for r in quality.score_quality(spark, df, lab).collect()}
     p = np.array([rows[i].evidence for i in range(60)])
-    site, sec, rate = np.arange(60) % 3, np.arange(60) % 6, p.mean()
-    k1 = quality.prior_strength(p.sum(), 60, sum((site == g).sum() * (p[site == g].mean() - rate) ** 2 for g in range(3)), 3, rate)
-    post = [(p[site == g].sum() + k1 * rate) / ((site == g).sum() + k1) for g in range(3)]
-    k2 = quality.prior_strength(p.sum(), 60, sum((sec == g).sum() * (p[sec == g].mean() - post[g % 3]) ** 2 for g in range(6)), 6, rate)
+    # labels are values of their group, and predictions by what they tell
+    y = (np.arange(60) % 4 < 2).astype(float)
+    own = np.maximum(0, 1 - p * (1 - p) / (y.mean() * (1 - y.mean())))
+    v, w = np.concatenate([p, y]), np.concatenate([own, np.ones(60)])
+    site, sec, rate = np.tile(np.arange(60) % 3, 2), np.tile(np.arange(60) % 6, 2), (v * w).sum() / w.sum()
+
+    def strength(group, prior):
+        sizes = np.bincount(group, w)
+        means = np.bincount(group, v * w) / sizes
+        inside = (w * (v - means[group]) ** 2).sum() / (w.sum() - len(sizes))
+        between = ((sizes * (means - prior) ** 2).sum() - (len(sizes) - 1) * inside) / (w.sum() - (sizes ** 2).sum() / w.sum())
+        return 1e6 if between <= 0 else min(1e6, max(1.0, inside / between))
+
+    k1 = strength(site, rate)
+    post = np.array([((v * w)[site == g].sum() + k1 * rate) / (w[site == g].sum() + k1) for g in range(3)])
+    k2 = strength(sec, post[np.arange(6) % 3])
     for i in range(60):
-        s = (p[site == site[i]].sum() - p[i] + k1 * rate) / ((site == site[i]).sum() - 1 + k1)
-        t = (p[sec == sec[i]].sum() - p[i] + k2 * s) / ((sec == sec[i]).sum() - 1 + k2)
-        assert rows[i].section_rate == pytest.approx(t, rel=1e-9)
+        s = ((v * w)[site == site[i]].sum() - own[i] * p[i] + k1 * rate) / (w[site == site[i]].sum() - own[i] + k1)
+        t = ((v * w)[sec == sec[i]].sum() - own[i] * p[i] + k2 * s) / (w[sec == sec[i]].sum() - own[i] + k2)
+        assert rows[i].site_rate == pytest.approx(s, rel=1e-9) and rows[i].section_rate == pytest.approx(t, rel=1e-9)
+        logit = lambda x: np.log(x / (1 - x))
+        assert logit(rows[i].score) == pytest.approx(logit(p[i]) + logit(t) - logit(rate), rel=1e-6, abs=1e-9)
+
+
+def test_quality_posteriors_change_decisions_of_a_host(spark):
+    """Texts of one kind everywhere: the evidence cannot tell the hosts apart, their
+    labels can; a host of few rows stays near all others."""
+    docs = [(i, rnd(i, 30), f"host{i % 10}", f"path{i % 3}") for i in range(600)] + [(1000 + i, rnd(9000 + i, 30), "tiny", "path0") for i in range(2)]
+    bad = {f"host{k}" for k in (3, 7)}
+    labels = [(i, int(h not in bad)) for i, _, h, _ in docs if i % 3 == 0 and i < 1000]
+    df = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    got = {r.doc_id: (r.host, r.quality) for r in quality.score_quality(
+        spark, df, spark.createDataFrame(labels, "doc_id long, quality int"), site="host", section="path").collect()}
+    unlabelled = [i for i in got if i % 3 or i >= 1000]
+    changed = [i for i in unlabelled if (got[i][1].evidence >= 0.5) != got[i][1].kept]
+    assert len(changed) >= 50 and {got[i][0] for i in changed} <= bad
+    kept = lambda rows_: np.mean([got[i][1].kept for i in rows_])
+    # evidence fitted on chance may still speak for a text
+    assert kept([i for i in unlabelled if got[i][0] in bad]) < 0.3
+    assert kept([i for i in unlabelled if got[i][0] not in bad]) > 0.95
 
 
 def test_quality_without_labels_or_rows(spark):
@@ -445,3 +477,26 @@ def test_many_hits_in_one_text(spark):
     took(50)
     few, many = took(5000), took(50_000)
     assert many < 10 * max(few, 1.0)
+
+
+def test_no_conversation_is_lost(spark):
+    df = spark.createDataFrame(
+        [(1, [("user", "a"), ("assistant", "b")], "be brief", None), (2, None, None, "odd"), (3, [("user", "c")], None, None), (4, None, "only", None)],
+        "id long, messages array<struct<role:string,content:string>>, system string, other string")
+    got = {r.id: (r.layouts, [tuple(t) for t in r.back]) for r in
+           chat_format.render(df, "id").select("*", chat_format.parse(F.col("formatted")).alias("back")).collect()}
+    assert got == {1: (["messages"], [("system", "be brief"), ("user", "a"), ("assistant", "b")]), 2: (["unknown"], []),
+                   3: (["messages"], [("user", "c")]), 4: (["unknown"], [])}
+
+
+def test_output_columns_replace_columns_of_their_name(spark):
+    from tessera.llm import line_dedup
+    df = spark.createDataFrame([(1, "one line that is long\nb", "s", "l", "old")], "doc_id long, text string, source string, lang string, x string")
+    lines = line_dedup.line_dedup(spark, df.withColumnRenamed("x", "line_stats"))
+    assert lines.columns.count("line_stats") == 1 and lines.first().line_stats.n_lines == 2
+    lab = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    scored = quality.score_quality(spark, df.withColumnRenamed("x", "quality"), lab)
+    assert scored.columns.count("quality") == 1 and scored.first().quality.kept is True
+    items = spark.createDataFrame([(1, "some benchmark passage")], "item_id long, text string")
+    leaked = decontaminate.find_leaks(spark, df.withColumnRenamed("x", "leaks"), items)
+    assert leaked.columns.count("leaks") == 1 and leaked.first().leaks == []
